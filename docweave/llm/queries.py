@@ -7,8 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from docweave.llm.ann import nearest_neighbours
 from docweave.llm.common import table
 from docweave.llm.langid import language_predictions
+from docweave.llm.packing import pack
 from docweave.llm.quality_cnn import quality_scores
 from docweave.llm.quality_rules import repetition_coverage
 from docweave.llm.token_output import token_file_report
@@ -22,6 +24,10 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_report(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op3_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
@@ -34,6 +40,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return repetition_coverage(table(spark, sf_dir, "documents")).select(*columns)
@@ -43,9 +53,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_output,
+        op3_learned_partitions,
         op4_url_filter,
         op5_language_id,
         op6_quality_classifier,
+        op8_lexical_packing,
         op10_quality_rules,
     )
 }
