@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from docweave.llm.ann import nearest_neighbours
+from docweave.llm.bpe import encode_and_decode
 from docweave.llm.common import table
 from docweave.llm.langid import language_predictions
+from docweave.llm.ngram_join import jaccard_components
 from docweave.llm.packing import pack
 from docweave.llm.quality_cnn import quality_scores
 from docweave.llm.quality_rules import repetition_coverage
@@ -24,6 +26,10 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_report(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op3_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings"))
 
@@ -40,6 +46,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_and_decode(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
 def op8_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -53,10 +63,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_output,
+        op2_ngram_join,
         op3_learned_partitions,
         op4_url_filter,
         op5_language_id,
         op6_quality_classifier,
+        op7_bpe,
         op8_lexical_packing,
         op10_quality_rules,
     )
