@@ -259,7 +259,16 @@ def jaccard_components(docs: DataFrame, fit: JoinFit = JoinFit()) -> DataFrame:
 
 
 def keep_representatives(docs: DataFrame, fit: JoinFit = JoinFit()) -> DataFrame:
-    """One document of each component, the one of smallest doc_id, with all columns; rows without words all stay."""
+    """One document of each component, the one of smallest doc_id, with all columns.
+
+    Documents without words stay, each being a component of its own, and so do rows of null doc_id, which nothing names.
+    Of rows that repeat a doc_id one stays.
+    """
     found = jaccard_components(docs, fit)
-    gone = found.where("component_id <> doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    marks = stored(found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("component_id").alias("component_id")).where("doc_id is not null and (component_id <> doc_id or rows > 1)"), "marks")
+    near = F.broadcast(marks) if marks.count() <= fit.broadcast_rows else marks
+    kept = docs.join(near.select("doc_id"), "doc_id", "left_anti")
+    twice = near.where("component_id = doc_id").select("doc_id")
+    if not twice.isEmpty():
+        kept = kept.unionByName(docs.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return kept.select(docs.columns)

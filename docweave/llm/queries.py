@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from docweave.llm.ann import nearest_neighbours
 from docweave.llm.bpe import encode_and_decode
 from docweave.llm.common import table
+from docweave.llm.katz import score_documents
 from docweave.llm.langid import language_predictions
 from docweave.llm.ngram_join import jaccard_components
 from docweave.llm.packing import pack
@@ -54,6 +55,10 @@ def op8_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op9_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return repetition_coverage(table(spark, sf_dir, "documents")).select(*columns)
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_quality_classifier,
         op7_bpe,
         op8_lexical_packing,
+        op9_katz_backoff,
         op10_quality_rules,
     )
 }
