@@ -36,10 +36,10 @@ class JoinFit:
 
     width: int = 5
     percent: int = 80
-    block: int = 2_000_000
-    local: int = 5
-    least: int = 20
-    frequent: int = 200_000
+    block: int = 4_000_000
+    local: int = 2
+    least: int = 4
+    frequent: int = 500_000
     broadcast_rows: int = 1_000_000
 
 
@@ -149,14 +149,14 @@ def _prefixes(docs: DataFrame, frequent, fit: JoinFit) -> DataFrame:  # noqa: AN
 
 
 def _groups(prefixes: DataFrame, fit: JoinFit) -> DataFrame:
-    """The rows whose token another set of fitting size has, each with the hub of its run: token, run, digest, n, hub.
+    """The rows whose token another set of fitting size has, each with a hub of its run: token, run, digest, n, hub.
 
     Works along rows sorted by token and size and holds one row over, so a token may have any number of sets.  A run ends
     where the next size is too large for a link across; no link leaves its run.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # (token, digest, n, run, hub, given out)
+        last = None  # (token, digest, n, run, hub, given out, the hub's size)
         for batch in batches:
             token, digest, n = (batch.column(c).to_numpy() for c in ("token", "digest", "n"))
             if last is not None:
@@ -169,9 +169,16 @@ def _groups(prefixes: DataFrame, fit: JoinFit) -> DataFrame:
             starts = np.ones(len(token), bool)
             starts[1:] = (token[1:] != token[:-1]) | (100 * n[:-1] < fit.percent * n[1:])
             at = np.maximum.accumulate(np.where(starts, np.arange(len(token)), 0))
-            run, hub = n[at], digest[at]
+            run, hub, reach = n[at], digest[at], n[at]
             if last is not None:
-                run[at == 0], hub[at == 0] = last[3], last[4]
+                run[at == 0], hub[at == 0], reach[at == 0] = last[3], last[4], last[6]
+            far = 100 * reach < fit.percent * n
+            while far.any():  # from the first set too large for a hub on, that set is the hub
+                first = np.flatnonzero(far & np.r_[True, ~far[:-1] | (at[1:] != at[:-1])])
+                for i in first.tolist():
+                    end = i + int(np.argmax(np.append(at[i:] != at[i], True)))
+                    hub[i:end], reach[i:end] = digest[i], n[i]
+                far = 100 * reach < fit.percent * n
             pair = ~starts
             pair[:-1] |= ~starts[1:]
             if last is not None:
@@ -180,7 +187,7 @@ def _groups(prefixes: DataFrame, fit: JoinFit) -> DataFrame:
             give[-1] &= pair[-1]
             out = np.flatnonzero(give)
             given = bool(give[-1]) or (last is not None and len(token) == 1 and last[5])
-            last = (token[-1], digest[-1], n[-1], run[-1], hub[-1], given)
+            last = (token[-1], digest[-1], n[-1], run[-1], hub[-1], given, reach[-1])
             yield pa.RecordBatch.from_arrays([pa.array(token[out]), pa.array(run[out]), pa.array(digest[out]), pa.array(n[out]), pa.array(hub[out])], names=["token", "run", "digest", "n", "hub"])
 
     dealt = prefixes.repartition("token").sortWithinPartitions("token", "n", "digest")
@@ -188,33 +195,50 @@ def _groups(prefixes: DataFrame, fit: JoinFit) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, frequent, fit: JoinFit) -> DataFrame:  # noqa: ANN001  Broadcast
-    """digest, whole set and prefixes under the further orders, as bytes, of the wanted documents' texts."""
+    """digest, size, prefixes under the further orders and whole set, as bytes, of the wanted documents' texts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             sets = [shingle_set(t, fit.width) for t in batch.column("text").to_pylist()]
             more = [[np.sort(prefix(s, frequent.value, k, fit.percent)).tobytes() for s in sets] for k in (1, 2)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_digest(s) for s in sets], pa.int64()), *[pa.array(m, pa.binary()) for m in more], pa.array([s.tobytes() for s in sets], pa.binary())], names=["digest", "second", "third", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([set_digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(m, pa.binary()) for m in more], pa.array([s.tobytes() for s in sets], pa.binary())], names=["digest", "size", "second", "third", "tokens"])
 
-    rows = docs.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(work, "digest bigint, second binary, third binary, tokens binary")
-    return rows.dropDuplicates(["digest"])
+    return docs.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(work, "digest bigint, size bigint, second binary, third binary, tokens binary")
+
+
+def meeting(a: np.ndarray, b: np.ndarray, size_a: int, size_b: int, percent: int = 80) -> bool:
+    """Whether two prefixes under one order share as many tokens as similar sets of these sizes must.
+
+    Of o shared tokens the first k stand among the first |x| - o + k tokens of each set.
+    """
+    shared = -(-percent * (size_a + size_b) // (100 + percent))
+    least = min(len(a) - size_a + shared, len(b) - size_b + shared)
+    return len(np.intersect1d(a, b, assume_unique=True)) >= max(1, least)
+
+
+def _sided(pairs: DataFrame, sets: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    side = lambda s: sets.select(F.col("digest").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in columns])
+    return pairs.join(side("a"), "a").join(side("b"), "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, fit: JoinFit) -> DataFrame:
-    """The pairs (a, b) that agree under the further orders and whose sets are similar enough."""
+    """The pairs (a, b) that agree under the further orders, and of these the ones whose sets are similar enough."""
+    read = lambda x: np.frombuffer(x.as_buffer(), np.uint64)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = lambda x: np.frombuffer(x.as_buffer(), np.uint64)
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "second_a", 512):
+            sizes = [batch.column(f"size_{s}").to_pylist() for s in "ab"]
+            good = [all(meeting(*[read(batch.column(f"{k}_{s}")[i]) for s in "ab"], sizes[0][i], sizes[1][i], fit.percent) for k in ("second", "third")) for i in range(batch.num_rows)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "tokens_a", 512):
-            good = []
-            for i in range(batch.num_rows):
-                get = lambda c: read(batch.column(c)[i])  # noqa: B023, E731
-                meets = all(len(np.intersect1d(get(f"{k}_a"), get(f"{k}_b"), assume_unique=True)) for k in ("second", "third"))
-                good.append(meets and linked(get("tokens_a"), get("tokens_b"), fit.percent))
+            good = [linked(read(x), read(y), fit.percent) for x, y in zip(batch.column("tokens_a"), batch.column("tokens_b"))]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    side = lambda s: sets.select(F.col("digest").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("second", "third", "tokens")])
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(work, "a bigint, b bigint")
+    left = stored(_sided(pairs, sets, ("size", "second", "third")).mapInArrow(agree, "a bigint, b bigint").distinct(), "candidates")
+    ids = left.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+    return _sided(left, sets.join(ids, "digest", "left_semi"), ("tokens",)).mapInArrow(similar, "a bigint, b bigint")
 
 
 def jaccard_components(docs: DataFrame, fit: JoinFit = JoinFit()) -> DataFrame:
