@@ -72,7 +72,7 @@ def pairs_from_literal(text: Column) -> tuple[Column, Column]:
     rest = F.trim(F.translate(F.regexp_replace(listed, _TUPLE, ""), "[],", ""))
     fits = (listed != "") & (F.regexp_replace(rest, r"\s+", "") == "")
     pairs = F.zip_with(F.regexp_extract_all(listed, F.lit(_TUPLE), F.lit(1)), F.regexp_extract_all(listed, F.lit(_TUPLE), F.lit(2)), lambda m, p: F.struct(m.alias("model"), p.alias("part")))
-    without = F.trim(F.regexp_replace(text, _BLOCK, ""))
+    without = F.regexp_replace(F.regexp_replace(text, _BLOCK, ""), r"^\s+|\s+$", "")
     none = F.array().cast("array<struct<model:string,part:string>>")
     return F.when(fits, pairs).otherwise(none), F.when(fits & (F.regexp_replace(without, r"\s+", "") != ""), without).otherwise(text)
 

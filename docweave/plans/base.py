@@ -112,7 +112,7 @@ class Tables:
 
     def old_text(self) -> Column:
         """The text an older version of the library held: unchanged, cut, longer, or with its middle replaced."""
-        return F.expr("case doc_id % 5 when 0 then text when 1 then substring(text, 1, cast(length(text) / 2 as int)) when 2 then concat(text, ' appendix of the older version') when 3 then concat(substring(text, 1, 500), ' zz yy xx ', substring(text, 900, 100000000)) end")
+        return F.expr("case doc_id % 5 when 0 then text when 1 then substring(text, 1, cast(length(text) div 2 as int)) when 2 then concat(text, ' appendix of the older version') when 3 then concat(substring(text, 1, 500), ' zz yy xx ', substring(text, 900, 100000000)) end")
 
 
 #: The same tables for DuckDB, as common table expressions.
