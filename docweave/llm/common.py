@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,18 +49,24 @@ def stored(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def only(df: DataFrame, *names: str) -> DataFrame:
-    """Just the named columns, whatever else the table holds.
+def positional(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table with columns named by place, and where to find a name.
 
-    Columns are taken by position, so that further columns whose names clash, or differ in case alone, do no harm;
-    the first column of exactly that name counts, else the first that differs in case.
+    So further columns whose names clash, or differ in case alone, do no harm: the first column of exactly that name
+    counts, else the first that differs in case.
     """
-    places: dict[str, int] = {}
+    places: dict[str, str] = {}
     for i, c in enumerate(df.columns):
-        places.setdefault(c, i)
+        places.setdefault(c, f"c{i}")
     for i, c in enumerate(df.columns):
-        places.setdefault(c.lower(), i)
-    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).select(*[F.col(f"c{places[n]}").alias(n) for n in names])
+        places.setdefault(c.lower(), f"c{i}")
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), places
+
+
+def only(df: DataFrame, *names: str) -> DataFrame:
+    """Just the named columns, whatever else the table holds."""
+    rows, places = positional(df)
+    return rows.select(*[F.col(places[n]).alias(n) for n in names])
 
 
 def remainder(doc_id: Column, n: int) -> Column:
@@ -67,6 +74,25 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
+class WordHashes(dict):
+    """64-bit hashes of words, remembered within a task up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(self) < 150_000:
+            self[word] = h
+        return h
+
+
+word_hashes = WordHashes()
+
+
+def forgetting(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Passes a task's results on and empties the word hashes behind them: idle Python workers hold no caches."""
+    yield from batches
+    word_hashes.clear()
+
+
 def small_batches(batches: Iterable[pa.RecordBatch], column: str, rows: int = 1024, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds at most ``rows`` rows and, beyond one row, about ``size`` bytes of a column."""
     for batch in batches:

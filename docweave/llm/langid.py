@@ -13,11 +13,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import only, remainder, small_batches
+from docweave.llm.common import only, positional, remainder, small_batches
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
@@ -48,9 +49,10 @@ class WordBackoff:
     def __init__(self, languages: list[str], counts: dict[str, list[int]], fit: LanguageFit):
         self.languages = languages
         self.longest = fit.longest
-        totals = np.array([sum(c[i] for c in counts.values()) for i in range(len(languages))], float)
-        self.words = self._logs(counts, totals)
-        self.grams: list[dict[str, np.ndarray]] = [{}]
+        zero = np.zeros(len(languages))
+        self.words, self.table = self._logs(counts, sum((np.array(c, float) for c in counts.values()), zero))
+        self.known = len(self.words)
+        self.grams: list[tuple[dict[str, int], np.ndarray]] = [({}, np.zeros((0, len(languages))))]
         for n in range(1, fit.longest + 1):
             grams: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(languages)))
             for word, c in counts.items():
@@ -58,8 +60,7 @@ class WordBackoff:
                 for g in self._cut(word, n):
                     grams[g] += weight
             top = sorted(grams, key=lambda g: (-grams[g].sum(), g))[: fit.max_grams]
-            self.grams.append(self._logs({g: grams[g] for g in top}, sum(grams.values(), np.zeros(len(languages)))))
-        self._seen: dict[str, np.ndarray] = {}
+            self.grams.append(self._logs({g: grams[g] for g in top}, sum(grams.values(), zero)))
 
     @staticmethod
     def _cut(word: str, n: int) -> list[str]:
@@ -67,37 +68,46 @@ class WordBackoff:
         return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
     @staticmethod
-    def _logs(counts: dict, totals: np.ndarray) -> dict[str, np.ndarray]:
+    def _logs(counts: dict, totals: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
+        """Rows of the keys and the table of their log10 frequencies."""
         keys = list(counts)
-        if not keys:
-            return {}
-        table = np.log10((np.array([counts[k] for k in keys], float) + 0.1) / (totals + 0.1 * (len(keys) + 1)))
-        return dict(zip(keys, table))
-
-    def word(self, word: str) -> np.ndarray:
-        if word in self.words:
-            return self.words[word]
-        if (at := self._seen.get(word)) is not None:
-            return at
-        score = np.zeros(len(self.languages))
+        table = np.array([counts[k] for k in keys], float).reshape(len(keys), len(totals))
+        return dict(zip(keys, range(len(keys)))), np.log10((table + 0.1) / (totals + 0.1 * (len(keys) + 1)))
+
+    def _backoff(self, word: str) -> np.ndarray:
         for n in range(self.longest, 0, -1):
-            found = [self.grams[n][g] for g in self._cut(word, n) if g in self.grams[n]]
+            rows, table = self.grams[n]
+            found = [rows[g] for g in self._cut(word, n) if g in rows]
             if found:
-                score = np.mean(found, axis=0)
-                break
-        if len(self._seen) < 100_000:
-            self._seen[word] = score
-        return score
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text or "")
-        if not words or not self.languages:
-            return UNDETERMINED, 0.0
-        total = np.zeros(len(self.languages))
-        for w, n in Counter(words).items():
-            total += n * self.word(w)
-        best = int(total.argmax())
-        return self.languages[best], float(1 / np.exp(math.log(10) * (total - total[best])).sum())
+                return table[found].mean(0)
+        return np.zeros(len(self.languages))
+
+    def _learn(self, words: set[str], limit: int = 100_000) -> None:
+        """Give unseen words rows of their own; those remembered are dropped when they pass the limit."""
+        if len(self.words) > self.known + limit:
+            for w in list(self.words)[self.known :]:
+                del self.words[w]
+            self.table = self.table[: self.known]
+        new = list(words.difference(self.words))
+        if new:
+            self.words.update(zip(new, range(len(self.words), len(self.words) + len(new))))
+            self.table = np.concatenate([self.table, [self._backoff(w) for w in new]])
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and share of the probability of each text."""
+        split = [words_of(t or "") for t in texts]
+        if not self.languages:
+            return [(UNDETERMINED, 0.0)] * len(texts)
+        self._learn(set().union(*split))
+        out = []
+        for words in split:
+            if not words:
+                out.append((UNDETERMINED, 0.0))
+                continue
+            total = self.table[list(map(self.words.__getitem__, words))].sum(0)
+            best = int(total.argmax())
+            out.append((self.languages[best], float(1 / np.exp(math.log(10) * (total - total[best])).sum())))
+        return out
 
 
 def fit_languages(docs: DataFrame, fit: LanguageFit = LanguageFit()) -> WordBackoff:
@@ -142,7 +152,7 @@ def identify(docs: DataFrame, model: WordBackoff) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in small_batches(batches, "text"):
-            found = [known.predict(t) for t in batch.column("text").to_pylist()]
+            found = known.predict_all(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     rows = only(docs, "doc_id", "text").selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
@@ -162,6 +172,7 @@ def keep_identified(docs: DataFrame, model: WordBackoff, least: float = 0.5) ->
 
     @F.pandas_udf("boolean")
     def found(text):  # noqa: ANN001, ANN202  pandas UDF
-        return text.map(lambda t: shared.value.predict(t)[1] >= least)
+        return pd.Series([score >= least for _, score in shared.value.predict_all(list(text))])
 
-    return docs.where(found(F.col("text")))
+    rows, at = positional(docs)
+    return rows.where(found(F.col(at["text"]))).toDF(*docs.columns)
