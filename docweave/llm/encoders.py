@@ -22,10 +22,10 @@ class PieceEncoder:
 
     ``keeps_space`` tells a byte-level vocabulary, where a space belongs to the piece behind it, from one whose
     pre-tokens leave white space out.  Pieces seen in two batches are remembered, up to ``limit``; those seen in one
-    stay among ``limit`` young ones until these are dropped.  That bounds memory and never changes ids.
+    stay among the young ones until these, past half the limit, are dropped.  That bounds memory and never changes ids.
     """
 
-    def __init__(self, path: str, keeps_space: bool, limit: int = 500_000):
+    def __init__(self, path: str, keeps_space: bool, limit: int = 400_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -34,16 +34,53 @@ class PieceEncoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
         self.young: set[str] = set()
-        self.marks = dict(zip(".,", self._whole([".", ","])))
+        self.ends: dict[str, bytes] = {"": b""}
+        self.heads: dict[str, bytes] = {"": b""}
+        vocab, added = self.tokenizer.get_vocab(with_added_tokens=True), self.tokenizer.get_added_tokens_decoder()
+        self.sizes = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of text that an id stands for
+        for token, i in vocab.items():
+            self.sizes[i] = len(added[i].content.encode()) if i in added else len(token) - (0 if keeps_space else 4 * token.endswith("</w>"))
 
     def _whole(self, texts: Sequence[str]) -> list[bytes]:
         code = "H" if self.dtype.itemsize == 2 else "I"
         return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _stem(self, piece: str) -> tuple[str, bytes]:
-        """A piece and further ids that give this piece's ids: letters end a pre-token before a stop or comma."""
-        stem, mark = (piece[:-1], self.marks[piece[-1]]) if piece[-1:] in self.marks and piece[:-1].isalpha() else (piece, b"")
-        return (stem.lower() if not self.keeps_space and stem.isascii() and "<" not in stem else stem), mark
+    def _joined(self, pieces: list[str], group: int = 1_000) -> list[bytes]:
+        """The ids of each piece, worked out for many pieces at once and cut where the text that ids stand for ends.
+
+        Pieces whose letters may change length (by normal forms or case) go one by one, and so does a group whose
+        ids do not end where its pieces end.
+        """
+        plain = pieces if self.keeps_space else [p for p in pieces if p and max(p) < "\u0130"]
+        found: dict[str, bytes] = {}
+        cuts = [plain[i : i + group] for i in range(0, len(plain), group)]
+        width = self.dtype.itemsize
+        for part, ids in zip(cuts, self._whole([("" if self.keeps_space else " ").join(c) for c in cuts])):
+            reached = np.cumsum(self.sizes[np.frombuffer(ids, self.dtype)])
+            ends = np.cumsum([len(p.encode()) for p in part])
+            at = np.searchsorted(reached, ends)
+            if len(reached) and at[-1] == len(reached) - 1 and (reached[at] == ends).all():
+                edges = [0, *((at + 1) * width).tolist()]
+                found.update((p, ids[x:y]) for p, x, y in zip(part, edges[:-1], edges[1:]))
+        rest = [p for p in pieces if p not in found]
+        found.update(zip(rest, self._whole(rest)))
+        return [found[p] for p in pieces]
+
+    def _cached(self, texts: list[str], cache: dict[str, bytes]) -> list[bytes]:
+        """For few distinct texts: encoded when new; the cache starts anew when it has grown."""
+        if len(cache) > 20_000:
+            cache.clear()
+        new = list(set(texts).difference(cache))
+        cache.update(zip(new, self._whole(new)))
+        return [cache[t] for t in texts]
+
+    def _stem(self, piece: str) -> tuple[str, str]:
+        """A piece and an end whose ids together are this piece's: letters end a pre-token before these marks."""
+        stem = piece.rstrip(".,!?#$%&*|;:")
+        if stem == piece or not stem.isalpha() or not (self.keeps_space or max(stem) < "\u0130"):  # lower case may end in a mark
+            stem = piece
+        end = piece[len(stem) :]
+        return (stem.lower() if not self.keeps_space and stem.isascii() and "<" not in stem else stem), end
 
     def _learn(self, pieces: set[str]) -> None:
         """Encode what is not known of a batch's pieces and settle which pieces stay."""
@@ -54,20 +91,32 @@ class PieceEncoder:
         fresh = pieces.difference(known)
         stems = {p: s for p in fresh if (s := self._stem(p))[0] != p}
         new = list(fresh.difference(stems).union(s for s, _ in stems.values() if s not in known))
-        known.update(zip(new, self._whole([p if p[:1] == "\n" else " " + p for p in new] if self.keeps_space else new)))
-        for p, (s, mark) in stems.items():
-            known[p] = known[s] + mark
+        known.update(zip(new, self._joined([p if p[:1] == "\n" else " " + p for p in new] if self.keeps_space else new)))
+        ends = self._cached([e for _, e in stems.values()], self.ends)
+        for (p, (s, _)), end in zip(stems.items(), ends):
+            known[p] = known[s] + end
         self.young.update(new)
         self.young.update(stems)
 
     def _forget(self) -> None:
-        if len(self.young) > self.limit:
+        if len(self.young) > self.limit // 2:
             for p in self.young:
                 del self.known[p]
             self.young.clear()
 
+    @staticmethod
+    def _lower(text: str) -> str:
+        """The text in lower case where that is the same letter by letter and hides no special token's string."""
+        if "<|" in text:
+            return text
+        try:
+            text.isascii() or text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        return text.lower()
+
     def _words(self, texts: Sequence[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = [self._lower(t).replace("\n", " ").split(" ") for t in texts]
         self._learn(set().union(*split))
         out = [b"".join(map(self.known.__getitem__, p)) for p in split]
         self._forget()
@@ -75,16 +124,15 @@ class PieceEncoder:
 
     def _spaced(self, texts: Sequence[str]) -> list[bytes]:
         split = [t.replace("\n", " \n").split(" ") for t in texts]
-        heads = [p.pop(0) if len(p) > 1 else "" for p in split]
-        cut = [bool(h or t[:1] in (" ", "\n")) for h, t in zip(heads, texts)]
-        tails = [p.pop() for p in split]
-        tails = self._whole([" " + t if c and t[:1] != "\n" else t for c, t in zip(cut, tails)])
+        heads = [p.pop(0) for p in split]
+        tails = ["" if not p or (p[-1] and not p[-1][-1].isspace()) else (" " if p[-1][:1] != "\n" else "") + p.pop() for p in split]
         pieces = set().union(*split)
         loose = {p for p in pieces.difference(self.known) if not p or p[-1].isspace()}
         odd = {i for i, h in enumerate(heads) if h[-1:].isspace()}
-        heads = self._whole(heads)
         if loose:
             odd.update(i for i, p in enumerate(split) if not loose.isdisjoint(p))
+        heads = self._cached(heads, self.heads)
+        tails = self._cached(tails, self.ends)
         self._learn(pieces - loose)
         rest = dict(zip(sorted(odd), self._whole([texts[i] for i in sorted(odd)])))
         out = [rest[i] if i in odd else heads[i] + b"".join(map(self.known.__getitem__, p)) + tails[i] for i, p in enumerate(split)]
@@ -99,8 +147,8 @@ class PieceEncoder:
 _encoders: dict[tuple, PieceEncoder] = {}
 
 
-def encoder(path: str, keeps_space: bool) -> PieceEncoder:
+def encoder(path: str, keeps_space: bool, limit: int = 400_000) -> PieceEncoder:
     """The encoder of this Python worker for a vocabulary file, kept from task to task."""
-    if (key := (path, keeps_space)) not in _encoders:
-        _encoders[key] = PieceEncoder(path, keeps_space)
+    if (key := (path, keeps_space, limit)) not in _encoders:
+        _encoders[key] = PieceEncoder(path, keeps_space, limit)
     return _encoders[key]

@@ -87,9 +87,9 @@ def read_token_ids(spark: SparkSession, path: str, doc_ids: list[int] | None = N
     return rows if doc_ids is None else rows.where(F.col("doc_id").isin(doc_ids))
 
 
-def with_starts(rows: DataFrame) -> DataFrame:
-    """Adds ``start``, the ids of all documents before; only a row for each part meets in one place."""
-    parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("ids"))
+def with_starts(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Adds ``start``, the ids of all documents before, by the files' counts; a row for each part meets in one place."""
+    parts = files.groupBy("part").agg(F.sum("n_tokens").alias("ids"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select("part", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("offset"))
     return rows.join(offsets, "part").withColumn("start", F.col("offset") + F.col("part_start")).drop("offset")
@@ -114,5 +114,6 @@ def token_file_report(docs: DataFrame, vocabulary: str, layout: OrcLayout = OrcL
     spark = docs.sparkSession
     path = scratch(spark, "token-ids")
     write_token_ids(docs, path, vocabulary, layout=layout)
-    rows = with_starts(checksums(read_token_ids(spark, path)))
+    files = read_token_ids(spark, path)
+    rows = with_starts(checksums(files), files)
     return rows.select("doc_id", "start", F.col("n_tokens").cast("long").alias("n_tokens"), "ids_crc32")
