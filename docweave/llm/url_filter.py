@@ -36,14 +36,12 @@ class UrlRule:
 
 @dataclass(frozen=True)
 class Propagation:
-    """``damping`` and ``rounds`` of both ranks; a host is blocked whose distrust reaches ``threshold`` and exceeds its trust.
-
-    Each seed host restarts with at most ``1 - damping``, so a threshold above that needs evidence from links.
-    """
+    """``damping`` and ``rounds`` of both ranks; a host is blocked if the distrust that links bring it reaches
+    ``threshold`` and exceeds the trust that links bring it.  What a seed restarts with is no evidence from links."""
 
     damping: float = 0.85
     rounds: int = 8
-    threshold: float = 0.2
+    threshold: float = 0.02
 
 
 RULES = (
@@ -108,11 +106,14 @@ def host_verdicts(pages: DataFrame, p: Propagation = Propagation()) -> DataFrame
     good = judged.where("good > 0").select("host", F.col("good").alias("seed"))
     bad = judged.where("bad > 0").select("host", F.col("bad").alias("seed"))
     edges = checkpoint(host_edges(pages))
-    if edges.isEmpty():  # nothing to flow along: what the seeds hold themselves
+    if edges.isEmpty():  # nothing to flow along
         trust, distrust = (s.select("host", (F.col("seed") * (1 - p.damping)).alias("score")) for s in (good, bad))
     else:
         trust, distrust = _rank(edges, good, "src", "dst", p), _rank(edges, bad, "dst", "src", p)
     both = trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host", "full_outer").na.fill(0.0, ["trust", "distrust"])
+    own = lambda seeds, name: seeds.select("host", (F.col("seed") * (1 - p.damping)).alias(name))
+    both = both.join(own(good, "own_trust"), "host", "left").join(own(bad, "own_distrust"), "host", "left").na.fill(0.0, ["own_trust", "own_distrust"])
+    both = both.select("host", (F.col("trust") - F.col("own_trust")).alias("trust"), (F.col("distrust") - F.col("own_distrust")).alias("distrust"))
     return both.withColumn("host_verdict", F.when((F.col("distrust") >= p.threshold) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow"))
 
 
