@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import only, small_batches, stored
+from docweave.llm.common import forgetting, only, positional, small_batches, stored, word_hashes
 from docweave.llm.graph import connected_components
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -43,17 +43,6 @@ class JoinFit:
     broadcast_rows: int = 1_000_000
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 300_000:
-            self[word] = h
-        return h
-
-
-_words = _Words()
-
-
 def _mix(x: np.ndarray, by: np.uint64) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * by
     return x ^ (x >> np.uint64(29))
@@ -64,7 +53,7 @@ def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    w = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    w = np.fromiter(map(word_hashes.__getitem__, words), np.uint64, len(words))
     n = min(width, len(w))
     h = np.full(len(w) - n + 1, n, np.uint64)
     for i in range(n):
@@ -122,7 +111,7 @@ def _profile(docs: DataFrame, fit: JoinFit) -> DataFrame:
         if held:
             yield counts(held)
 
-    return docs.mapInArrow(work, "kind tinyint, doc_id bigint, digest bigint, n bigint")
+    return docs.mapInArrow(lambda b: forgetting(work(b)), "kind tinyint, doc_id bigint, digest bigint, n bigint")
 
 
 def _prefixes(docs: DataFrame, frequent, fit: JoinFit) -> DataFrame:  # noqa: ANN001  Broadcast
@@ -145,7 +134,7 @@ def _prefixes(docs: DataFrame, frequent, fit: JoinFit) -> DataFrame:  # noqa: AN
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).astype(np.int64)), pa.array(np.concatenate(digests)), pa.array(np.concatenate(sizes))], names=["token", "digest", "n"])
 
-    return docs.select("text").mapInArrow(work, "token bigint, digest bigint, n int")
+    return docs.select("text").mapInArrow(lambda b: forgetting(work(b)), "token bigint, digest bigint, n int")
 
 
 def _groups(prefixes: DataFrame, fit: JoinFit) -> DataFrame:
@@ -203,7 +192,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, frequent, fit: JoinFit) -> DataFra
             more = [[np.sort(prefix(s, frequent.value, k, fit.percent)).tobytes() for s in sets] for k in (1, 2)]
             yield pa.RecordBatch.from_arrays([pa.array([set_digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(m, pa.binary()) for m in more], pa.array([s.tobytes() for s in sets], pa.binary())], names=["digest", "size", "second", "third", "tokens"])
 
-    return docs.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(work, "digest bigint, size bigint, second binary, third binary, tokens binary")
+    return docs.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(lambda b: forgetting(work(b)), "digest bigint, size bigint, second binary, third binary, tokens binary")
 
 
 def meeting(a: np.ndarray, b: np.ndarray, size_a: int, size_b: int, percent: int = 80) -> bool:
@@ -291,8 +280,11 @@ def keep_representatives(docs: DataFrame, fit: JoinFit = JoinFit()) -> DataFrame
     found = jaccard_components(docs, fit)
     marks = stored(found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("component_id").alias("component_id")).where("doc_id is not null and (component_id <> doc_id or rows > 1)"), "marks")
     near = F.broadcast(marks) if marks.count() <= fit.broadcast_rows else marks
-    kept = docs.join(near.select("doc_id"), "doc_id", "left_anti")
-    twice = near.where("component_id = doc_id").select("doc_id")
+    rows, at = positional(docs)
+    name = at["doc_id"]
+    ids = lambda df: df.select(F.col("doc_id").alias(name))
+    kept = rows.join(ids(near), name, "left_anti").select(rows.columns)
+    twice = near.where("component_id = doc_id")
     if not twice.isEmpty():
-        kept = kept.unionByName(docs.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept.select(docs.columns)
+        kept = kept.unionByName(rows.join(ids(twice), name, "left_semi").dropDuplicates([name]))
+    return kept.toDF(*docs.columns)

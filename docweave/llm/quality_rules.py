@@ -11,11 +11,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import only, small_batches
+from docweave.llm.common import forgetting, only, positional, small_batches, word_hashes
 
 #: Odd multiplier of the rolling hash.
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -60,19 +59,6 @@ def covered(words: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-class _Hashes(dict):
-    """Word to 64-bit hash, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 200_000:
-            self[word] = h
-        return h
-
-
-_hashes = _Hashes()
-
-
 def measure(text: str | None, rules: CoverageRules = CoverageRules()) -> tuple:
     """All columns but doc_id for one text; a null text counts as empty."""
     text = text or ""
@@ -92,7 +78,7 @@ def measure(text: str | None, rules: CoverageRules = CoverageRules()) -> tuple:
                 seen.add(line)
     repeat, worst, kept = 0, 0.0, True
     if n:
-        hashed = np.fromiter(map(_hashes.__getitem__, words), np.uint64, n)
+        hashed = np.fromiter(map(word_hashes.__getitem__, words), np.uint64, n)
         sizes = np.fromiter(map(len, words), np.int64, n)
         total = int(sizes.sum())
         shares = dict(rules.ngram_share)
@@ -126,7 +112,7 @@ def repetition_coverage(docs: DataFrame, rules: CoverageRules = CoverageRules())
             rows = [measure(t.as_py(), rules) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, f.type) for c, f in zip(zip(*rows), list(schema)[1:])]], schema=schema)
 
-    return only(docs, "doc_id", "text").selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(work, SCHEMA)
+    return only(docs, "doc_id", "text").selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(lambda b: forgetting(work(b)), SCHEMA)
 
 
 def keep_good(docs: DataFrame, rules: CoverageRules = CoverageRules()) -> DataFrame:
@@ -135,6 +121,7 @@ def keep_good(docs: DataFrame, rules: CoverageRules = CoverageRules()) -> DataFr
     def good(text):  # noqa: ANN001, ANN202  pandas UDF
         return text.map(lambda t: measure(t, rules)[6])
 
-    return docs.where(good(F.col("text")))
+    rows, at = positional(docs)
+    return rows.where(good(F.col(at["text"]))).toDF(*docs.columns)
 
 
