@@ -16,7 +16,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.llm.common import only, small_batches
+from docweave.llm.common import forgetting, only, small_batches
 
 
 def buckets(spark: SparkSession) -> int:
@@ -33,33 +33,42 @@ def unsqueeze(data: bytes) -> bytes:
 
 
 def pack_arrays(*arrays: np.ndarray) -> bytes:
-    """Arrays of the types that ``unpack_arrays`` is told, one behind the other."""
-    return squeeze(b"".join([np.array([len(a) for a in arrays], "<i8").tobytes(), *[np.ascontiguousarray(a).tobytes() for a in arrays]]))
+    """Arrays of the types that ``unpack_arrays`` is told, each by byte planes, of which high ones are mostly zero."""
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() for a in arrays]
+    return squeeze(b"".join([np.array([len(a) for a in arrays], "<i8").tobytes(), *planes]))
 
 
 def unpack_arrays(data: bytes, *kinds: str) -> list[np.ndarray]:
     raw = unsqueeze(data)
     lengths, at, out = np.frombuffer(raw, "<i8", len(kinds)), 8 * len(kinds), []
     for n, kind in zip(lengths.tolist(), kinds):
-        out.append(np.frombuffer(raw, kind, n, at))
-        at += n * np.dtype(kind).itemsize
+        size = np.dtype(kind).itemsize
+        planes = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        at += n * size
     return out
 
 
-def document_blocks(docs: DataFrame, rows: int = 16_384, size: int = 8 << 20) -> DataFrame:
-    """block_id and payload: whole documents (doc_id, text), at most ``rows`` or about ``size`` bytes of text a block.
+def packed_table(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return squeeze(sink.getvalue().to_pybytes())
 
-    The blocks are dealt by their id; everything that needs them reads that one exchange.
+
+def document_blocks(docs: DataFrame, rows: int = 16_384, size: int = 8 << 20, pack: Callable[[pa.Table], bytes] = packed_table) -> DataFrame:
+    """block_id and payload: whole documents, at most ``rows`` or about ``size`` bytes of text a block.
+
+    ``pack`` makes the payload of a block's table of doc_id and text.  The blocks are dealt by their id; everything that
+    needs them reads that one exchange.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, load, count, number = [], 0, 0, TaskContext.get().partitionId() << 32
 
         def out() -> pa.RecordBatch:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema) as writer:
-                writer.write_table(pa.Table.from_batches(held).combine_chunks())
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([squeeze(sink.getvalue().to_pybytes())], pa.binary())], names=["block_id", "payload"])
+            payload = pack(pa.Table.from_batches(held).combine_chunks())
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([payload], pa.binary())], names=["block_id", "payload"])
 
         for batch in small_batches(batches, "text", 1024, 1 << 20):
             held.append(batch)
@@ -72,7 +81,7 @@ def document_blocks(docs: DataFrame, rows: int = 16_384, size: int = 8 << 20) ->
             yield out()
 
     plain = only(docs, "doc_id", "text").selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
-    return plain.mapInArrow(work, "block_id bigint, payload binary").repartition(buckets(docs.sparkSession), "block_id")
+    return plain.mapInArrow(lambda b: forgetting(work(b)), "block_id bigint, payload binary").repartition(buckets(docs.sparkSession), "block_id")
 
 
 def open_block(payload: bytes) -> pa.Table:

@@ -13,15 +13,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.blocks import buckets, document_blocks, open_block, pack_arrays, unpack_arrays, with_answers
+from docweave.llm.blocks import buckets, document_blocks, pack_arrays, unpack_arrays, with_answers
+from docweave.llm.common import word_hashes
 
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-#: Keys of a text's start, which is a history only, and of its end, which is a token.
-START, END = 0x5354415254, 0x454E44
+#: Key of a text's end, which counts as a word; its start is a history only.
+END = np.uint64(0x454E44)
 #: Counts up to this are discounted.
 CUT = 5
 
@@ -39,30 +38,14 @@ class KatzFit:
     salts: int = 16
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 300_000:
-            self[word] = h
-        return h
-
-
-_words = _Words()
-
-
 def tokens_of(text: str | None) -> np.ndarray:
     """Keys of the words, A-Z lower-cased, and of the end."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     out = np.full(len(words) + 1, END, np.uint64)
-    out[:-1] = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    out[:-1] = np.fromiter(map(word_hashes.__getitem__, words), np.uint64, len(words))
     return out
 
 
-def pair_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    x = before * _STEP + word
-    return (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-
-
 def _spread(key: np.ndarray, n: int) -> np.ndarray:
     return (((key ^ (key >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(33)) % np.uint64(n)
 
@@ -95,61 +78,75 @@ def word_probability(counts: np.ndarray, d: np.ndarray, total: int, number: np.n
     return np.where(counts > 0, discounted(counts, d), left) / (total + 1.0)
 
 
-def _docs(payload: bytes, fit: KatzFit) -> tuple[pa.Table, list[np.ndarray], np.ndarray]:
-    """A block's table, the tokens of each text, and which texts teach."""
-    table = open_block(payload)
-    ids = table["doc_id"].to_pylist()
-    fold = np.array([-1 if i is None else _crc(i) % fit.folds for i in ids])
-    return table, [tokens_of(t) for t in table["text"].to_pylist()], fold != fit.held_out
-
-
 def _crc(doc_id: int) -> int:
     return zlib.crc32(str(doc_id).encode())
 
 
-def _counted(keys: np.ndarray, teach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys in order, the place of one occurrence of each, and how often each occurs in teaching texts."""
-    distinct, first, place = np.unique(keys, return_index=True, return_inverse=True)
-    return distinct, first, np.bincount(place[teach], minlength=len(distinct)).astype("<u4")
-
+class Block:
+    """Tokens of a block's texts, as places in the table of its distinct words; the commonest words come first."""
 
-def _flat(texts: list[np.ndarray], teaches: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All tokens of a block, the history of each, and whether its text teaches."""
-    flat = np.concatenate(texts)
-    before = np.empty_like(flat)
-    before[1:] = flat[:-1]
-    sizes = np.array([len(t) for t in texts])
-    before[np.cumsum(sizes) - sizes] = START
-    return flat, before, np.repeat(teaches, sizes)
+    def __init__(self, payload: bytes):
+        ids, sizes, teaches, self.at, self.keys = unpack_arrays(payload[1:], "<i8", "<u4", "u1", "<u4", "<u8")
+        self.nulls = payload[:1] == b"n"
+        self.doc_id = pa.array(ids, mask=teaches > 1) if self.nulls else pa.array(ids)
+        self.teaches = (teaches & 1).astype(bool)
+        self.sizes = sizes.astype(np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.at = self.at.astype(np.int64)
+        self.teach = np.repeat(self.teaches, self.sizes)
+        self.before = np.empty_like(self.at)  # place of the word before, behind the last word for a text's start
+        self.before[1:] = self.at[:-1]
+        self.before[self.starts] = len(self.keys)
 
 
-def word_requests(blocks: DataFrame, fit: KatzFit) -> DataFrame:
+def pack_block(fit: KatzFit, table: pa.Table) -> bytes:
+    ids = table["doc_id"].to_pylist()
+    teaches = np.array([3 if i is None else _crc(i) % fit.folds != fit.held_out for i in ids], np.uint8)
+    texts = [tokens_of(t) for t in table["text"].to_pylist()]
+    keys, place, count = np.unique(np.concatenate(texts), return_inverse=True, return_counts=True)
+    order = np.argsort(-count, kind="stable")
+    rank = np.empty(len(keys), "<u4")
+    rank[order] = np.arange(len(keys))
+    data = pack_arrays(np.array([i or 0 for i in ids], "<i8"), np.array([len(t) for t in texts], "<u4"), teaches, rank[place], keys[order].astype("<u8"))
+    return (b"n" if None in ids else b"-") + data
+
+
+def word_requests(blocks: DataFrame) -> DataFrame:
+    """bucket, block_id, asked: keys of a block's distinct words and their counts in teaching texts."""
     n = buckets(blocks.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block_id, payload in zip(batch.column("block_id").to_pylist(), batch.column("payload")):
-                _, texts, teaches = _docs(payload.as_py(), fit)
-                flat, _, teach = _flat(texts, teaches)
-                keys, _, count = _counted(flat, teach)
-                home = _spread(keys, n)
-                each = [b for b in range(n) if (home == b).any()]
-                yield pa.RecordBatch.from_arrays([pa.array(each, pa.int32()), pa.array([block_id] * len(each), pa.int64()), pa.array([pack_arrays(keys[home == b], count[home == b]) for b in each], pa.binary())], names=["bucket", "block_id", "asked"])
+                block = Block(payload.as_py())
+                count = np.bincount(block.at[block.teach], minlength=len(block.keys)).astype("<u4")
+                each = _split(_spread(block.keys, n))
+                yield pa.RecordBatch.from_arrays([pa.array([*each], pa.int32()), pa.array([block_id] * len(each), pa.int64()), pa.array([pack_arrays(block.keys[p], count[p]) for p in each.values()], pa.binary())], names=["bucket", "block_id", "asked"])
 
     return blocks.mapInArrow(work, "bucket int, block_id bigint, asked binary")
 
 
-def count_words(requests: DataFrame) -> DataFrame:
-    """Adds up a bucket's words; answers each block, and a row without block holds the bucket's counts of counts."""
+def _split(home: np.ndarray) -> dict[int, np.ndarray]:
+    """Places by bucket, in order within each."""
+    order = np.argsort(home, kind="stable")
+    kinds, starts = np.unique(home[order], return_index=True)
+    return dict(zip(kinds.tolist(), np.split(order, starts[1:])))
+
+
+def count_words(requests: DataFrame, n: int) -> DataFrame:
+    """Adds up a bucket's words and numbers them; answers each block, and a row without block holds the bucket's counts
+    of counts.  Numbers start at 1; no two words of all buckets share one."""
 
     def work(rows: pa.Table) -> pa.Table:
         bucket, asked = rows["bucket"][0].as_py(), [unpack_arrays(a, "<u8", "<u4") for a in rows["asked"].to_pylist()]
         keys, place = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
         total = np.bincount(place, np.concatenate([a[1] for a in asked]), len(keys)).astype("<u8")
+        number = np.empty(len(keys), "<u8")
+        number[np.argsort(-total.astype(np.int64), kind="stable")] = np.arange(len(keys), dtype=np.uint64) * np.uint64(n) + np.uint64(bucket + 1)
         edges = np.cumsum([len(a[0]) for a in asked])[:-1]
-        answers = [pack_arrays(total[p]) for p in np.split(place, edges)]
-        number = np.bincount(np.minimum(total, CUT + 1)[(total > 0) & (total <= CUT + 1)].astype(int), minlength=CUT + 2)[: CUT + 2]
-        stats = np.array([total.sum(), (total > 0).sum(), *number], "<u8").astype(np.int64).tolist()
+        answers = [pack_arrays(total[p], number[p]) for p in np.split(place, edges)]
+        low = np.bincount(total[(total > 0) & (total <= CUT + 1)].astype(int), minlength=CUT + 2)[: CUT + 2]
+        stats = [int(total.sum()), int((total > 0).sum()), *low.tolist()]
         return pa.table({"bucket": pa.array([bucket] * (len(answers) + 1), pa.int32()), "block_id": pa.chunked_array([*rows["block_id"].chunks, pa.nulls(1, pa.int64())]), "words": pa.array([*answers, None], pa.binary()), "stats": pa.array([None] * len(answers) + [stats], pa.list_(pa.int64()))})
 
     return requests.groupBy("bucket").applyInArrow(work, "bucket int, block_id bigint, words binary, stats array<bigint>")
@@ -160,54 +157,51 @@ def _totals(answers: DataFrame, size: int, name: str) -> DataFrame:
     return answers.where("block_id is null").agg(F.array(*[F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)) for i in range(size)]).alias(name))
 
 
-def _words_of_block(flat: np.ndarray, given: dict[int, dict], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The block's distinct words in order and their counts in all training texts."""
-    keys = np.unique(flat)
-    home, counts = _spread(keys, n), np.zeros(len(keys), np.int64)
-    for b, row in given.items():
-        counts[home == b] = unpack_arrays(row["words"], "<u8")[0]
-    return keys, counts
-
-
-def _pairs(flat: np.ndarray, before: np.ndarray, teach: np.ndarray, keys: np.ndarray, counts: np.ndarray, total: int, n: int, fit: KatzFit) -> tuple:
-    """Distinct pairs of a block: place in it, history, word, count, bucket; and the histories asked in each bucket."""
-    pair, first, count = _counted(pair_key(before, flat), teach)
-    h, w = before[first], flat[first]
-    seen = np.concatenate([[START], keys[keys != np.uint64(END)]]).astype(np.uint64)
-    at = np.searchsorted(keys, seen)
-    often = np.where(seen == START, counts[np.searchsorted(keys, np.uint64(END))], counts[np.minimum(at, len(keys) - 1)])
-    hot = np.sort(seen[often > max(1, total // fit.hot)])
-    is_hot = np.isin(h, hot)
-    bucket = np.where(is_hot, (_spread(h, n) + _spread(pair, fit.salts)) % np.uint64(n), _spread(h, n)).astype(np.int64)
-    return pair, h, w, count, bucket, hot
+class Pairs:
+    """Counts and numbers of a block's words, its distinct pairs by bucket and history, and what each bucket is asked.
 
+    Numbers stand for words from here on; 0 is a text's start, which counts as often as the end.
+    """
 
-def _bucket_histories(h: np.ndarray, hot: np.ndarray, b: int, n: int, fit: KatzFit) -> np.ndarray:
-    """Histories whose sums a bucket answers: those of its pairs, and every hot one that has a salt there."""
-    base = _spread(hot, n).astype(np.int64) if len(hot) else np.zeros(0, np.int64)
-    return np.union1d(h, hot[((b - base) % n) < min(fit.salts, n)]) if len(hot) else np.unique(h)
+    def __init__(self, block: Block, given: dict[int, dict], total: int, n: int, fit: KatzFit):
+        self.n, self.fit, k = n, fit, len(block.keys)
+        self.counts, self.number = np.zeros(k + 1, np.int64), np.zeros(k + 1, np.int64)
+        for b, p in _split(_spread(block.keys, n)).items():
+            self.counts[p], self.number[p] = unpack_arrays(given[b]["words"], "<u8", "<u8")
+        self.counts[k] = self.counts[:k][block.keys == END][0] if (block.keys == END).any() else 0
+        key = block.before * (k + 1) + block.at
+        order = np.argsort(key)
+        new = np.ones(len(key), bool)
+        new[1:] = key[order][1:] != key[order][:-1]
+        first = np.flatnonzero(new)
+        self.place = np.empty(len(key), np.int64)  # of each token's pair
+        self.place[order] = np.cumsum(new) - 1
+        self.count = np.add.reduceat(block.teach[order].astype(np.int64), first)
+        self.h, self.w = block.before[order[first]], block.at[order[first]]
+        self.hot = self.counts > max(1, total // fit.hot)
+        base = _spread(self.number.astype(np.uint64), n).astype(np.int64)
+        salt = _spread(self.number[self.w].astype(np.uint64) + np.uint64(7), min(fit.salts, n)).astype(np.int64)
+        bucket = (base[self.h] + np.where(self.hot[self.h], salt, 0)) % n
+        self.asked: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # bucket: pairs in order of history, histories
+        parts, hot = _split(bucket), np.flatnonzero(self.hot)
+        everywhere = (base[hot][:, None] + np.arange(min(fit.salts, n))) % n
+        for b in sorted({*parts, *everywhere.ravel().tolist()}):
+            p = parts.get(b, np.zeros(0, np.int64))
+            self.asked[b] = p, np.union1d(self.h[p], hot[(everywhere == b).any(1)])
 
 
 def pair_requests(blocks: DataFrame, words: DataFrame, fit: KatzFit) -> DataFrame:
-    """bucket, block_id, asked, g0: a block's distinct pairs by history, with counts and the words' own counts."""
+    """bucket, block_id, asked, g0: histories and their distinct followers with counts and the followers' own counts."""
     n = buckets(blocks.sparkSession)
 
     def work(block_id: int, payload: bytes, given: dict[int, dict]) -> pa.Table:
         g0 = next(iter(given.values()))["g0"]
-        _, texts, teaches = _docs(payload, fit)
-        flat, before, teach = _flat(texts, teaches)
-        keys, counts = _words_of_block(flat, given, n)
-        _, h, w, count, bucket, hot = _pairs(flat, before, teach, keys, counts, g0[0], n, fit)
-        own = counts[np.searchsorted(keys, w)].astype("<u8")
-        each, packed = [], []
-        order = np.argsort(bucket, kind="stable")
-        parts = dict(zip(*(lambda u, i: (u.tolist(), np.split(order, i[1:])))(*np.unique(bucket[order], return_index=True))))
-        base = (_spread(hot, n).astype(np.int64)[:, None] + np.arange(min(fit.salts, n))) % n
-        for b in sorted({*parts, *base.ravel().tolist()}):
-            p = parts.get(b, np.zeros(0, np.int64))
-            hist = _bucket_histories(h[p], hot, b, n, fit)
-            each.append(b)
-            packed.append(pack_arrays(hist, np.searchsorted(hist, h[p]).astype("<u4"), w[p], count[p], own[p]))
+        pairs, packed = Pairs(Block(payload), given, g0[0], n, fit), []
+        for p, hist in pairs.asked.values():
+            followers = np.searchsorted(pairs.h[p], hist, "right") - np.searchsorted(pairs.h[p], hist, "left")
+            w = pairs.w[p]
+            packed.append(pack_arrays(pairs.number[hist].astype("<u8"), followers.astype("<u4"), pairs.number[w].astype("<u8"), pairs.count[p].astype("<u4"), pairs.counts[w].astype("<u8")))
+        each = [*pairs.asked]
         return pa.table({"bucket": pa.array(each, pa.int32()), "block_id": pa.array([block_id] * len(each), pa.int64()), "asked": pa.array(packed, pa.binary()), "g0": pa.array([g0] * len(each), pa.list_(pa.int64()))})
 
     return with_answers(blocks, words, work, "bucket int, block_id bigint, asked binary, g0 array<bigint>")
@@ -221,9 +215,15 @@ def count_pairs(requests: DataFrame) -> DataFrame:
         bucket, g0 = rows["bucket"][0].as_py(), rows["g0"][0].as_py()
         asked = [unpack_arrays(a, "<u8", "<u4", "<u8", "<u4", "<u8") for a in rows["asked"].to_pylist()]
         hist = np.unique(np.concatenate([a[0] for a in asked]))
-        h = np.concatenate([np.searchsorted(hist, a[0])[a[1]] for a in asked]) if asked else np.zeros(0, np.int64)
-        key = pair_key(hist[h], np.concatenate([a[2] for a in asked]))
-        _, first, place = np.unique(key, return_index=True, return_inverse=True)
+        h = np.concatenate([np.repeat(np.searchsorted(hist, a[0]), a[1]) for a in asked])
+        w = np.concatenate([a[2] for a in asked])
+        words, w = np.unique(w, return_inverse=True)
+        key = h * max(1, len(words)) + w
+        order = np.argsort(key)
+        new = np.ones(len(key), bool)
+        new[1:] = key[order][1:] != key[order][:-1]
+        first, place = order[new], np.empty(len(key), np.int64)
+        place[order] = np.cumsum(new) - 1
         total = np.bincount(place, np.concatenate([a[3] for a in asked]), len(first)).astype("<u8")
         own = np.concatenate([a[4] for a in asked])[first].astype(np.int64)
         number = np.array(g0[2:], np.int64)
@@ -234,31 +234,22 @@ def count_pairs(requests: DataFrame) -> DataFrame:
         edges, answers = np.cumsum([len(a[2]) for a in asked])[:-1], []
         for a, part in zip(asked, np.split(place, edges)):
             at = np.searchsorted(hist, a[0])
-            answers.append(pack_arrays(total[part].astype("<u4"), np.ascontiguousarray(low[at]).ravel(), sums[at]))
+            answers.append(pack_arrays(total[part].astype("<u4"), np.ascontiguousarray(low[at].T).ravel(), sums[at]))
         counts = np.bincount(total[seen & (total <= CUT + 1)].astype(int), minlength=CUT + 2)[: CUT + 2].tolist()
         return pa.table({"bucket": pa.array([bucket] * (len(answers) + 1), pa.int32()), "block_id": pa.chunked_array([*rows["block_id"].chunks, pa.nulls(1, pa.int64())]), "pairs": pa.array([*answers, None], pa.binary()), "stats": pa.array([None] * len(answers) + [counts], pa.list_(pa.int64()))})
 
     return requests.groupBy("bucket").applyInArrow(work, "bucket int, block_id bigint, pairs binary, stats array<bigint>")
 
 
-def token_scores(flat, before, keys, counts, g0, pair, pair_counts, place, hist, low, sums, d1) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
-    """log10 of base and of Katz probability of every token."""
-    total, kinds, number = g0[0], g0[1], np.array(g0[2:], np.int64)
-    d0 = discounts(number)
-    c = counts[np.searchsorted(keys, flat)]
-    base = np.log10((c + 1.0) / (total + kinds + 1.0))
-    alone = word_probability(c, d0, total, number)
-    end = counts[np.searchsorted(keys, np.uint64(END))]
-    often = np.where(hist == START, end, counts[np.minimum(np.searchsorted(keys, hist), len(keys) - 1)]).astype(float)
-    r = np.arange(1, CUT + 1)
-    left = (low * (r * (1 - d1[1:]))).sum(1)
+def pair_scores(pairs: Pairs, got: np.ndarray, low: np.ndarray, sums: np.ndarray, g0: list[int], d1: np.ndarray) -> np.ndarray:
+    """log10 of the Katz probability of each distinct pair of a block."""
+    number = np.array(g0[2:], np.int64)
+    alone = word_probability(pairs.counts, discounts(number), g0[0], number)
+    often = pairs.counts.astype(float)
+    left = (low * (np.arange(1, CUT + 1) * (1 - d1[1:]))).sum(1)
     whole = np.where(left > 0, often, often + 1)  # a history without low counts leaves one more count to the unseen
-    left = np.where(left > 0, left, 1.0)
-    weight = np.where(often > 0, left / np.maximum(whole, 1) / np.maximum(1 - sums, 1e-300), 1.0)
-    at = np.searchsorted(hist, before)
-    got = pair_counts[place]
-    p = np.where(got > 0, discounted(got, d1) / np.maximum(whole[at], 1), weight[at] * alone)
-    return base, np.log10(p)
+    weight = np.where(often > 0, np.where(left > 0, left, 1.0) / np.maximum(whole, 1) / np.maximum(1 - sums, 1e-300), 1.0)
+    return np.log10(np.where(got > 0, discounted(got, d1) / np.maximum(whole[pairs.h], 1), weight[pairs.h] * alone[pairs.w]))
 
 
 def score_documents(docs: DataFrame, fit: KatzFit = KatzFit()) -> DataFrame:
@@ -269,40 +260,28 @@ def score_documents(docs: DataFrame, fit: KatzFit = KatzFit()) -> DataFrame:
     base.  With nothing to learn from every token has probability 1.
     """
     n = buckets(docs.sparkSession)
-    blocks = document_blocks(docs)
-    counted = count_words(word_requests(blocks, fit))
+    blocks = document_blocks(docs, pack=lambda table: pack_block(fit, table))
+    counted = count_words(word_requests(blocks), n)
     words = counted.where("block_id is not null").select("bucket", "block_id", "words").crossJoin(F.broadcast(_totals(counted, CUT + 4, "g0")))
     paired = count_pairs(pair_requests(blocks, words, fit))
     pairs = paired.where("block_id is not null").select("bucket", "block_id", "pairs").crossJoin(F.broadcast(_totals(paired, CUT + 2, "g1")))
     both = words.withColumn("pairs", F.lit(None).cast("binary")).withColumn("g1", F.lit(None).cast("array<bigint>")).unionByName(pairs.withColumn("words", F.lit(None).cast("binary")).withColumn("g0", F.lit(None).cast("array<bigint>")).withColumn("bucket", F.col("bucket") + n))
 
     def work(_: int, payload: bytes, given: dict[int, dict]) -> pa.Table:
-        table, texts, teaches = _docs(payload, fit)
-        flat, before, teach = _flat(texts, teaches)
         words_given = {b: r for b, r in given.items() if b < n}
         pairs_given = {b - n: r for b, r in given.items() if b >= n}
         g0, g1 = next(iter(words_given.values()))["g0"], next(iter(pairs_given.values()))["g1"]
-        keys, counts = _words_of_block(flat, words_given, n)
-        pair, h, _, _, bucket, hot = _pairs(flat, before, teach, keys, counts, g0[0], n, fit)
-        got, hist = np.zeros(len(pair), np.int64), np.unique(before)
-        low, sums = np.zeros((len(hist), CUT)), np.zeros(len(hist))
-        order = np.argsort(bucket, kind="stable")
-        kinds, starts = np.unique(bucket[order], return_index=True)
-        parts = dict(zip(kinds.tolist(), np.split(order, starts[1:])))
-        for b, row in pairs_given.items():
-            p = parts.get(b, np.zeros(0, np.int64))
-            asked = _bucket_histories(h[p], hot, b, n, fit)
-            total, lows, mass = unpack_arrays(row["pairs"], "<u4", "<u4", "<f8")
-            got[p] = total
-            at = np.searchsorted(hist, asked)
-            fits = (at < len(hist)) & (hist[np.minimum(at, len(hist) - 1)] == asked)
-            np.add.at(low, at[fits], lows.reshape(-1, CUT)[fits])
-            np.add.at(sums, at[fits], mass[fits])
-        place = np.searchsorted(pair, pair_key(before, flat))
-        base, katz = token_scores(flat, before, keys, counts, g0, pair, got, place, hist, low, sums, discounts(np.array(g1)))
-        sizes = np.array([len(t) for t in texts])
-        starts = np.cumsum(sizes) - sizes
-        known = (counts[np.searchsorted(keys, flat)] > 0).astype(np.int64)
-        return pa.table({"doc_id": table["doc_id"], "held_out": pa.array(~teaches), "n_tokens": pa.array(sizes.astype(np.int64)), "n_known": pa.array(np.add.reduceat(known, starts)), "train_tokens": pa.array(np.full(len(sizes), g0[0], np.int64)), "base_score": pa.array(np.add.reduceat(base, starts)), "score": pa.array(np.add.reduceat(katz, starts))})
+        block = Block(payload)
+        p = Pairs(block, words_given, g0[0], n, fit)
+        got, low, sums = np.zeros(len(p.h), np.int64), np.zeros((len(p.counts), CUT)), np.zeros(len(p.counts))
+        for b, (part, hist) in p.asked.items():
+            got[part], lows, mass = unpack_arrays(pairs_given[b]["pairs"], "<u4", "<u4", "<f8")
+            low[hist] += lows.reshape(CUT, -1).T
+            sums[hist] += mass
+        katz = pair_scores(p, got, low, sums, g0, discounts(np.array(g1)))[p.place]
+        base = np.log10((p.counts + 1.0) / (g0[0] + g0[1] + 1.0))[block.at]
+        known = (p.counts > 0).astype(np.int64)[block.at]
+        per = lambda x: pa.array(np.add.reduceat(x, block.starts))
+        return pa.table({"doc_id": block.doc_id, "held_out": pa.array(~block.teaches), "n_tokens": pa.array(block.sizes), "n_known": per(known), "train_tokens": pa.array(np.full(len(block.sizes), g0[0], np.int64)), "base_score": per(base), "score": per(katz)})
 
     return with_answers(blocks, both, work, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
