@@ -229,7 +229,7 @@ def change_refinement(t: Tables) -> DataFrame:
 
 _STRATEGY = "CASE change_type WHEN 'no_change' THEN 'skip' WHEN 'minor_update' THEN 'incremental' ELSE 'full_reindex' END"
 _PRIORITY = "CASE WHEN change_type IN ('major_update', 'minor_update') THEN 2 WHEN change_type = 'no_change' THEN 3 ELSE 1 END"
-_EFFORT = "round((CASE change_type WHEN 'no_change' THEN 0.1 WHEN 'minor_update' THEN 5.0 WHEN 'major_update' THEN 15.0 WHEN 'structure_change' THEN 25.0 ELSE 30.0 END::DOUBLE * (1 + least(n_chars / 10000, 3.0::DOUBLE) + least(changed_chunks / 10, 2.0::DOUBLE)))::DECIMAL(18, 14), 2)::DOUBLE"
+_EFFORT = "round((CASE change_type WHEN 'no_change' THEN 0.1 WHEN 'minor_update' THEN 5.0 WHEN 'major_update' THEN 15.0 WHEN 'structure_change' THEN 25.0 ELSE 30.0 END::DOUBLE * (1 + least(n_chars / 10000, 3.0::DOUBLE) + least(changed_chunks / 10, 2.0::DOUBLE)))::VARCHAR::DECIMAL(38, 20), 2)::DOUBLE"
 
 
 def _analysis(t: Tables) -> DataFrame:
