@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -85,12 +85,21 @@ class WordHashes(dict):
 
 
 word_hashes = WordHashes()
+#: What empties the caches of this Python worker, by whoever fills them.
+on_release: list[Callable[[], None]] = [word_hashes.clear]
+
+
+def release_caches() -> None:
+    """Empties all caches of this worker, which other operators may have left full."""
+    for empty in on_release:
+        empty()
+    pa.default_memory_pool().release_unused()
 
 
 def forgetting(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Passes a task's results on and empties the word hashes behind them: idle Python workers hold no caches."""
+    """Passes a task's results on and empties the caches behind them: idle Python workers hold none."""
     yield from batches
-    word_hashes.clear()
+    release_caches()
 
 
 def small_batches(batches: Iterable[pa.RecordBatch], column: str, rows: int = 1024, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 import numpy as np
 from tokenizers import Tokenizer
 
+from docweave.llm.common import on_release
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 
@@ -145,6 +147,7 @@ class PieceEncoder:
 
 
 _encoders: dict[tuple, PieceEncoder] = {}
+on_release.append(_encoders.clear)
 
 
 def encoder(path: str, keeps_space: bool, limit: int = 400_000) -> PieceEncoder:

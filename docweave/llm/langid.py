@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import only, positional, remainder, small_batches
+from docweave.llm.common import only, positional, release_caches, remainder, small_batches
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
@@ -93,8 +93,10 @@ class WordBackoff:
             self.words.update(zip(new, range(len(self.words), len(self.words) + len(new))))
             self.table = np.concatenate([self.table, [self._backoff(w) for w in new]])
 
-    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """Language and share of the probability of each text."""
+    def predict_all(self, texts: list[str | None], group: int = 256) -> list[tuple[str, float]]:
+        """Language and share of the probability of each text; the words of a group of texts are held at a time."""
+        if len(texts) > group:
+            return [p for i in range(0, len(texts), group) for p in self.predict_all(texts[i : i + group], group)]
         split = [words_of(t or "") for t in texts]
         if not self.languages:
             return [(UNDETERMINED, 0.0)] * len(texts)
@@ -172,6 +174,7 @@ def keep_identified(docs: DataFrame, model: WordBackoff, least: float = 0.5) ->
 
     @F.pandas_udf("boolean")
     def found(text):  # noqa: ANN001, ANN202  pandas UDF
+        release_caches()
         return pd.Series([score >= least for _, score in shared.value.predict_all(list(text))])
 
     rows, at = positional(docs)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import forgetting, only, positional, small_batches, word_hashes
+from docweave.llm.common import forgetting, only, positional, release_caches, small_batches, word_hashes
 
 #: Odd multiplier of the rolling hash.
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -119,6 +119,7 @@ def keep_good(docs: DataFrame, rules: CoverageRules = CoverageRules()) -> DataFr
     """The documents whose text the rules keep, with all their columns, filtered in place by a vectorised predicate."""
     @F.pandas_udf("boolean")
     def good(text):  # noqa: ANN001, ANN202  pandas UDF
+        release_caches()
         return text.map(lambda t: measure(t, rules)[6])
 
     rows, at = positional(docs)
