@@ -31,7 +31,7 @@ class JoinFit:
 
     Shingles counted ``local`` times in a block of a task are summed, and the ``frequent`` commonest of those in ``least`` sets
     or more come last in the orders.  Up to ``broadcast_rows`` ids of sets to verify are broadcast, more are joined by
-    shuffle.
+    shuffle.  ``rounds`` of hubs come before sets are paired with each other.
     """
 
     width: int = 5
@@ -41,6 +41,7 @@ class JoinFit:
     least: int = 4
     frequent: int = 500_000
     broadcast_rows: int = 1_000_000
+    rounds: int = 3
 
 
 def _mix(x: np.ndarray, by: np.uint64) -> np.ndarray:
@@ -138,14 +139,14 @@ def _prefixes(docs: DataFrame, frequent, fit: JoinFit) -> DataFrame:  # noqa: AN
 
 
 def _groups(prefixes: DataFrame, fit: JoinFit) -> DataFrame:
-    """The rows whose token another set of fitting size has, each with a hub of its run: token, run, digest, n, hub.
+    """The rows whose token another set of fitting size has: token, run, digest, n.
 
     Works along rows sorted by token and size and holds one row over, so a token may have any number of sets.  A run ends
     where the next size is too large for a link across; no link leaves its run.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # (token, digest, n, run, hub, given out, the hub's size)
+        last = None  # (token, digest, n, run, given out)
         for batch in batches:
             token, digest, n = (batch.column(c).to_numpy() for c in ("token", "digest", "n"))
             if last is not None:
@@ -158,29 +159,22 @@ def _groups(prefixes: DataFrame, fit: JoinFit) -> DataFrame:
             starts = np.ones(len(token), bool)
             starts[1:] = (token[1:] != token[:-1]) | (100 * n[:-1] < fit.percent * n[1:])
             at = np.maximum.accumulate(np.where(starts, np.arange(len(token)), 0))
-            run, hub, reach = n[at], digest[at], n[at]
+            run = n[at]
             if last is not None:
-                run[at == 0], hub[at == 0], reach[at == 0] = last[3], last[4], last[6]
-            far = 100 * reach < fit.percent * n
-            while far.any():  # from the first set too large for a hub on, that set is the hub
-                first = np.flatnonzero(far & np.r_[True, ~far[:-1] | (at[1:] != at[:-1])])
-                for i in first.tolist():
-                    end = i + int(np.argmax(np.append(at[i:] != at[i], True)))
-                    hub[i:end], reach[i:end] = digest[i], n[i]
-                far = 100 * reach < fit.percent * n
+                run[at == 0] = last[3]
             pair = ~starts
             pair[:-1] |= ~starts[1:]
             if last is not None:
-                pair[0] = (len(starts) > 1 and not starts[1]) and not last[5]
+                pair[0] = (len(starts) > 1 and not starts[1]) and not last[4]
             give = pair.copy()
             give[-1] &= pair[-1]
             out = np.flatnonzero(give)
-            given = bool(give[-1]) or (last is not None and len(token) == 1 and last[5])
-            last = (token[-1], digest[-1], n[-1], run[-1], hub[-1], given, reach[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(token[out]), pa.array(run[out]), pa.array(digest[out]), pa.array(n[out]), pa.array(hub[out])], names=["token", "run", "digest", "n", "hub"])
+            given = bool(give[-1]) or (last is not None and len(token) == 1 and last[4])
+            last = (token[-1], digest[-1], n[-1], run[-1], given)
+            yield pa.RecordBatch.from_arrays([pa.array(token[out]), pa.array(run[out]), pa.array(digest[out]), pa.array(n[out])], names=["token", "run", "digest", "n"])
 
     dealt = prefixes.repartition("token").sortWithinPartitions("token", "n", "digest")
-    return dealt.mapInArrow(work, "token bigint, run bigint, digest bigint, n bigint, hub bigint")
+    return dealt.mapInArrow(work, "token bigint, run bigint, digest bigint, n bigint")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, frequent, fit: JoinFit) -> DataFrame:  # noqa: ANN001  Broadcast
@@ -230,6 +224,43 @@ def _verified(pairs: DataFrame, sets: DataFrame, fit: JoinFit) -> DataFrame:
     return _sided(left, sets.join(ids, "digest", "left_semi"), ("tokens",)).mapInArrow(similar, "a bigint, b bigint")
 
 
+def _fitting(a: str, b: str, fit: JoinFit) -> str:
+    return f"100 * least({a}, {b}) >= {fit.percent} * greatest({a}, {b})"
+
+
+def _least_shared(fit: JoinFit) -> str:
+    """SQL of ``meeting``'s bound for the first order, by the sizes n_a and n_b."""
+    both = f"ceil({fit.percent}D * (n_a + n_b) / {100 + fit.percent} - 1e-9)"
+    beyond = lambda n: f"(1 - ceil({fit.percent}D * {n} / 100 - 1e-9) + {both})"
+    return f"greatest(1, least({beyond('n_a')}, {beyond('n_b')}))"
+
+
+def _stars(placed: DataFrame, number: int, fit: JoinFit) -> DataFrame:
+    """Pairs of each set with the hub of its group, where that lies in another component.
+
+    The first hub is the set that stands in most groups: the original of a family of near copies is in all of theirs,
+    while each copy is missing where it was changed.  Later ones differ from token to token, so that a set meets many.
+    A set has no more pairs than rows.
+    """
+    if number:
+        scored = placed.withColumn("score", F.xxhash64("digest", "token", F.lit(number)))
+    else:
+        scored = placed.join(placed.groupBy("digest").agg(F.count("*").alias("score")), "digest")
+    hubs = scored.groupBy("token", "run").agg(F.max(F.struct("score", "digest", "n", "component")).alias("hub"))
+    pairs = placed.join(hubs, ["token", "run"]).where(f"component <> hub.component and {_fitting('n', 'hub.n', fit)}")
+    return pairs.select(F.least("digest", "hub.digest").alias("a"), F.greatest("digest", "hub.digest").alias("b")).distinct()
+
+
+def _open(groups: DataFrame, tied: DataFrame | None) -> DataFrame:
+    """The rows of groups that still lie in several components, with the component of each."""
+    if tied is None:
+        placed = groups.withColumn("component", F.col("digest"))
+    else:
+        placed = groups.drop("component").join(tied.select(F.col("node").alias("digest"), "component"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    several = placed.groupBy("token", "run").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token", "run")
+    return stored(placed.join(several, ["token", "run"], "left_semi").select("token", "run", "digest", "n", "component"), "open")
+
+
 def jaccard_components(docs: DataFrame, fit: JoinFit = JoinFit()) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id reachable by links.
 
@@ -252,18 +283,26 @@ def jaccard_components(docs: DataFrame, fit: JoinFit = JoinFit()) -> DataFrame:
     wanted = stored(wanted, "wanted")
     sets = stored(_sets(rows, F.broadcast(wanted) if wanted.count() <= fit.broadcast_rows else wanted, frequent, fit), "sets")
 
-    stars = groups.where("digest <> hub").select(F.least("digest", "hub").alias("a"), F.greatest("digest", "hub").alias("b")).distinct()
-    links = stored(_verified(stars, sets, fit), "links")
-    tied = connected_components(links)
-    placed = groups.join(tied.select(F.col("node").alias("digest"), "component"), "digest", "left").select("token", "run", "digest", "n", F.coalesce("component", "digest").alias("component"))
-    open_groups = placed.groupBy("token", "run").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token", "run")
-    rest = stored(placed.join(open_groups, ["token", "run"], "left_semi"), "rest")
+    links, tied, tried, rest = None, None, None, groups
+    for number in range(fit.rounds):
+        rest = _open(rest, tied)
+        pairs = _stars(rest, number, fit)
+        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "stars")
+        if pairs.isEmpty():
+            break
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = stored(_verified(pairs, sets, fit), "links")
+        links = found if links is None else links.unionByName(found)
+        tied = connected_components(links)
+    rest = _open(rest, tied)
     x, y = (rest.select("token", "run", *[F.col(c).alias(f"{c}_{s}") for c in ("digest", "n", "component")]) for s in "ab")
-    across = x.join(y, ["token", "run"]).where(f"digest_a < digest_b and component_a <> component_b and 100 * least(n_a, n_b) >= {fit.percent} * greatest(n_a, n_b)")
-    pairs = across.select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = stored(_verified(pairs, sets, fit), "links")
-    if not more.isEmpty():
-        tied = connected_components(links.unionByName(more))
+    across = x.join(y, ["token", "run"]).where(f"digest_a < digest_b and component_a <> component_b and {_fitting('n_a', 'n_b', fit)}")
+    shared = across.groupBy(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"), "n_a", "n_b").agg(F.count("*").alias("shared"))
+    pairs = shared.where(f"shared >= {_least_shared(fit)}").select("a", "b")
+    found = stored(_verified(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), sets, fit), "links")
+    links = found if links is None else links.unionByName(found)
+    if tied is None or not found.isEmpty():
+        tied = connected_components(links)
 
     classes = documents.join(tied.select(F.col("node").alias("digest"), "component"), "digest", "left").withColumn("class", F.coalesce("component", "digest"))
     least = classes.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
