@@ -1,8 +1,9 @@
 """URL rules, and for pages that no rule fits, propagation of trust and distrust over the graph of hosts.
 
-Trust flows from hosts with allowed pages along links; distrust flows from hosts with blocked pages against them, to
-the hosts that link there.  Both are personalised PageRanks with the seeds as restart set, worked out as joins and
-sums over host edges.
+Trust flows from hosts with allowed pages along links: a personalised PageRank with the seeds as restart set.  Distrust
+flows from hosts with blocked pages against links, to the hosts that link there, and counts by the part of a linker's own
+links: it is what a linker's personalised PageRank gives to blocked hosts, however many others link there.  Both are
+worked out as joins and sums over host edges.
 """
 
 from __future__ import annotations
@@ -87,9 +88,9 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def _rank(edges: DataFrame, seeds: DataFrame, source: str, target: str, p: Propagation) -> DataFrame:
-    """Personalised PageRank along ``source`` to ``target``: (host, score)."""
-    out = edges.groupBy(source).agg(F.sum("weight").alias("total"))
-    share = checkpoint(edges.join(out, source).select(F.col(source).alias("host"), F.col(target).alias("to"), (F.col("weight") / F.col("total")).alias("share")))
+    """Scores that flow from ``source`` to ``target`` by the edge's part of the links of its ``src``: (host, score)."""
+    out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
+    share = checkpoint(edges.join(out, "src").select(F.col(source).alias("host"), F.col(target).alias("to"), (F.col("weight") / F.col("total")).alias("share")))
     start = seeds.select("host", (F.col("seed") * (1 - p.damping)).alias("score"))
     score = start
     for i in range(p.rounds):

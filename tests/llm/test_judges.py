@@ -138,5 +138,14 @@ def test_distrust_runs_against_links_and_trust_along_them(spark):
     assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "allow"}
 
 
+@pytest.mark.parametrize("linkers", [1, 10, 1000])
+def test_distrust_does_not_thin_out_among_linkers(spark, linkers):
+    """Also where one linker has most of the linking pages."""
+    link = '<a href="http://spam.net/">x</a>'
+    pages = [(0, "http://spam.net/es/a", ""), *[(i, f"http://farm{i}.org/", link) for i in range(1, linkers + 1)], *[(5000 + i, f"http://big.org/{i}", link) for i in range(200)]]
+    got = {r["page_id"]: r["verdict"] for r in filter_urls(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert got == {p[0]: "block" for p in pages}
+
+
 def test_names():
     assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
