@@ -23,18 +23,20 @@ from docweave.llm.common import only
 class AnnFit:
     """Bounds of the index; every row is indexed whatever the sample.
 
-    ``sample`` vectors at most (by a hash of their ids) fit the partitions, one for about ``rows_per_part`` rows and at
-    most ``max_parts``; ``target`` is the recall that held-out sample vectors must reach with the visited partitions.
-    A block of one task holds about ``block_rows`` candidates and ``block_queries`` queries.
+    ``sample`` vectors at most (by a hash of their ids) fit the partitions, one for about ``rows_per_part`` rows, at least
+    ``least_parts`` where each gets 32 of the fitted vectors, and at most ``max_parts``; ``target`` is the recall that
+    held-out sample vectors must reach with the visited partitions, which hold at least ``least_rows`` rows.  A block of one task holds about ``block_rows`` candidates and ``block_queries`` queries.
     """
 
     sample: int = 8_192
     rows_per_part: int = 4_000
+    least_parts: int = 8
     max_parts: int = 256
     graph_degree: int = 16
     hidden: int = 64
     epochs: int = 30
     target: float = 0.96
+    least_rows: int = 512
     block_rows: int = 8_192
     block_queries: int = 2_048
     seed: int = 11
@@ -93,7 +95,7 @@ class Router:
 
     def __init__(self, dim: int, parts: int, fit: AnnFit):
         rng = np.random.default_rng(fit.seed)
-        self.parts, self.probes, self.counts = parts, parts, np.zeros(parts, np.int64)
+        self.parts, self.probes, self.counts, self.least_rows = parts, parts, np.zeros(parts, np.int64), fit.least_rows
         self.w = [rng.normal(0, dim**-0.5, (dim, fit.hidden)), np.zeros(fit.hidden), rng.normal(0, fit.hidden**-0.5, (fit.hidden, parts)), np.zeros(parts)]
 
     def logits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +133,7 @@ class Router:
         out = []
         for row in self.ranked(x):
             held = np.cumsum(self.counts[row])
-            out.append(row[: max(self.probes, int(np.searchsorted(held, min(k + 1, held[-1]))) + 1)])
+            out.append(row[: max(self.probes, int(np.searchsorted(held, min(max(k + 1, self.least_rows), held[-1]))) + 1)])
         return out
 
 
@@ -156,7 +158,7 @@ def fit_router(rows: DataFrame, k: int, fit: AnnFit = AnnFit()) -> Router | None
     picked = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_003)) < min(1.0, fit.sample / n) * 1_000_003).orderBy("vec_id").limit(2 * fit.sample).toArrow()
     vectors = np.array(picked["vec"].to_pylist(), float) if picked.num_rows else np.array([rows.first()["vec"]])
     half = len(vectors) // 2
-    parts = int(np.clip(round(n / fit.rows_per_part), 1, min(fit.max_parts, max(1, half // 32))))
+    parts = int(np.clip(max(round(n / fit.rows_per_part), fit.least_parts), 1, min(fit.max_parts, max(1, half // 32))))
     router = Router(vectors.shape[1], parts, fit)
     if parts > 1:
         learn, check = vectors[::2], vectors[1::2]

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from docweave.llm.ann import AnnFit, nearest_neighbours
+from docweave.llm.ann import AnnFit, fit_router, nearest_neighbours, usable_rows
 from docweave.llm.graph import connected_components
 from docweave.llm.katz import CUT, KatzFit, discounts, score_documents
 from docweave.llm.ngram_join import JoinFit, jaccard_components, keep_representatives
@@ -127,6 +127,17 @@ def test_recall_and_blocks(spark):
     assert hits >= 0.9 * 10 * len(want)
 
 
+@pytest.mark.parametrize("n", [2000, 9000])
+def test_recall_with_the_fit_of_the_query(spark, n):
+    """Several partitions at the size of the given table too, and not all of them visited."""
+    rows = clusters(n)
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    router = fit_router(usable_rows(df), 20)
+    assert router.probes < router.parts
+    got, want = asked(df, 20, 20), brute_nearest(rows, 20, 20)
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 0.9 * 20 * len(want)
+
+
 def brute_katz(rows, fit):
     tokens = lambda t: [*words(t), "end"]
     one, two = Counter(), Counter()
