@@ -142,6 +142,18 @@ def format_file_size(t: Tables) -> DataFrame:
     return t.documents.where("n_chars % 2 = 0").select("doc_id", T.format_file_size(F.col("n_chars") * F.col("n_chars") + 1).alias("size_text"))
 
 
+@query()
+def format_duration_whole(t: Tables) -> DataFrame:
+    """Every document; the SQL of ``format_duration`` leaves out ties."""
+    return t.documents.select("doc_id", T.format_duration(F.col("n_chars").cast("double")).alias("duration"))
+
+
+@query()
+def format_file_size_whole(t: Tables) -> DataFrame:
+    """Every document; the SQL of ``format_file_size`` leaves out odd lengths."""
+    return t.documents.select("doc_id", T.format_file_size(F.col("n_chars") * F.col("n_chars") + 1).alias("size_text"))
+
+
 # ---- chunks
 
 

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from docweave.functions import text as T
 from docweave.plans import catalog
 from docweave.streaming import feeds
 
@@ -56,3 +57,29 @@ def test_job_feed_hands_over_in_order(spark, tmp_path):
     q = feeds.job_feed(spark, str(tmp_path / "jobs"), jobs.schema, lambda df, n: seen.extend(r["job_id"] for r in df.collect()), str(tmp_path / "at"))
     q.awaitTermination(60)
     assert seen == [3, 2, 1]
+
+
+def python_duration(x):
+    return f"{x:.1f}s" if x < 60 else f"{x / 60:.1f}m" if x < 3600 else f"{x / 3600:.1f}h"
+
+
+def python_size(x):
+    for unit in ("B", "KB", "MB", "GB"):
+        if x < 1024:
+            return f"{x:.1f}{unit}"
+        x /= 1024.0
+    return f"{x:.1f}TB"
+
+
+def test_formats_round_as_printf(spark):
+    """Ties, and doubles next to ties, of every unit."""
+    got = spark.range(40_000).select("id", T.format_duration(F.col("id").cast("double")).alias("a"), T.format_duration(F.col("id") / 20).alias("b"), T.format_file_size(F.col("id")).alias("c"), T.format_file_size(F.col("id") * F.col("id") * 256).alias("d"))
+    for i, *texts in got.collect():
+        assert texts == [python_duration(i), python_duration(i / 20), python_size(i), python_size(i * i * 256)]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
+def test_whole_formats_keep_every_document(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "n_chars").collect()
+    for name, f in (("format_duration_whole", python_duration), ("format_file_size_whole", lambda n: python_size(n * n + 1))):
+        assert sorted(map(tuple, catalog.QUERIES[name](spark, SF).collect())) == sorted((d, f(n)) for d, n in docs)
