@@ -117,3 +117,34 @@ def test_neighbours_share_words(spark):
         by[p["sequence_id"]].add(p["doc_id"])
     same = [a % 4 == b % 4 for s in by.values() for a in s for b in s if a < b]
     assert sum(same) / len(same) > 0.6
+
+
+def test_neighbours_come_from_every_shard(spark):
+    """One lane over shards of seven documents takes what BM25 over the whole corpus ranks best."""
+    rnd = random.Random(9)
+    topics = [[f"{a}{b}" for b in "bcdfghjklmnp"] for a in ("alpha", "gamma", "delta", "omega")]
+    rows = [(i, " ".join(rnd.choice(topics[i % 4]) for _ in range(40))) for i in range(120)]
+    fit = PackFit(window=1024, shard_docs=7)
+    got = pack(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), WORD_BPE, fit=fit).collect()
+    docs = {i: np.array([*ids_of(WORD_BPE, t), 2]) for i, t in rows}
+    df = np.bincount(np.concatenate([np.unique(x) for x in docs.values()]))
+    idf, mean = np.maximum(0, np.log((len(docs) - df + 0.5) / (df + 0.5))), sum(map(len, docs.values())) / len(docs)
+
+    def score(seed, doc):
+        x, terms = docs[doc], np.unique(docs[seed])
+        tf = np.array([(x == t).sum() for t in terms], float)
+        return float((idf[terms] * tf * (fit.k1 + 1) / (tf + fit.k1 * (1 - fit.b + fit.b * len(x) / mean))).sum())
+
+    order = [p["doc_id"] for p in sorted(got, key=lambda p: (p["sequence_id"], p["offset"])) if p["start"] == 0]
+    assert sorted(order) == sorted(docs)
+    free, seed, filled = set(docs) - {order[0]}, order[0], len(docs[order[0]]) % fit.window
+    for doc in order[1:]:
+        best = max(score(seed, d) for d in free)
+        if best > 0:
+            assert score(seed, doc) == pytest.approx(best)
+        else:
+            seed = doc
+        free.remove(doc)
+        filled += len(docs[doc])
+        if filled >= fit.window:
+            seed, filled = doc, filled % fit.window
