@@ -178,7 +178,10 @@ def _groups(prefixes: DataFrame, fit: JoinFit) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, frequent, fit: JoinFit) -> DataFrame:  # noqa: ANN001  Broadcast
-    """digest, size, prefixes under the further orders and whole set, as bytes, of the wanted documents' texts."""
+    """digest, size, prefixes under the further orders and whole set, as bytes, of the wanted documents' texts.
+
+    A wanted text that stands only under a null doc_id is found by its digest.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
@@ -186,7 +189,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, frequent, fit: JoinFit) -> DataFra
             more = [[np.sort(prefix(s, frequent.value, k, fit.percent)).tobytes() for s in sets] for k in (1, 2)]
             yield pa.RecordBatch.from_arrays([pa.array([set_digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(m, pa.binary()) for m in more], pa.array([s.tobytes() for s in sets], pa.binary())], names=["digest", "size", "second", "third", "tokens"])
 
-    return docs.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(lambda b: forgetting(work(b)), "digest bigint, size bigint, second binary, third binary, tokens binary")
+    near = F.broadcast if wanted.count() <= fit.broadcast_rows else lambda df: df
+    found = lambda df: df.select("text").mapInArrow(lambda b: forgetting(work(b)), "digest bigint, size bigint, second binary, third binary, tokens binary")
+    sets, nameless = found(docs.join(near(wanted.select("doc_id")), "doc_id", "left_semi")), wanted.where("doc_id is null").select("digest")
+    if nameless.isEmpty():
+        return sets
+    return sets.unionByName(found(docs.where("doc_id is null")).join(near(nameless), "digest", "left_semi").dropDuplicates(["digest"]))
 
 
 def meeting(a: np.ndarray, b: np.ndarray, size_a: int, size_b: int, percent: int = 80) -> bool:
@@ -279,9 +287,9 @@ def jaccard_components(docs: DataFrame, fit: JoinFit = JoinFit()) -> DataFrame:
 
     groups = stored(_groups(_prefixes(rows, frequent, fit), fit), "groups")
     active = groups.select("digest").distinct()
-    wanted = documents.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(active, "digest", "left_semi").select("doc_id")
+    wanted = documents.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(active, "digest", "left_semi").select("digest", "doc_id")
     wanted = stored(wanted, "wanted")
-    sets = stored(_sets(rows, F.broadcast(wanted) if wanted.count() <= fit.broadcast_rows else wanted, frequent, fit), "sets")
+    sets = stored(_sets(rows, wanted, frequent, fit), "sets")
 
     links, tied, tried, rest = None, None, None, groups
     for number in range(fit.rounds):

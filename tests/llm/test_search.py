@@ -78,6 +78,15 @@ def test_join_on_odd_rows(odd, none, docs):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [0, 1, 2, 3, 4, 6, 7, 8, None, 9]))
 
 
+def test_null_ids_bridge_near_copies(spark):
+    """Two documents that only a text of null doc_id, there twice, joins."""
+    w = [f"w{i}" for i in range(104)]
+    rows = [(5, " ".join(w[:86])), (None, " ".join(w[9:95])), (None, " ".join(w[9:95])), (3, " ".join(w[18:])), (9, "some other text of seven words here")]
+    got = sorted(map(tuple, jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()), key=str)
+    assert got == sorted(brute_components(rows), key=str)
+    assert {d: c for d, _, c in got} == {5: 3, 3: 3, None: 3, 9: 9}
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (3, 4), (10, 11), (12, 11), (5, 5), *[(100, i) for i in range(101, 160)], (159, 200)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
