@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,13 +26,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, kind: str) -> str:
     """A new folder below the shared folder that ``spark.checkpoint.dir`` names.
 
-    Only where that setting is missing (tests, notebooks) a temporary folder stands in for it.
+    Where that setting is missing, a local session (tests, notebooks) gets a temporary folder; on a cluster, whose
+    machines would not find each other's files, it is an error.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if base is None:
         base = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = base.get() if base.isDefined() else None
     if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = tempfile.mkdtemp(prefix="docweave-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
@@ -46,7 +51,17 @@ def stored(df: DataFrame, kind: str) -> DataFrame:
     """Write to the shared folder as Parquet and read it back: cuts lineage and survives lost executors."""
     path = scratch(df.sparkSession, kind)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes the folders of stored tables that nothing reads any more."""
+    for df in tables:
+        if (path := getattr(df, "__dict__", {}).get("stored_at")) is not None:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def positional(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -74,19 +89,62 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered within a task up to a bound."""
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_BYTE = np.where(_SPACE, np.uint64(0), np.random.default_rng(0x5EED).integers(1, 1 << 63, 256, np.uint64))
+_LOWER = _BYTE.copy()
+_LOWER[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
+#: Odd factors of a byte's place in its word; grows with the longest word.
+_PLACE = np.zeros(0, np.uint64)
+
+
+def mix(x: np.ndarray, by: int) -> np.ndarray:
+    """Spreads 64-bit numbers; one to one for an odd factor."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(by)
+    return x ^ (x >> np.uint64(29))
+
+
+def text_bytes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts of a batch, one behind the other, and where each starts; a null text is empty."""
+    text = pc.fill_null(text, "").cast(pa.large_string())
+    at = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+    data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[at[0] : at[-1]] if len(text) else np.zeros(0, np.uint8)
+    return data, at - at[0] if len(text) else np.zeros(1, np.int64)
 
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 150_000:
-            self[word] = h
-        return h
+
+def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where words start and end in the bytes of texts, and how many words stand before each text and in all."""
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = ~_SPACE[data]
+    first = np.zeros(len(data) + 1, bool)
+    first[at] = True
+    starts = np.flatnonzero(inside[1:] & (~inside[:-1] | first))
+    ends = np.flatnonzero(inside[:-1] & (~inside[1:] | first))
+    return starts, ends, np.searchsorted(starts, at)
+
+
+def word_keys(text: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of a batch's texts, and how many stand before each text and in all.
+
+    A word's hash is the sum over its bytes of a random number of the byte times one of its place, mixed.
+    """
+    global _PLACE
+    data, at = text_bytes(text)
+    starts, ends, before = word_spans(data, at)
+    if not len(starts):
+        return np.zeros(0, np.uint64), before
+    longest = int((ends - starts).max())
+    if longest > len(_PLACE):
+        _PLACE = mix(np.arange(1, longest + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93) | np.uint64(1)
+    gaps = np.diff(starts, append=len(data))
+    place = np.arange(starts[0], len(data)) - np.repeat(starts, gaps)  # beyond a word's end bytes count nothing
+    sums = np.add.reduceat((_LOWER if lower else _BYTE)[data[starts[0] :]] * _PLACE[np.minimum(place, longest - 1)], starts - starts[0])
+    return mix(sums + (ends - starts).astype(np.uint64), 0xFF51AFD7ED558CCD), before
 
 
-word_hashes = WordHashes()
 #: What empties the caches of this Python worker, by whoever fills them.
-on_release: list[Callable[[], None]] = [word_hashes.clear]
+on_release: list[Callable[[], None]] = []
+_libc = ctypes.CDLL(None) if sys.platform.startswith("linux") else None
 
 
 def release_caches() -> None:
@@ -94,6 +152,8 @@ def release_caches() -> None:
     for empty in on_release:
         empty()
     pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
 
 
 def forgetting(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

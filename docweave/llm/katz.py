@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.blocks import buckets, document_blocks, pack_arrays, unpack_arrays, with_answers
-from docweave.llm.common import word_hashes
+from docweave.llm.common import word_keys
 
 #: Key of a text's end, which counts as a word; its start is a history only.
 END = np.uint64(0x454E44)
@@ -38,12 +38,12 @@ class KatzFit:
     salts: int = 16
 
 
-def tokens_of(text: str | None) -> np.ndarray:
-    """Keys of the words, A-Z lower-cased, and of the end."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    out = np.full(len(words) + 1, END, np.uint64)
-    out[:-1] = np.fromiter(map(word_hashes.__getitem__, words), np.uint64, len(words))
-    return out
+def tokens_of(text: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the words of all texts, A-Z lower-cased, an end behind each text, and the number of tokens of each."""
+    words, before = word_keys(text.combine_chunks())
+    sizes = np.diff(before) + 1
+    out = np.insert(words, before[1:], END)
+    return out, sizes
 
 
 def _spread(key: np.ndarray, n: int) -> np.ndarray:
@@ -102,12 +102,12 @@ class Block:
 def pack_block(fit: KatzFit, table: pa.Table) -> bytes:
     ids = table["doc_id"].to_pylist()
     teaches = np.array([3 if i is None else _crc(i) % fit.folds != fit.held_out for i in ids], np.uint8)
-    texts = [tokens_of(t) for t in table["text"].to_pylist()]
-    keys, place, count = np.unique(np.concatenate(texts), return_inverse=True, return_counts=True)
+    tokens, sizes = tokens_of(table["text"])
+    keys, place, count = np.unique(tokens, return_inverse=True, return_counts=True)
     order = np.argsort(-count, kind="stable")
     rank = np.empty(len(keys), "<u4")
     rank[order] = np.arange(len(keys))
-    data = pack_arrays(np.array([i or 0 for i in ids], "<i8"), np.array([len(t) for t in texts], "<u4"), teaches, rank[place], keys[order].astype("<u8"))
+    data = pack_arrays(np.array([i or 0 for i in ids], "<i8"), sizes.astype("<u4"), teaches, rank[place], keys[order].astype("<u8"))
     return (b"n" if None in ids else b"-") + data
 
 

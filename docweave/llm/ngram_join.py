@@ -9,6 +9,7 @@ leaves in different components are paired with each other.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,12 +18,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from docweave.llm.common import forgetting, only, positional, small_batches, stored, word_hashes
+from docweave.llm.common import discard, forgetting, mix, on_release, only, positional, small_batches, stored, word_keys
 from docweave.llm.graph import connected_components
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_ORDERS = tuple(np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
+_ORDERS = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
+#: Bits of a set's bitmap; places in which two bitmaps differ are no more than the tokens in which the sets differ.
+BITS = 1024
 
 
 @dataclass(frozen=True)
@@ -31,7 +35,8 @@ class JoinFit:
 
     Shingles counted ``local`` times in a block of a task are summed, and the ``frequent`` commonest of those in ``least`` sets
     or more come last in the orders.  Up to ``broadcast_rows`` ids of sets to verify are broadcast, more are joined by
-    shuffle.  ``rounds`` of hubs come before sets are paired with each other.
+    shuffle.  ``rounds`` of hubs at most come before sets are paired with each other, no further one after
+    a round where less than one in ``worth`` pairs is a link.
     """
 
     width: int = 5
@@ -42,42 +47,97 @@ class JoinFit:
     frequent: int = 500_000
     broadcast_rows: int = 1_000_000
     rounds: int = 3
+    worth: int = 20
 
 
-def _mix(x: np.ndarray, by: np.uint64) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * by
-    return x ^ (x >> np.uint64(29))
-
-
-def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's word shingles; one for a text of fewer words, none without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(word_hashes.__getitem__, words), np.uint64, len(words))
-    n = min(width, len(w))
-    h = np.full(len(w) - n + 1, n, np.uint64)
-    for i in range(n):
-        h = h * _STEP + w[i : len(w) - n + 1 + i]
-    return np.unique(_mix(h, np.uint64(0xFF51AFD7ED558CCD)))
-
-
-def set_digest(s: np.ndarray) -> int:
-    """One signed 64-bit number for a set."""
-    return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64))
+class Sets:
+    """Sorted distinct 64-bit hashes of the word shingles of a batch's texts, one set behind the other.
 
+    A text of fewer words than a shingle has one, a text without words none.
+    """
 
-def prefix(s: np.ndarray, frequent: np.ndarray, order: int, percent: int = 80) -> np.ndarray:
-    """The tokens that come first under an order: frequent ones last, otherwise by a hash of their own."""
-    n = len(s)
-    size = n - -(-percent * n // 100) + 1 if n else 0
-    if size >= n:
-        return s
-    key = _mix(s, _ORDERS[order]) >> np.uint64(1)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-        key |= (frequent[at] == s).astype(np.uint64) << np.uint64(63)
-    return s[np.argpartition(key, size - 1)[:size]]
+    def __init__(self, text: pa.Array, width: int = 5):
+        words, before = word_keys(text)
+        sizes = np.diff(before)
+        rolled = np.full(max(0, len(words) - width + 1), width, np.uint64)
+        for i in range(width):
+            rolled = rolled * _STEP + words[i : len(words) - width + 1 + i]
+        rolled = mix(rolled, 0xFF51AFD7ED558CCD)
+        parts = []
+        for i, n in enumerate(sizes.tolist()):
+            at = before[i]
+            if n >= width:
+                part = np.sort(rolled[at : at + n - width + 1])
+                new = np.ones(len(part), bool)
+                new[1:] = part[1:] != part[:-1]
+                part = part[new]
+            else:
+                part = np.zeros(min(n, 1), np.uint64)
+                for w in words[at : at + n]:
+                    part = part * _STEP + w + np.uint64(n)
+                part = mix(part, 0xFF51AFD7ED558CCD)
+            parts.append(part)
+        self.sizes = np.array([len(p) for p in parts], np.int64)
+        self.at = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        self.digests = np.array([xxhash.xxh3_64_intdigest(p) for p in parts], np.uint64).astype(np.int64)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.flat[self.at[i] : self.at[i + 1]]
+
+    def __len__(self) -> int:
+        return len(self.sizes)
+
+    def packed(self, values: np.ndarray, at: np.ndarray) -> pa.Array:
+        """A binary column of slices of 64-bit numbers."""
+        return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((8 * at).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+    def prefixes(self, frequent: Frequent, order: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of each set that come first under an order, sorted, and where those of each set start.
+
+        Frequent tokens come last, otherwise a hash of their own decides.
+        """
+        key = (mix(self.flat, _ORDERS[order]) >> np.uint64(1)) | (frequent.among(self.flat).astype(np.uint64) << np.uint64(63))
+        wanted = self.sizes + (percent * -self.sizes) // 100 + (self.sizes > 0)
+        out = []
+        for i, n in enumerate(wanted.tolist()):
+            s = self[i]
+            out.append(s if n >= len(s) else s[np.sort(np.argpartition(key[self.at[i] : self.at[i + 1]], n - 1)[:n])])
+        return np.concatenate(out) if out else self.flat, np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int64)
+
+    def bits(self) -> np.ndarray:
+        """For each set BITS bits, which of its tokens have an odd count at a place; copes with sets of any size."""
+        planes = np.zeros((len(self), BITS), np.uint8)
+        np.add.at(planes, (np.repeat(np.arange(len(self)), self.sizes), (mix(self.flat, 0x9FB21C651E98DF25) % np.uint64(BITS)).astype(np.int64)), 1)
+        return np.packbits(planes & 1, axis=1).view(">i8").astype(np.int64)
+
+
+class Frequent:
+    """A bounded table of frequent tokens; a bitmap spares most others the search."""
+
+    def __init__(self, tokens: np.ndarray):
+        self.tokens, self.bitmap = np.sort(tokens), np.zeros(1 << 24, bool)
+        self.bitmap[(self.tokens >> np.uint64(40)).astype(np.int64)] = True
+
+    def among(self, tokens: np.ndarray) -> np.ndarray:
+        out = self.bitmap[(tokens >> np.uint64(40)).astype(np.int64)]
+        if len(self.tokens):
+            maybe = tokens[out]
+            out[out] = self.tokens[np.minimum(np.searchsorted(self.tokens, maybe), len(self.tokens) - 1)] == maybe
+        return out
+
+
+_frequent: dict[str, Frequent] = {}
+on_release.append(_frequent.clear)
+
+
+def _table_of(frequent) -> Frequent:  # noqa: ANN001  Broadcast
+    """This worker's table of the broadcast name and tokens."""
+    name, tokens = frequent.value
+    if name not in _frequent:
+        _frequent.clear()
+        _frequent[name] = Frequent(tokens)
+    return _frequent[name]
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int = 80) -> bool:
@@ -92,23 +152,26 @@ def _profile(docs: DataFrame, fit: JoinFit) -> DataFrame:
         names = ["kind", "doc_id", "digest", "n"]
 
         def counts(sets: list[np.ndarray]) -> pa.RecordBatch:
-            token, n = np.unique(np.concatenate(sets), return_counts=True)
-            token, n = token[n >= fit.local], n[n >= fit.local]
+            token = np.concatenate(sets)
+            sets.clear()
+            token.sort()
+            at = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            n = np.diff(at, append=len(token))
+            token, n = token[at[n >= fit.local]], n[n >= fit.local]
             return pa.RecordBatch.from_arrays([pa.array(np.ones(len(token), np.int8)), pa.nulls(len(token), pa.int64()), pa.array(token.astype(np.int64)), pa.array(n)], names=names)
 
         held, load, seen = [], 0, set()
-        for batch in small_batches(batches, "text"):
-            sets = [shingle_set(t, fit.width) for t in batch.column("text").to_pylist()]
-            digests = [set_digest(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int8)), batch.column("doc_id"), pa.array(digests, pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=names)
-            for s, d in zip(sets, digests):
-                if d not in seen:
+        for batch in small_batches(batches, "text", 1024, 1 << 20):
+            sets = Sets(batch.column("text"), fit.width)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int8)), batch.column("doc_id"), pa.array(sets.digests), pa.array(sets.sizes)], names=names)
+            for i, d in enumerate(sets.digests.tolist()):
+                if d not in seen and sets.sizes[i]:
                     seen.add(d)
-                    held.append(s)
-                    load += len(s)
+                    held.append(sets[i])
+                    load += len(sets[i])
             if load >= fit.block:
                 yield counts(held)
-                held, load, seen = [], 0, set()
+                load, seen = 0, set()
         if held:
             yield counts(held)
 
@@ -120,29 +183,29 @@ def _prefixes(docs: DataFrame, frequent, fit: JoinFit) -> DataFrame:  # noqa: AN
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in small_batches(batches, "text"):
-            tokens, digests, sizes = [], [], []
-            for t in batch.column("text").to_pylist():
-                s = shingle_set(t, fit.width)
-                if len(s) and (d := set_digest(s)) not in seen:
+        for batch in small_batches(batches, "text", 1024, 1 << 20):
+            sets = Sets(batch.column("text"), fit.width)
+            tokens, at = sets.prefixes(_table_of(frequent), 0, fit.percent)
+            new = np.zeros(len(sets), bool)
+            for i, d in enumerate(sets.digests.tolist()):
+                if d not in seen:
                     seen.add(d)
-                    p = prefix(s, frequent.value, 0, fit.percent)
-                    tokens.append(p)
-                    digests.append(np.full(len(p), d))
-                    sizes.append(np.full(len(p), len(s), np.int32))
+                    new[i] = True
             if len(seen) > 1_000_000:
                 seen.clear()
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).astype(np.int64)), pa.array(np.concatenate(digests)), pa.array(np.concatenate(sizes))], names=["token", "digest", "n"])
+            long = np.diff(at)
+            fresh = np.repeat(new, long)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[fresh].astype(np.int64)), pa.array(np.repeat(sets.digests[new], long[new])), pa.array(np.repeat(sets.sizes[new], long[new]).astype(np.int32))], names=["token", "digest", "n"])
 
     return docs.select("text").mapInArrow(lambda b: forgetting(work(b)), "token bigint, digest bigint, n int")
 
 
 def _groups(prefixes: DataFrame, fit: JoinFit) -> DataFrame:
-    """The rows whose token another set of fitting size has: token, run, digest, n.
+    """The rows whose token another set of fitting size has: token, run, digest, n, need.
 
     Works along rows sorted by token and size and holds one row over, so a token may have any number of sets.  A run ends
-    where the next size is too large for a link across; no link leaves its run.
+    where the next size is too large for a link across; no link leaves its run.  A set that is similar to any other of
+    the run shares at least ``need`` prefix tokens with it.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,31 +229,47 @@ def _groups(prefixes: DataFrame, fit: JoinFit) -> DataFrame:
             pair[:-1] |= ~starts[1:]
             if last is not None:
                 pair[0] = (len(starts) > 1 and not starts[1]) and not last[4]
-            give = pair.copy()
-            give[-1] &= pair[-1]
-            out = np.flatnonzero(give)
-            given = bool(give[-1]) or (last is not None and len(token) == 1 and last[4])
+            number, first = np.cumsum(starts) - 1, np.flatnonzero(starts)
+            need = _need(n, n[first][number], n[np.append(first[1:], len(n)) - 1][number], fit.percent)
+            need[(number == number[-1]) | ((number == 0) & (last is not None))] = 1  # such a run may go on elsewhere
+            given = bool(pair[-1]) or (last is not None and len(token) == 1 and last[4])
             last = (token[-1], digest[-1], n[-1], run[-1], given)
-            yield pa.RecordBatch.from_arrays([pa.array(token[out]), pa.array(run[out]), pa.array(digest[out]), pa.array(n[out])], names=["token", "run", "digest", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[pair]) for x in (token, run, digest, n, need)], names=["token", "run", "digest", "n", "need"])
 
     dealt = prefixes.repartition("token").sortWithinPartitions("token", "n", "digest")
-    return dealt.mapInArrow(work, "token bigint, run bigint, digest bigint, n bigint")
+    return dealt.mapInArrow(work, "token bigint, run bigint, digest bigint, n bigint, need bigint")
+
+
+def _shared(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """How many tokens sets of these sizes share at least if they are similar."""
+    return -(-percent * (n + m) // (100 + percent))
+
+
+def _need(n: np.ndarray, low: np.ndarray, high: np.ndarray, percent: int) -> np.ndarray:
+    """The least number of prefix tokens that a set of size n shares with a similar set of a size from low to high.
+
+    Of o shared tokens the first k stand among the first |x| - o + k tokens of each; one is taken off for rounding.
+    """
+    beyond = lambda x: 1 + -percent * x // 100  # noqa: E731  prefix less size
+    low, high = np.maximum(low, -(-percent * n // 100)), np.minimum(high, 100 * n // percent)
+    return np.maximum(1, np.minimum(beyond(n) + _shared(n, low, percent), beyond(high) + _shared(n, high, percent)) - 1)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, frequent, fit: JoinFit) -> DataFrame:  # noqa: ANN001  Broadcast
-    """digest, size, prefixes under the further orders and whole set, as bytes, of the wanted documents' texts.
+    """digest, size, prefixes under the further orders, whole set and bitmap of the wanted documents' texts.
 
     A wanted text that stands only under a null doc_id is found by its digest.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text"):
-            sets = [shingle_set(t, fit.width) for t in batch.column("text").to_pylist()]
-            more = [[np.sort(prefix(s, frequent.value, k, fit.percent)).tobytes() for s in sets] for k in (1, 2)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(m, pa.binary()) for m in more], pa.array([s.tobytes() for s in sets], pa.binary())], names=["digest", "size", "second", "third", "tokens"])
+        for batch in small_batches(batches, "text", 512, 1 << 20):
+            sets = Sets(batch.column("text"), fit.width)
+            more = [sets.packed(*sets.prefixes(_table_of(frequent), k, fit.percent)) for k in (1, 2)]
+            bits = sets.bits()
+            yield pa.RecordBatch.from_arrays([pa.array(sets.digests), pa.array(sets.sizes), *more, sets.packed(sets.flat, sets.at), pa.FixedSizeListArray.from_arrays(pa.array(bits.ravel()), BITS // 64).cast(pa.list_(pa.int64()))], names=["digest", "size", "second", "third", "tokens", "bits"])
 
     near = F.broadcast if wanted.count() <= fit.broadcast_rows else lambda df: df
-    found = lambda df: df.select("text").mapInArrow(lambda b: forgetting(work(b)), "digest bigint, size bigint, second binary, third binary, tokens binary")
+    found = lambda df: df.select("text").mapInArrow(lambda b: forgetting(work(b)), "digest bigint, size bigint, second binary, third binary, tokens binary, bits array<bigint>")
     sets, nameless = found(docs.join(near(wanted.select("doc_id")), "doc_id", "left_semi")), wanted.where("doc_id is null").select("digest")
     if nameless.isEmpty():
         return sets
@@ -243,30 +322,46 @@ def _least_shared(fit: JoinFit) -> str:
     return f"greatest(1, least({beyond('n_a')}, {beyond('n_b')}))"
 
 
-def _stars(placed: DataFrame, number: int, fit: JoinFit) -> DataFrame:
-    """Pairs of each set with the hub of its group, where that lies in another component.
+def _open(groups: DataFrame, tied: DataFrame | None, number: int) -> DataFrame:
+    """The rows that can still make a link between components: token, run, digest, n, need, component, hub.
 
-    The first hub is the set that stands in most groups: the original of a family of near copies is in all of theirs,
-    while each copy is missing where it was changed.  Later ones differ from token to token, so that a set meets many.
-    A set has no more pairs than rows.
+    A pair of similar sets shares as many rows as each of these needs, so of a set's rows the ones that need more than
+    there are cannot make a link; then rows go whose group has but one component.  The hub of a group is first the set
+    that stands in most groups: the original of a family of near copies is in all of theirs, while each copy is missing
+    where it was changed.  Later ones differ from token to token, so that a set meets many.
     """
-    if number:
-        scored = placed.withColumn("score", F.xxhash64("digest", "token", F.lit(number)))
+    if tied is None:
+        placed = groups.withColumn("component", F.col("digest"))
     else:
-        scored = placed.join(placed.groupBy("digest").agg(F.count("*").alias("score")), "digest")
-    hubs = scored.groupBy("token", "run").agg(F.max(F.struct("score", "digest", "n", "component")).alias("hub"))
-    pairs = placed.join(hubs, ["token", "run"]).where(f"component <> hub.component and {_fitting('n', 'hub.n', fit)}")
+        placed = groups.drop("component", "hub").join(tied.select(F.col("node").alias("digest"), "component"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    for _ in range(2):
+        each, group = Window.partitionBy("digest"), Window.partitionBy("token", "run")
+        placed = placed.withColumn("rows", F.count("*").over(each.orderBy("need")))
+        placed = placed.withColumn("rows", F.max(F.when(F.col("rows") >= F.col("need"), F.struct("need", "rows"))).over(each)).where("need <= rows.need")
+        score = F.xxhash64("digest", "token", F.lit(number)) if number else F.col("rows.rows")
+        placed = placed.withColumn("hub", F.max(F.struct(score.alias("score"), "digest", "n", "component")).over(group))
+        placed = placed.withColumn("low", F.min("component").over(group)).withColumn("high", F.max("component").over(group)).where("low <> high").drop("low", "high", "rows")
+    return stored(placed.select("token", "run", "digest", "n", "need", "component", "hub"), "open")
+
+
+def _stars(placed: DataFrame, fit: JoinFit) -> DataFrame:
+    """Pairs of each set with the hub of its group, where that lies in another component; no more pairs than rows."""
+    pairs = placed.where(f"component <> hub.component and {_fitting('n', 'hub.n', fit)}")
     return pairs.select(F.least("digest", "hub.digest").alias("a"), F.greatest("digest", "hub.digest").alias("b")).distinct()
 
 
-def _open(groups: DataFrame, tied: DataFrame | None) -> DataFrame:
-    """The rows of groups that still lie in several components, with the component of each."""
-    if tied is None:
-        placed = groups.withColumn("component", F.col("digest"))
-    else:
-        placed = groups.drop("component").join(tied.select(F.col("node").alias("digest"), "component"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-    several = placed.groupBy("token", "run").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token", "run")
-    return stored(placed.join(several, ["token", "run"], "left_semi").select("token", "run", "digest", "n", "component"), "open")
+def _across(rest: DataFrame, sets: DataFrame, fit: JoinFit) -> DataFrame:
+    """Pairs of sets of different components that share enough prefix tokens and whose bitmaps differ in few places.
+
+    Bitmaps and sizes are tested where the pairs are made, so that what a pair costs there is all it costs as a rule.
+    """
+    narrow = rest.select("token", "run", "digest", "n", "component").join(sets.select("digest", *[F.col("bits")[i].alias(f"bits{i}") for i in range(BITS // 64)]), "digest")
+    x, y = (narrow.toDF(*[f"{c}_{s}" for c in narrow.columns]) for s in "ab")
+    differ = " + ".join(f"bit_count(bits{i}_a ^ bits{i}_b)" for i in range(BITS // 64))
+    both = f"ceil({fit.percent}D * (n_a + n_b) / {100 + fit.percent} - 1e-9)"
+    near = f"digest_a < digest_b and component_a <> component_b and {_fitting('n_a', 'n_b', fit)} and {differ} <= n_a + n_b - 2 * {both}"
+    pairs = x.join(y, F.expr(f"token_a = token_b and run_a = run_b and {near}")).groupBy(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"), "n_a", "n_b").agg(F.count("*").alias("shared"))
+    return pairs.where(f"shared >= {_least_shared(fit)}").select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, fit: JoinFit = JoinFit()) -> DataFrame:
@@ -283,39 +378,48 @@ def jaccard_components(docs: DataFrame, fit: JoinFit = JoinFit()) -> DataFrame:
     profile = stored(_profile(rows, fit), "profile")
     documents = profile.where("kind = 0").select("doc_id", "digest", "n")
     top = profile.where("kind = 1").groupBy("digest").agg(F.sum("n").alias("n")).where(F.col("n") >= fit.least).orderBy(F.desc("n"), "digest").limit(fit.frequent).select("digest").toArrow()
-    frequent = spark.sparkContext.broadcast(np.sort(top["digest"].to_numpy().astype(np.uint64)))
+    frequent = spark.sparkContext.broadcast((uuid.uuid4().hex, top["digest"].to_numpy().astype(np.uint64)))
 
     groups = stored(_groups(_prefixes(rows, frequent, fit), fit), "groups")
-    active = groups.select("digest").distinct()
-    wanted = documents.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(active, "digest", "left_semi").select("digest", "doc_id")
+    rest = _open(groups, None, 0)
+    discard(groups)
+    wanted = documents.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(rest.select("digest").distinct(), "digest", "left_semi").select("digest", "doc_id")
     wanted = stored(wanted, "wanted")
     sets = stored(_sets(rows, wanted, frequent, fit), "sets")
 
-    links, tied, tried, rest = None, None, None, groups
-    for number in range(fit.rounds):
-        rest = _open(rest, tied)
-        pairs = _stars(rest, number, fit)
+    links, tied, tried, number = None, None, None, 0
+    while number < fit.rounds:
+        pairs = _stars(rest, fit)
         pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "stars")
-        if pairs.isEmpty():
-            break
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = stored(_verified(pairs, sets, fit), "links")
         links = found if links is None else links.unionByName(found)
         tied = connected_components(links)
-    rest = _open(rest, tied)
-    x, y = (rest.select("token", "run", *[F.col(c).alias(f"{c}_{s}") for c in ("digest", "n", "component")]) for s in "ab")
-    across = x.join(y, ["token", "run"]).where(f"digest_a < digest_b and component_a <> component_b and {_fitting('n_a', 'n_b', fit)}")
-    shared = across.groupBy(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"), "n_a", "n_b").agg(F.count("*").alias("shared"))
-    pairs = shared.where(f"shared >= {_least_shared(fit)}").select("a", "b")
-    found = stored(_verified(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), sets, fit), "links")
-    links = found if links is None else links.unionByName(found)
-    if tied is None or not found.isEmpty():
+        number += 1
+        narrower = _open(rest, tied, number)
+        discard(rest)
+        rest = narrower
+        if fit.worth * found.count() < pairs.count():
+            break
+    found = stored(_verified(_across(rest, sets, fit).join(tried, ["a", "b"], "left_anti"), sets, fit), "links")
+    if not found.isEmpty():
+        links = links.unionByName(found)
         tied = connected_components(links)
+    discard(rest, sets, wanted)
+
+    tied = stored(tied.select(F.col("node").alias("digest"), "component"), "tied")
+    classes = stored(_looked_up(documents, tied, "digest", fit).select("doc_id", "n", F.coalesce("component", "digest").alias("class")), "classes")
+    several = stored(classes.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("members")).where("members > 1").select("class", "least", F.lit(True).alias("several")), "several")
+    joined = _looked_up(classes, several, "class", fit)
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("several") & (F.col("n") > 0), F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
 
-    classes = documents.join(tied.select(F.col("node").alias("digest"), "component"), "digest", "left").withColumn("class", F.coalesce("component", "digest"))
-    least = classes.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
-    joined = classes.join(least, "class", "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+def _looked_up(rows: DataFrame, table: DataFrame, key: str, fit: JoinFit, salts: int = 16) -> DataFrame:
+    """Left join with a table of unique keys: by broadcast if that is small, else the rows of a key go to several tasks."""
+    if table.count() <= fit.broadcast_rows:
+        return rows.join(F.broadcast(table), key, "left")
+    spread = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(spread, [key, "salt"], "left").drop("salt")
 
 
 def keep_representatives(docs: DataFrame, fit: JoinFit = JoinFit()) -> DataFrame:

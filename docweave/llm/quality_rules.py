@@ -10,11 +10,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import forgetting, only, positional, release_caches, small_batches, word_hashes
+from docweave.llm.common import forgetting, only, positional, release_caches, small_batches, text_bytes, word_keys, word_spans
 
 #: Odd multiplier of the rolling hash.
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -25,7 +26,7 @@ class CoverageRules:
     """Highest shares of word characters that a kept text may have.
 
     ``ngram_share`` maps an n-gram length to the share inside n-grams that occur twice or more, first one included.
-    ``line_share`` is for characters of lines that equal an earlier line of at least ``line_words`` words.
+    ``line_share`` is the share of all characters in lines with a word that equal an earlier line.
     """
 
     ngram_share: tuple[tuple[int, float], ...] = ((3, 0.50), (5, 0.40), (8, 0.30), (12, 0.28))
@@ -59,41 +60,47 @@ def covered(words: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def measure(text: str | None, rules: CoverageRules = CoverageRules()) -> tuple:
-    """All columns but doc_id for one text; a null text counts as empty."""
-    text = text or ""
-    raw = text.encode("utf-8", "surrogatepass")
-    words = raw.split()
-    n = len(words)
-    chars = len(text) - (len(raw) - len(raw.translate(None, b" \t\n\r\x0b\x0c")))
-    symbols = len(raw) - len(raw.translate(None, b"#*$%&|<>"))
-    seen: set[bytes] = set()
-    dup_lines = dup_line_bytes = 0
-    for line in raw.split(b"\n"):
-        if line.strip():
+def measure(text: str | None, keys: np.ndarray, sizes: np.ndarray, symbols: int, rules: CoverageRules = CoverageRules()) -> tuple:
+    """All columns but doc_id for one text (null: empty), given the hashes and characters of its words and its symbols."""
+    text, n, total = text or "", len(keys), int(sizes.sum())
+    seen: set[str] = set()
+    dup_lines = dup_line_chars = 0
+    for line in text.split("\n"):
+        if line.strip(" \t\r\x0b\x0c"):
             if line in seen:
                 dup_lines += 1
-                dup_line_bytes += len(line)
+                dup_line_chars += len(line)
             else:
                 seen.add(line)
     repeat, worst, kept = 0, 0.0, True
-    if n:
-        hashed = np.fromiter(map(word_hashes.__getitem__, words), np.uint64, n)
-        sizes = np.fromiter(map(len, words), np.int64, n)
-        total = int(sizes.sum())
-        shares = dict(rules.ngram_share)
-        for length in sorted({*shares, rules.base_window}):
-            mask = covered(hashed, length)
-            if length == rules.base_window:
-                repeat = int(mask.sum())
-            if length in shares:
-                share = float(sizes[mask].sum()) / total
-                worst = max(worst, share)
-                kept &= share <= shares[length]
-    line_share = dup_line_bytes / max(1, len(raw))
+    shares = dict(rules.ngram_share)
+    for length in sorted({*shares, rules.base_window}) if n else []:
+        mask = covered(keys, length)
+        if length == rules.base_window:
+            repeat = int(mask.sum())
+        if length in shares:
+            share = float(sizes[mask].sum()) / total
+            worst = max(worst, share)
+            kept &= share <= shares[length]
+    line_share = dup_line_chars / max(1, len(text))
     kept &= line_share <= rules.line_share
     failed = n < rules.min_words or 100 * repeat > rules.base_percent * n
-    return n, chars, symbols, dup_lines, repeat, failed, bool(kept and not failed), line_share, worst
+    return n, total, symbols, dup_lines, repeat, failed, bool(kept and not failed), line_share, worst
+
+
+_SYMBOL = np.zeros(256, bool)
+_SYMBOL[[*b"#*$%&|<>"]] = True
+
+
+def measured(text: pa.Array, rules: CoverageRules = CoverageRules()) -> list[tuple]:
+    """``measure`` of each text of a batch; its bytes are hashed and counted for all texts at once."""
+    data, at = text_bytes(text)
+    starts, ends, before = word_spans(data, at)
+    keys, _ = word_keys(text, lower=False)
+    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    marks = np.concatenate([[0], np.cumsum(_SYMBOL[data])])
+    sizes, marks = chars[ends] - chars[starts], np.diff(marks[at]).tolist()
+    return [measure(t, keys[i:j], sizes[i:j], m, rules) for t, i, j, m in zip(text.to_pylist(), before[:-1], before[1:], marks)]
 
 
 def repetition_coverage(docs: DataFrame, rules: CoverageRules = CoverageRules()) -> DataFrame:
@@ -108,8 +115,8 @@ def repetition_coverage(docs: DataFrame, rules: CoverageRules = CoverageRules())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), *[(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("dup_line_share", pa.float64()), ("dup_ngram_share", pa.float64())])
-        for batch in small_batches(batches, "text"):
-            rows = [measure(t.as_py(), rules) for t in batch.column("text")]
+        for batch in small_batches(batches, "text", 1024, 1 << 20):
+            rows = measured(batch.column("text"), rules)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, f.type) for c, f in zip(zip(*rows), list(schema)[1:])]], schema=schema)
 
     return only(docs, "doc_id", "text").selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(lambda b: forgetting(work(b)), SCHEMA)
@@ -120,7 +127,7 @@ def keep_good(docs: DataFrame, rules: CoverageRules = CoverageRules()) -> DataFr
     @F.pandas_udf("boolean")
     def good(text):  # noqa: ANN001, ANN202  pandas UDF
         release_caches()
-        return text.map(lambda t: measure(t, rules)[6])
+        return pd.Series([m[6] for i in range(0, len(text), 256) for m in measured(pa.array(text.iloc[i : i + 256], pa.string(), from_pandas=True), rules)], dtype=bool)
 
     rows, at = positional(docs)
     return rows.where(good(F.col(at["text"]))).toDF(*docs.columns)
