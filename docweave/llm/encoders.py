@@ -1,8 +1,9 @@
-"""Whole-text encoding with the tokenizers library, remembering pieces between spaces.
+"""Whole-text encoding with the tokenizers library, remembering the pieces of texts.
 
-A tokenizer whose pre-tokens never hold white space except as their first character gives the same ids for a text as
-for its pieces between spaces, one after the other.  So each worker encodes a piece once and joins bytes after that.
-Texts where a piece ends in white space, which could belong to a longer run, go to the tokenizer whole.
+The pre-tokens of the two kinds of vocabularies used here never reach over certain places: before a space or line end
+that no white space follows, or between a letter and a mark behind it.  So the ids of a text are the ids of its pieces
+between such places, one after the other.  A batch's bytes are cut there at once, its distinct pieces are looked up, and
+only those not known yet go to the library.  Texts that may hold the string of a special token go to it whole.
 """
 
 from __future__ import annotations
@@ -12,19 +13,43 @@ from array import array
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-from docweave.llm.common import on_release
+from docweave.llm.common import on_release, text_bytes
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 
+def _these(*ranges: bytes | range | tuple[int, ...]) -> np.ndarray:
+    mask = np.zeros(256, bool)
+    for r in ranges:
+        mask[[*r]] = True
+    return mask
+
+
+_GAP = _these(b" \n")
+#: Bytes that are white space or may begin it.
+_MAYBE_SPACE = _these(range(0x09, 0x0E), range(0x1C, 0x21), (0xC2, 0xE1, 0xE2, 0xE3))
+_LETTER = _these(range(ord("A"), ord("Z") + 1), range(ord("a"), ord("z") + 1))
+_MARK = _these(b".,!?#$%&*|;:")
+#: White space as a space, A-Z in lower case.
+_PLAIN = np.arange(256, dtype=np.uint8)
+_PLAIN[0x09:0x0E] = 0x20
+_PLAIN[ord("A") : ord("Z") + 1] += 32
+
+_LETTERS = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xA0, 0xAD)]
+#: How byte-level vocabularies show the 256 bytes: printable ones as they are, others from U+0100 on.
+_SHOWN = {b: b for b in _LETTERS} | {b: 256 + i for i, b in enumerate(sorted({*range(256)} - {*_LETTERS}))}
+
+
 class PieceEncoder:
-    """Ids of texts as little-endian bytes, two or four to an id (``dtype``).
+    """Ids of texts, of two or four bytes each (``dtype``).
 
     ``keeps_space`` tells a byte-level vocabulary, where a space belongs to the piece behind it, from one whose
-    pre-tokens leave white space out.  Pieces seen in two batches are remembered, up to ``limit``; those seen in one
-    stay among the young ones until these, past half the limit, are dropped.  That bounds memory and never changes ids.
+    pre-tokens leave white space out and whose letters are lower case.  Past ``limit`` pieces those stay that two batches
+    held, or none if these are too many.  That bounds memory and never changes ids.
     """
 
     def __init__(self, path: str, keeps_space: bool, limit: int = 400_000):
@@ -34,116 +59,124 @@ class PieceEncoder:
         self.keeps_space = keeps_space
         self.limit = limit
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-        self.young: set[str] = set()
-        self.ends: dict[str, bytes] = {"": b""}
-        self.heads: dict[str, bytes] = {"": b""}
-        vocab, added = self.tokenizer.get_vocab(with_added_tokens=True), self.tokenizer.get_added_tokens_decoder()
-        self.sizes = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of text that an id stands for
-        for token, i in vocab.items():
-            self.sizes[i] = len(added[i].content.encode()) if i in added else len(token) - (0 if keeps_space else 4 * token.endswith("</w>"))
+        self._empty()
+
+    def _empty(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.ids = np.zeros(1 << 16, self.dtype)
+        self.starts = np.zeros(1 << 14, np.int64)  # of each piece's ids; one more than pieces
+        self.held = np.zeros(1 << 14, np.uint8)  # batches that held it
 
     def _whole(self, texts: Sequence[str]) -> list[bytes]:
         code = "H" if self.dtype.itemsize == 2 else "I"
         return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _joined(self, pieces: list[str], group: int = 1_000) -> list[bytes]:
-        """The ids of each piece, worked out for many pieces at once and cut where the text that ids stand for ends.
-
-        Pieces whose letters may change length (by normal forms or case) go one by one, and so does a group whose
-        ids do not end where its pieces end.
-        """
-        plain = pieces if self.keeps_space else [p for p in pieces if p and max(p) < "\u0130"]
-        found: dict[str, bytes] = {}
-        cuts = [plain[i : i + group] for i in range(0, len(plain), group)]
-        width = self.dtype.itemsize
-        for part, ids in zip(cuts, self._whole([("" if self.keeps_space else " ").join(c) for c in cuts])):
-            reached = np.cumsum(self.sizes[np.frombuffer(ids, self.dtype)])
-            ends = np.cumsum([len(p.encode()) for p in part])
-            at = np.searchsorted(reached, ends)
-            if len(reached) and at[-1] == len(reached) - 1 and (reached[at] == ends).all():
-                edges = [0, *((at + 1) * width).tolist()]
-                found.update((p, ids[x:y]) for p, x, y in zip(part, edges[:-1], edges[1:]))
-        rest = [p for p in pieces if p not in found]
-        found.update(zip(rest, self._whole(rest)))
-        return [found[p] for p in pieces]
-
-    def _cached(self, texts: list[str], cache: dict[str, bytes]) -> list[bytes]:
-        """For few distinct texts: encoded when new; the cache starts anew when it has grown."""
-        if len(cache) > 20_000:
-            cache.clear()
-        new = list(set(texts).difference(cache))
-        cache.update(zip(new, self._whole(new)))
-        return [cache[t] for t in texts]
-
-    def _stem(self, piece: str) -> tuple[str, str]:
-        """A piece and an end whose ids together are this piece's: letters end a pre-token before these marks."""
-        stem = piece.rstrip(".,!?#$%&*|;:")
-        if stem == piece or not stem.isalpha() or not (self.keeps_space or max(stem) < "\u0130"):  # lower case may end in a mark
-            stem = piece
-        end = piece[len(stem) :]
-        return (stem.lower() if not self.keeps_space and stem.isascii() and "<" not in stem else stem), end
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Encode what is not known of a batch's pieces and settle which pieces stay."""
-        again = pieces & self.young
-        if len(self.known) - len(self.young) < self.limit:
-            self.young -= again
-        known = self.known
-        fresh = pieces.difference(known)
-        stems = {p: s for p in fresh if (s := self._stem(p))[0] != p}
-        new = list(fresh.difference(stems).union(s for s, _ in stems.values() if s not in known))
-        known.update(zip(new, self._joined([p if p[:1] == "\n" else " " + p for p in new] if self.keeps_space else new)))
-        ends = self._cached([e for _, e in stems.values()], self.ends)
-        for (p, (s, _)), end in zip(stems.items(), ends):
-            known[p] = known[s] + end
-        self.young.update(new)
-        self.young.update(stems)
-
-    def _forget(self) -> None:
-        if len(self.young) > self.limit // 2:
-            for p in self.young:
-                del self.known[p]
-            self.young.clear()
-
-    @staticmethod
-    def _lower(text: str) -> str:
-        """The text in lower case where that is the same letter by letter and hides no special token's string."""
-        if "<|" in text:
-            return text
-        try:
-            text.isascii() or text.encode("latin-1")
-        except UnicodeEncodeError:
-            return text
-        return text.lower()
-
-    def _words(self, texts: Sequence[str]) -> list[bytes]:
-        split = [self._lower(t).replace("\n", " ").split(" ") for t in texts]
-        self._learn(set().union(*split))
-        out = [b"".join(map(self.known.__getitem__, p)) for p in split]
-        self._forget()
+    def _single(self, piece: bytes) -> str | None:
+        """A piece of letters alone as the model reads it, which spares normal forms and pre-tokens; else None."""
+        if self.keeps_space:
+            letters = piece[1:].decode() if piece[:1] == b" " else piece.decode()
+        else:
+            letters = piece.rstrip(b" ").decode()
+            if letters and max(letters) >= "\u0130":  # other letters may have longer lower cases and normal forms
+                return None
+            letters, piece = letters.lower(), letters.lower().encode()
+        return piece.decode("latin-1").translate(_SHOWN) if letters.isalpha() else None
+
+    def _encoded(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece."""
+        code, model, out = "H" if self.dtype.itemsize == 2 else "I", self.tokenizer.model, []
+        shown = [self._single(p) for p in pieces]
+        rest = iter(self._whole([p.decode() for p, s in zip(pieces, shown) if s is None]))
+        for s in shown:
+            out.append(next(rest) if s is None else array(code, [t.id for t in model.tokenize(s)]).tobytes())
         return out
 
-    def _spaced(self, texts: Sequence[str]) -> list[bytes]:
-        split = [t.replace("\n", " \n").split(" ") for t in texts]
-        heads = [p.pop(0) for p in split]
-        tails = ["" if not p or (p[-1] and not p[-1][-1].isspace()) else (" " if p[-1][:1] != "\n" else "") + p.pop() for p in split]
-        pieces = set().union(*split)
-        loose = {p for p in pieces.difference(self.known) if not p or p[-1].isspace()}
-        odd = {i for i, h in enumerate(heads) if h[-1:].isspace()}
-        if loose:
-            odd.update(i for i, p in enumerate(split) if not loose.isdisjoint(p))
-        heads = self._cached(heads, self.heads)
-        tails = self._cached(tails, self.ends)
-        self._learn(pieces - loose)
-        rest = dict(zip(sorted(odd), self._whole([texts[i] for i in sorted(odd)])))
-        out = [rest[i] if i in odd else heads[i] + b"".join(map(self.known.__getitem__, p)) + tails[i] for i, p in enumerate(split)]
-        self._forget()
-        return out
+    def _learn(self, new: list[bytes]) -> None:
+        found = self._encoded(new)
+        count = len(self.known)
+        sizes = np.cumsum([len(x) // self.dtype.itemsize for x in found]) + self.starts[count]
+        if sizes[-1] > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), sizes[-1]), self.dtype)])
+        if count + len(new) + 1 > len(self.starts):
+            more = max(len(self.starts), len(new) + 1)
+            self.starts, self.held = np.concatenate([self.starts, np.zeros(more, np.int64)]), np.concatenate([self.held, np.zeros(more, np.uint8)])
+        self.ids[self.starts[count] : sizes[-1]] = np.frombuffer(b"".join(found), self.dtype)
+        self.starts[count + 1 : count + 1 + len(new)] = sizes
+        self.known.update(zip(new, range(count, count + len(new))))
 
-    def encode(self, texts: Sequence[str]) -> list[bytes]:
-        """The ids of each text."""
-        return self._spaced(texts) if self.keeps_space else self._words(texts)
+    def _forget(self) -> None:
+        """Keeps the pieces that two batches held, once there are more than the limit."""
+        if len(self.known) <= self.limit:
+            return
+        known, ids, starts, held = list(self.known), self.ids, self.starts, self.held
+        keep = np.flatnonzero(held[: len(known)] > 1)
+        self._empty()
+        if len(keep) > self.limit * 3 // 4:
+            return
+        sizes = starts[keep + 1] - starts[keep]
+        self.starts = np.concatenate([[0], np.cumsum(sizes), np.zeros(len(keep) + 1024, np.int64)])
+        self.held = np.zeros(len(self.starts), np.uint8)
+        self.held[: len(keep)] = 1
+        self.ids = ids[spread(starts[keep], sizes)]
+        self.known = {known[k]: i for i, k in enumerate(keep.tolist())}
+
+    def _pieces(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes, where pieces start (and the end), and how many pieces stand before each text and in all."""
+        cut = np.zeros(len(data) + 1, bool)
+        if len(data):
+            if self.keeps_space:
+                cut[1:-2] = _GAP[data[1:-1]] & ~_MAYBE_SPACE[data[2:]]
+                cut[at - 1] = False  # nothing follows a text's last byte
+            else:
+                data = _PLAIN[data]
+                space = data == 0x20
+                cut[1:-1] = space[:-1] & ~space[1:]
+            cut[1:-1] |= _MARK[data[1:]] & _LETTER[data[:-1]]
+        cut[at] = True
+        edges = np.flatnonzero(cut)
+        return data, edges, np.searchsorted(edges, at)
+
+    def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a batch's texts, one text behind the other, and where each text's start; a null text is empty."""
+        text = pc.fill_null(text, "")
+        odd = np.flatnonzero(pc.match_substring(text, "<|").to_numpy(zero_copy_only=False))
+        if len(odd):
+            return self._with_odd(text, odd)
+        data, edges, before = self._pieces(*text_bytes(text))
+        if not len(data):
+            return np.zeros(0, self.dtype), np.zeros(len(text) + 1, np.int64)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
+        distinct = pieces.dictionary.to_pylist()
+        if new := [p for p in distinct if p not in self.known]:
+            self._learn(new)
+        place = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        self.held[place] = np.minimum(self.held[place], 1) + 1
+        place = place[pieces.indices.to_numpy()]
+        sizes = self.starts[place + 1] - self.starts[place]
+        ids = self.ids[spread(self.starts[place], sizes)]
+        self._forget()
+        return ids, np.concatenate([[0], np.cumsum(sizes)])[before]
+
+    def _with_odd(self, text: pa.Array, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Texts that may hold a special token's string are encoded whole."""
+        whole = dict(zip(odd.tolist(), self._whole([text[i].as_py() for i in odd.tolist()])))
+        mask = np.ones(len(text), bool)
+        mask[odd] = False
+        ids, at = self.encode(text.filter(pa.array(mask)))
+        parts, j = [], 0
+        for i in range(len(text)):
+            if i in whole:
+                parts.append(np.frombuffer(whole[i], self.dtype))
+            else:
+                parts.append(ids[at[j] : at[j + 1]])
+                j += 1
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places starts[i], starts[i] + 1, ... sizes[i] of them, for each i."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
 
 
 _encoders: dict[tuple, PieceEncoder] = {}

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from docweave.llm.common import only, scratch, small_batches
+from docweave.llm.common import forgetting, only, scratch, small_batches
 from docweave.llm.encoders import encoder
 
 #: Columns of the files; ``part_start`` counts the ids before the document in its part.
@@ -58,18 +58,16 @@ def encode_documents(docs: DataFrame, vocabulary: str, keeps_space: bool = True,
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, start = encoder(vocabulary, keeps_space), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], enc.dtype).tobytes()
-        for batch in small_batches(batches, "text", 2048):
-            ids = enc.encode([t or "" for t in batch.column("text").to_pylist()])
-            sizes = np.array([len(x) // enc.dtype.itemsize + 1 for x in ids], np.int64)
-            flat = np.frombuffer(b"".join(x for i in ids for x in (i, end)), enc.dtype).astype(np.int32)
-            edges = np.concatenate([[0], np.cumsum(sizes)])
-            arrays = [batch.column("doc_id"), pa.array(np.full(len(ids), part, np.int32)), pa.array(start + edges[:-1]), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(flat))]
+        for batch in small_batches(batches, "text", 8192, 4 << 20):
+            ids, at = enc.encode(batch.column("text"))
+            edges = at + np.arange(len(at))
+            flat = np.insert(ids, at[1:], end_id).astype(np.int32)
+            arrays = [batch.column("doc_id"), pa.array(np.full(len(at) - 1, part, np.int32)), pa.array(start + edges[:-1]), pa.array(np.diff(edges).astype(np.int32)), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(flat))]
             start += int(edges[-1])
             yield pa.RecordBatch.from_arrays(arrays, names=FILE_SCHEMA.names)
 
     rows = only(docs, "doc_id", "text").selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
-    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(work, FILE_SCHEMA)
+    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(lambda b: forgetting(work(b)), FILE_SCHEMA)
 
 
 def write_token_ids(docs: DataFrame, path: str, vocabulary: str, keeps_space: bool = True, end_id: int = 0, layout: OrcLayout = OrcLayout()) -> None:

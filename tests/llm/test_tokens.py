@@ -6,12 +6,14 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from docweave.llm.bpe import encode_and_decode, split_words
 from docweave.llm.encoders import PieceEncoder
-from docweave.llm.packing import PackFit, pack
+from docweave.llm.packing import PackFit, bm25_idf, candidates, choose, listed, pack
 from docweave.llm.queries import BYTE_BPE, WORD_BPE
 from docweave.llm.token_output import OrcLayout, read_token_ids, token_file_report, write_token_ids
 
@@ -36,7 +38,8 @@ def test_pieces_give_the_ids_of_whole_texts(vocabulary, keeps_space, limit):
     texts, enc, t = odd_texts(), PieceEncoder(vocabulary, keeps_space, limit), Tokenizer.from_file(vocabulary)
     for i in range(0, len(texts), 500):
         want = [np.array(e.ids, enc.dtype).tobytes() for e in t.encode_batch(texts[i : i + 500], add_special_tokens=False)]
-        assert enc.encode(texts[i : i + 500]) == want
+        ids, at = enc.encode(pa.array(texts[i : i + 500]))
+        assert [ids[a:b].tobytes() for a, b in zip(at[:-1], at[1:])] == want
 
 
 def test_words_make_up_the_text():
@@ -119,32 +122,85 @@ def test_neighbours_share_words(spark):
     assert sum(same) / len(same) > 0.6
 
 
-def test_neighbours_come_from_every_shard(spark):
-    """One lane over shards of seven documents takes what BM25 over the whole corpus ranks best."""
-    rnd = random.Random(9)
-    topics = [[f"{a}{b}" for b in "bcdfghjklmnp"] for a in ("alpha", "gamma", "delta", "omega")]
-    rows = [(i, " ".join(rnd.choice(topics[i % 4]) for _ in range(40))) for i in range(120)]
-    fit = PackFit(window=1024, shard_docs=7)
-    got = pack(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), WORD_BPE, fit=fit).collect()
-    docs = {i: np.array([*ids_of(WORD_BPE, t), 2]) for i, t in rows}
+def bm25(docs, fit):
+    """Score of a document for a seed over the whole corpus; terms of one document find nothing."""
     df = np.bincount(np.concatenate([np.unique(x) for x in docs.values()]))
-    idf, mean = np.maximum(0, np.log((len(docs) - df + 0.5) / (df + 0.5))), sum(map(len, docs.values())) / len(docs)
+    idf, mean = np.where(df > 1, np.maximum(0, np.log((len(docs) - df + 0.5) / (df + 0.5))), 0), sum(map(len, docs.values())) / len(docs)
 
     def score(seed, doc):
         x, terms = docs[doc], np.unique(docs[seed])
         tf = np.array([(x == t).sum() for t in terms], float)
         return float((idf[terms] * tf * (fit.k1 + 1) / (tf + fit.k1 * (1 - fit.b + fit.b * len(x) / mean))).sum())
 
-    order = [p["doc_id"] for p in sorted(got, key=lambda p: (p["sequence_id"], p["offset"])) if p["start"] == 0]
-    assert sorted(order) == sorted(docs)
-    free, seed, filled = set(docs) - {order[0]}, order[0], len(docs[order[0]]) % fit.window
-    for doc in order[1:]:
-        best = max(score(seed, d) for d in free)
-        if best > 0:
-            assert score(seed, doc) == pytest.approx(best)
-        else:
-            seed = doc
-        free.remove(doc)
-        filled += len(docs[doc])
-        if filled >= fit.window:
-            seed, filled = doc, filled % fit.window
+    return score
+
+
+def some_topics(n=120):
+    rnd = random.Random(9)
+    topics = [[f"{a}{b}" for b in "bcdfghjklmnp"] for a in ("alpha", "gamma", "delta", "omega")]
+    return [(i, " ".join(rnd.choice(topics[i % 4]) for _ in range(rnd.randint(20, 60)))) for i in range(n)]
+
+
+def placed_by_brute_force(docs, score, seeds, fit):
+    """seed, doc: documents ask their best seed, seeds take their best until full, refused documents ask again."""
+    need = {s: fit.window - len(docs[s]) % fit.window for s in seeds}
+    free, out = [d for d in docs if d not in seeds], set()
+    for _ in range(fit.rounds):
+        asked = defaultdict(list)
+        for d in free:
+            best = max(((round(score(s, d), 4), -s) for s in seeds if need[s] > 0 and score(s, d) > 0), default=None)
+            if best:
+                asked[-best[1]].append((-best[0], d))
+        for s, who in asked.items():
+            for _, d in sorted(who):
+                if need[s] > 0:
+                    need[s] -= len(docs[d])
+                    out.add((s, d))
+        free = [d for d in free if not any(d == x for _, x in out)]
+    return out
+
+
+def test_search_and_choice_equal_brute_force(spark):
+    """With all terms and unbounded lists, scores are BM25 over the whole corpus, and choices are those of brute force."""
+    fit = PackFit(window=512, terms=60, list_docs=10**9, shard_docs=10**6, reach=10**6, generations=1)
+    docs = {i: np.array([*ids_of(WORD_BPE, t), 2]) for i, t in some_topics()}
+    df, mean = np.bincount(np.concatenate([np.unique(x) for x in docs.values()])), sum(map(len, docs.values())) / len(docs)
+    score = bm25(docs, fit)
+    schema = "key bigint, doc_id bigint, length bigint, ids binary"
+    encoded = spark.createDataFrame([(i, i, len(x), x.astype("<u2").tobytes()) for i, x in docs.items()], schema).repartition(3)
+    known = listed(encoded, bm25_idf(df, len(docs)), mean, np.dtype("<u2"), fit)
+    seeds = [i for i in docs if i % 9 == 0]
+    found = candidates(known.withColumn("need", F.expr("if(key % 9 = 0, 512 - length % 512, null)")), 1, fit).collect()
+    want = {(s, d): score(s, d) for s in seeds for d in docs if d not in seeds and score(s, d) > 0}
+    assert {(r["seed"], r["doc"]) for r in found} == {*want}
+    for r in found:
+        assert r["score"] == pytest.approx(want[r["seed"], r["doc"]], rel=1e-5)
+    again = spark.createDataFrame([(*r[:4], round(r["score"], 4)) for r in found], "seed bigint, doc bigint, length bigint, need bigint, score double")
+    got = {(r["seed"], r["doc"]) for t in choose(again, fit) for r in t.collect()}
+    assert got == placed_by_brute_force(docs, score, seeds, fit)
+
+
+@pytest.mark.parametrize("width", [1, 2, 3])
+def test_keys_of_several_terms_give_the_same_scores(spark, width):
+    """Documents that share as many of their strongest terms as a key joins score the sum of these terms' weights."""
+    fit = PackFit(window=512, terms=5, list_docs=10**9, shard_docs=10**6, reach=10**6)
+    rnd = random.Random(4)
+    rows = [(i, 100, sorted(rnd.sample(range(12), rnd.randint(0, 5))), 400 if i % 5 == 0 else None) for i in range(60)]
+    weights = {(i, t): rnd.randint(1, 9) / 4 for i, _, terms, _ in rows for t in terms}
+    free = spark.createDataFrame([(i, n, t, [weights[i, x] for x in t], need) for i, n, t, need in rows], "key bigint, length bigint, terms array<int>, weights array<float>, need bigint")
+    got = {(r["seed"], r["doc"]): r["score"] for r in candidates(free, width, fit).collect()}
+    want = {}
+    for i, _, a, need in rows:
+        for j, _, b, other in rows:
+            if need and not other and len({*a} & {*b}) >= width:
+                want[i, j] = sum(weights[j, t] for t in {*a} & {*b})
+    assert got == pytest.approx(want)
+
+
+def test_long_lists_are_dealt_into_shards(spark):
+    """A key that all documents share makes no more pairs than shards hold, and nothing is lost."""
+    fit = PackFit(window=512, terms=2, shard_docs=10)
+    free = spark.createDataFrame([(i, 10, [7, 8], [1.0, 1.0], 500 if i % 5 == 0 else None) for i in range(1000)], "key bigint, length bigint, terms array<int>, weights array<float>, need bigint").repartition(4)
+    found = candidates(free, 2, fit).collect()
+    assert 0 < len(found) <= 200 * 10
+    assert len({r["doc"] for r in found}) > 700
