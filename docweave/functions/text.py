@@ -51,8 +51,8 @@ def like_glob(c: Column, pattern: str) -> Column:
 
 
 def context_keywords(text: Column) -> Column:
-    """The line behind a ``Context:`` or ``Keywords:`` marker, trimmed; empty without one."""
-    return F.trim(F.regexp_extract(F.coalesce(text, F.lit("")), r"(?:Context|Keywords):([^\n]*)", 1))
+    """The first line with anything in it behind a ``Context:`` or ``Keywords:`` marker, trimmed; empty without one."""
+    return F.rtrim(F.regexp_extract(F.coalesce(text, F.lit("")), r"(?:Context|Keywords):\s*([^\n]*)", 1))
 
 
 def keyword_list(answer: Column) -> Column:

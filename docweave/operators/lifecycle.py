@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docweave.functions.text import set_jaccard, word_set
+from docweave.functions.text import fixed_chunks, set_jaccard, word_set
 
 #: Thresholds of change classes and of chunk similarity.
 REWRITE, STRUCTURE, MAJOR = 0.90, 0.70, 0.40
@@ -19,10 +19,11 @@ BASE_EFFORT = {"no_change": 0.1, "minor_update": 5.0, "major_update": 15.0, "str
 
 
 def latest_wins(old: DataFrame, new: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """Whole-row replacement: of each key the row of the newest version."""
-    order = Window.partitionBy(*keys).orderBy(F.desc(version))
-    both = old.unionByName(new)
-    return both.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    """Whole-row replacement: of each key the row of the newest version; of equal versions a new row, then the one of
+    largest content."""
+    order = Window.partitionBy(*keys).orderBy(F.desc(version), F.desc("_new"), F.desc(F.to_json(F.struct(*old.columns))))
+    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    return both.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_new")
 
 
 def upsert_documents(registry: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -78,7 +79,10 @@ def metadata_hash(name: Column, size: Column, modified: Column, content: Column)
 
 
 def change_class(stored_hash: Column, current_hash: Column, stored_size: Column, current_size: Column) -> Column:
-    """By the relative change of size, once the hashes differ; nothing stored is new, nothing current is deleted."""
+    """By the relative change of size, once the hashes differ; nothing stored is new, nothing current is deleted.
+
+    The hashes are those of the metadata (name, size, time, content), so a touched file counts as changed.
+    """
     delta = F.abs(current_size - stored_size) / F.greatest(stored_size, F.lit(1))
     by_size = F.when(delta > REWRITE, "complete_rewrite").when(delta > STRUCTURE, "structure_change").when(delta > MAJOR, "major_update").otherwise("minor_update")
     return F.when(current_hash.isNull(), "deleted").when(stored_hash.isNull(), "new_document").when(stored_hash == current_hash, "no_change").otherwise(by_size)
@@ -93,6 +97,19 @@ def chunk_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return j.withColumn("similarity", similarity).withColumn("label", label).select("doc_id", "chunk_index", "similarity", "label")
 
 
+def document_diff(old: DataFrame, new: DataFrame, width: int = 1000) -> DataFrame:
+    """``chunk_diff`` of whole texts (doc_id, text): one join by document, chunks side by side inside it, and words are
+    compared only where the chunks differ.  A null text has no chunks."""
+    pieces = lambda df, name: df.where("text is not null").select("doc_id", fixed_chunks(F.col("text"), width).alias(name))
+    none = F.array().cast("array<string>")
+    joined = pieces(old, "old").join(pieces(new, "new"), "doc_id", "full_outer")
+    rows = joined.select("doc_id", F.posexplode(F.arrays_zip(F.coalesce("old", none).alias("old"), F.coalesce("new", none).alias("new"))).alias("chunk_index", "c"))
+    both = F.col("c.old").isNotNull() & F.col("c.new").isNotNull()
+    similarity = F.when(F.col("c.old") == F.col("c.new"), 1.0).when(both, set_jaccard(word_set(F.col("c.old")), word_set(F.col("c.new"))))
+    label = F.when(F.col("c.old").isNull(), "added").when(F.col("c.new").isNull(), "removed").when(F.col("similarity") >= UNCHANGED, "unchanged").when(F.col("similarity") >= MODIFIED, "modified").otherwise("replaced")
+    return rows.withColumn("similarity", similarity).select("doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), "similarity", label.alias("label"))
+
+
 def refine(diff: DataFrame) -> DataFrame:
     """Per document: chunks, changed ones, their ratio, refined class and confidence."""
     per = diff.groupBy("doc_id").agg(F.count("*").alias("total_chunks"), F.count_if(F.col("label") != "unchanged").alias("changed_chunks"))

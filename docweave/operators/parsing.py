@@ -27,11 +27,11 @@ def _any(name: Column, parts: tuple[str, ...]) -> Column:
 
 
 def classify(source: Column, datasheet_mode: bool = True) -> Column:
-    """markdown, datasheet_pdf, generic_pdf, text, or unsupported; the mode decides where names do not."""
+    """markdown (plain text too), datasheet_pdf, generic_pdf, or unsupported; the mode decides where names do not."""
     name = file_name(source)
     d, g = _any(name, DATASHEET), _any(name, GENERIC)
     pdf = F.when(d & ~g, "datasheet_pdf").when(g & ~d, "generic_pdf").otherwise("datasheet_pdf" if datasheet_mode else "generic_pdf")
-    return F.when(name.endswith(".md") | name.endswith(".markdown"), "markdown").when(name.endswith(".pdf"), pdf).when(name.endswith(".txt"), "text").otherwise("unsupported")
+    return F.when(name.rlike(r"\.(md|markdown|txt)$"), "markdown").when(name.endswith(".pdf"), pdf).otherwise("unsupported")
 
 
 def confidence(source: Column, kind: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docweave.functions.text import STOP_WORDS, tokenize
+from docweave.operators.postings import KeywordIndex
 
 #: Fixed values of the ranking functions.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -48,22 +49,25 @@ def _matched(nodes: DataFrame, key: str, terms: list[str], tokens: Column) -> Da
     return hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
 
 
-def bm25(nodes: DataFrame, key: str, text: str, query: str) -> DataFrame:
-    """(key, score): nodes with any query term; a term counts as often as the query repeats it."""
+def bm25(nodes: DataFrame | KeywordIndex, key: str, text: str, query: str) -> DataFrame:
+    """(key, score): nodes with any query term; a term counts as often as the query repeats it.
+
+    ``nodes`` is a stored index, or a table whose ``text`` is searched without one.
+    """
     terms = query_terms(query)
     weight = F.create_map(*[F.lit(x) for t in dict.fromkeys(terms) for x in (t, float(terms.count(t)))]) if terms else F.create_map().cast("map<string,double>")
-    m = _matched(nodes, key, terms, tokenize(F.col(text)))
+    m = nodes.matched(key, terms, every_word=False) if isinstance(nodes, KeywordIndex) else _matched(nodes, key, terms, tokenize(F.col(text)))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return m.groupBy(key).agg(F.sum(weight[F.col("term")] * part).alias("score")).where("score > 0")
 
 
-def fts_scores(nodes: DataFrame, key: str, tokens: Column, terms: list[str], every: bool = True) -> DataFrame:
+def fts_scores(nodes: DataFrame | KeywordIndex, key: str, tokens: Column, terms: list[str], every: bool = True) -> DataFrame:
     """(key, score) with better scores more negative; ``every``: all terms must occur.
 
     Frequent terms, whose weight would not be positive, weigh next to nothing.
     """
-    m = _matched(nodes, key, terms, tokens)
+    m = nodes.matched(key, terms, every_word=True) if isinstance(nodes, KeywordIndex) else _matched(nodes, key, terms, tokens)
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf > 0, idf).otherwise(IDF_FLOOR)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
@@ -76,11 +80,13 @@ def plain_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
-def phrase_hits(nodes: DataFrame, key: str, text: str, phrase: str, limit: int) -> DataFrame:
+def phrase_hits(nodes: DataFrame | KeywordIndex, key: str, text: str, phrase: str, limit: int) -> DataFrame:
     """Nodes that hold the phrase's tokens one behind the other, the most occurrences first: key, occurrences, rank, score."""
     import re
 
     tokens = re.findall(r"\w+", phrase.lower())
+    if isinstance(nodes, KeywordIndex):
+        return top(nodes.phrase(key, tokens), key, F.desc("occurrences"), limit).withColumn("score", 1.0 / (F.col("rank") + 1))
     padded = F.concat(F.lit(" "), F.array_join(plain_tokens(F.col(text)), "  "), F.lit(" "))
     needle = " " + "  ".join(tokens) + " "
     times = (F.length(padded) - F.length(F.replace(padded, F.lit(needle), F.lit("")))) / F.lit(len(needle))
@@ -89,17 +95,23 @@ def phrase_hits(nodes: DataFrame, key: str, text: str, phrase: str, limit: int)
     return ranked.withColumn("score", 1.0 / (F.col("rank") + 1))
 
 
+def _dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity in double precision; null where a vector is zero."""
     a, b = a.cast("array<double>"), b.cast("array<double>")
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm > 0, dot(a, b) / norm)
+    norm = F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b))
+    return F.when(norm > 0, _dot(a, b) / norm)
 
 
 def vector_scores(vectors: DataFrame, key: str, vector: str, query: DataFrame) -> DataFrame:
-    """(key, score) against a one-row query table whose column is ``query``."""
-    return vectors.crossJoin(F.broadcast(query)).select(key, cosine(F.col(vector), F.col("query")).alias("score")).where("score is not null")
+    """(key, score) against a one-row query table whose column is ``query``; the query's norm is worked out once."""
+    one = query.select(F.col("query").cast("array<double>").alias("_q")).withColumn("_norm", F.sqrt(_dot(F.col("_q"), F.col("_q"))))
+    rows = vectors.select(key, F.col(vector).cast("array<double>").alias("_v")).crossJoin(F.broadcast(one))
+    norm = F.sqrt(_dot(F.col("_v"), F.col("_v"))) * F.col("_norm")
+    return rows.select(key, F.when(norm > 0, _dot(F.col("_v"), F.col("_q")) / norm).alias("score")).where("score is not null")
 
 
 def top(hits: DataFrame, key: str, order: Column, limit: int) -> DataFrame:

@@ -6,10 +6,15 @@ function of the ids, so that both engines and every size agree.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.functions.text import fixed_chunks
+from docweave.operators.postings import KeywordIndex
+from docweave.operators.retrieval import plain_tokens
+from docweave.sources.storage import stored_once
 
 #: Instant that all rules of age count from, in epoch seconds.
 NOW = 1_706_500_000.0
@@ -37,6 +42,7 @@ class Tables:
             "concat('library/', source, '/doc', doc_id, case doc_id % 4 when 0 then '.pdf' when 1 then '.md' when 2 then '.txt' else '-ds.pdf' end) as source",
             "sha2(text, 256) as content_hash",
             "n_chars as size",
+            "sha2(concat_ws('|', concat('library/', source, '/doc', doc_id), n_chars, 1700000000 + doc_id * 3600, sha2(text, 256)), 256) as metadata_hash",
             "1700000000D + doc_id * 3600 as modified_time",
             "1690000000D + doc_id * 60 as created_at",
             "1700000000D + (doc_id * 7919) % 100000 as updated_at",
@@ -75,6 +81,7 @@ class Tables:
         return self.registry.where("doc_id % 6 <> 0").selectExpr(
             "source",
             "case when doc_id % 5 < 3 then content_hash else sha2(concat(text, 'x'), 256) end as content_hash",
+            "case when doc_id % 7 in (0, 6) and doc_id % 5 < 3 and doc_id % 11 <> 0 then metadata_hash else sha2(concat(metadata_hash, 'x'), 256) end as metadata_hash",
             "case doc_id % 7 when 1 then size * 90 div 100 when 2 then size * 70 div 100 when 3 then size * 50 div 100 when 4 then size * 5 div 100 when 5 then size * 180 div 100 else size end as size",
             "1700000000D + doc_id * 500 as last_seen",
             "1690000000D + doc_id * 60 as created_at",
@@ -110,6 +117,17 @@ class Tables:
     def query_vector(self) -> DataFrame:
         return self.raw("embeddings").where("vec_id = 0").select(F.col("embedding").alias("query"))
 
+    @property
+    def keyword_index(self) -> KeywordIndex:
+        """The stored keyword index over the documents, built when a session first asks for it."""
+        build = lambda path: KeywordIndex.build(self.documents, "doc_id", plain_tokens(F.col("text")), path)
+        return KeywordIndex(self.spark, stored_once(self.spark, "keyword-index", self.sf_dir, build))
+
+    def kept(self, name: str, rows: Callable[[], DataFrame]) -> DataFrame:
+        """A derived table that several queries read, stored when a session first asks for it."""
+        path = stored_once(self.spark, name, self.sf_dir, lambda path: rows().write.parquet(path))
+        return self.spark.read.parquet(path)
+
     def old_text(self) -> Column:
         """The text an older version of the library held: unchanged, cut, longer, or with its middle replaced."""
         return F.expr("case doc_id % 5 when 0 then text when 1 then substring(text, 1, cast(length(text) div 2 as int)) when 2 then concat(text, ' appendix of the older version') when 3 then concat(substring(text, 1, 500), ' zz yy xx ', substring(text, 900, 100000000)) end")
@@ -120,6 +138,7 @@ CTE: dict[str, str] = {
     "registry": """registry AS (SELECT doc_id,
   'library/' || source || '/doc' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.md' WHEN 2 THEN '.txt' ELSE '-ds.pdf' END AS source,
   sha256(text) AS content_hash, n_chars AS size,
+  sha256('library/' || source || '/doc' || doc_id || '|' || n_chars || '|' || (1700000000 + doc_id * 3600) || '|' || sha256(text)) AS metadata_hash,
   1700000000::DOUBLE + doc_id * 3600 AS modified_time, 1690000000::DOUBLE + doc_id * 60 AS created_at,
   1700000000::DOUBLE + (doc_id * 7919) % 100000 AS updated_at,
   CASE doc_id % 5 WHEN 0 THEN 'new' WHEN 1 THEN 'updating' WHEN 2 THEN 'indexed' WHEN 3 THEN 'stale' ELSE 'corrupted' END AS state,
@@ -140,6 +159,7 @@ CTE: dict[str, str] = {
   UNION ALL SELECT doc_id + 1000000, 'vector', 0 FROM documents WHERE doc_id % 50 = 0)
   SELECT *, doc_id || '_' || chunk_index AS node_id FROM e)""",
     "fingerprints": """fingerprints AS (SELECT source, CASE WHEN doc_id % 5 < 3 THEN content_hash ELSE sha256(text || 'x') END AS content_hash,
+  CASE WHEN doc_id % 7 IN (0, 6) AND doc_id % 5 < 3 AND doc_id % 11 <> 0 THEN metadata_hash ELSE sha256(metadata_hash || 'x') END AS metadata_hash,
   CASE doc_id % 7 WHEN 1 THEN size * 90 // 100 WHEN 2 THEN size * 70 // 100 WHEN 3 THEN size * 50 // 100 WHEN 4 THEN size * 5 // 100 WHEN 5 THEN size * 180 // 100 ELSE size END AS size,
   1700000000::DOUBLE + doc_id * 500 AS last_seen, 1690000000::DOUBLE + doc_id * 60 AS created_at, doc_id,
   CASE WHEN doc_id % 9 = 0 THEN 'failed' WHEN doc_id % 2 = 0 THEN 'processed' ELSE 'pending' END AS processing_status

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from docweave.functions.text import fixed_chunks
 from docweave.operators import fusion, lifecycle, retrieval
+from docweave.operators.postings import KeywordIndex
 
 
 class Engine:
     """``documents`` has doc_id and text (and what filters name); ``vectors`` has id and embedding, ids as doc_id."""
 
-    def __init__(self, documents: DataFrame, vectors: DataFrame | None = None):
-        self.documents, self.vectors = documents, vectors
+    def __init__(self, documents: DataFrame, vectors: DataFrame | None = None, index: KeywordIndex | None = None):
+        self.documents, self.vectors, self.index = documents, vectors, index
 
     def search(self, terms: list[str], query: DataFrame | None = None, kind: str = "hybrid", fuse: str = "rrf", top_k: int = 10, where: Column | None = None) -> DataFrame:
         """Hits (id, fused or score, rank); filters hold before any cut.
@@ -29,7 +30,7 @@ class Engine:
             points = self.vectors if where is None else self.vectors.join(docs.select(F.col("doc_id").alias("id")), "id", "left_semi")
             vector = retrieval.top(retrieval.vector_scores(points, "id", "embedding", query), "id", F.desc("score"), fetch)
         if kind != "vector":
-            hits = retrieval.fts_scores(self.documents, "doc_id", retrieval.plain_tokens(F.col("text")), terms)
+            hits = retrieval.fts_scores(self.index or self.documents, "doc_id", retrieval.plain_tokens(F.col("text")), terms)
             if where is not None:
                 hits = hits.join(docs.select("doc_id"), "doc_id", "left_semi")
             keyword = retrieval.top(hits.withColumnRenamed("doc_id", "id"), "id", F.col("score"), fetch)

@@ -59,17 +59,21 @@ def merge_by_type(t: Tables) -> DataFrame:
 # ---- parsing
 
 
-@query(with_tables("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'generic_pdf' WHEN doc_id % 4 = 1 THEN 'markdown' WHEN doc_id % 4 = 2 THEN 'text' ELSE 'datasheet_pdf' END AS kind FROM registry", "registry"))
+@query(with_tables("SELECT * FROM (WITH r AS (SELECT doc_id, lower(split_part(source, '/', 3)) AS name FROM registry), k AS (SELECT *, len(list_filter(['datasheet', 'ds.pdf', 'spec', 'specification', 'product_brief', 'technical_data', 'sensor', 'laser', 'manual', 'model', 'part_number'], lambda p: contains(name, p))) > 0 AS d, len(list_filter(['report', 'paper', 'article', 'research', 'white_paper', 'guide', 'tutorial', 'documentation', 'readme'], lambda p: contains(name, p))) > 0 AS g FROM r) SELECT doc_id, CASE WHEN regexp_matches(name, '\\.(md|markdown|txt)$') THEN 'markdown' WHEN NOT ends_with(name, '.pdf') THEN 'unsupported' WHEN d AND NOT g THEN 'datasheet_pdf' ELSE 'generic_pdf' END AS kind FROM k)", "registry"))
 def classify_documents(t: Tables) -> DataFrame:
     return t.registry.select("doc_id", parsing.classify(F.col("source"), datasheet_mode=False).alias("kind"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN least(0.9, 0.5 + 0.4)::DOUBLE ELSE 0.7::DOUBLE END AS confidence FROM documents")
+_NAMES = "CASE doc_id % 5 WHEN 0 THEN 'laser-sensor-' || doc_id || '.pdf' WHEN 1 THEN 'annual_report_' || doc_id || '.pdf' WHEN 2 THEN source || '-datasheet-spec.pdf' WHEN 3 THEN source || '.txt' ELSE source || '.docx' END"
+
+
+@query(f"""WITH n AS (SELECT doc_id, lower({_NAMES}) AS name FROM documents), f AS (SELECT *, len(list_filter(['datasheet', 'ds.pdf', 'spec', 'specification', 'product_brief', 'technical_data', 'sensor', 'laser', 'manual', 'model', 'part_number'], lambda p: contains(name, p))) AS d, len(list_filter(['report', 'paper', 'article', 'research', 'white_paper', 'guide', 'tutorial', 'documentation', 'readme'], lambda p: contains(name, p))) AS g,
+ len(list_filter(['datasheet', 'ds.pdf', 'spec', 'specification', 'product_brief', 'technical_data', 'sensor', 'laser'], lambda p: contains(name, p))) AS sd, len(list_filter(['report', 'paper', 'article', 'research', 'white_paper'], lambda p: contains(name, p))) AS sg FROM n)
+ SELECT doc_id, round(CASE WHEN ends_with(name, '.txt') THEN 1.0 WHEN NOT ends_with(name, '.pdf') THEN 0.5 WHEN g > 0 AND d = 0 THEN least(0.9, 0.5 + sg * 0.2) ELSE least(0.9, 0.5 + sd * 0.2) END, 6)::DOUBLE AS confidence FROM f""")
 def classification_confidence(t: Tables) -> DataFrame:
-    """Names with two and with one telling part."""
-    name = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("a/laser-sensor-"), "doc_id", F.lit(".pdf"))).otherwise(F.concat(F.lit("a/annual_report_"), "doc_id", F.lit(".pdf")))
-    rows = t.documents.select("doc_id", name.alias("source"))
-    return rows.select("doc_id", parsing.confidence(F.col("source"), parsing.classify(F.col("source"))).alias("confidence"))
+    """Names with two, one and no telling part, plain text, and a kind that nothing parses."""
+    rows = t.documents.select("doc_id", F.expr(_NAMES).alias("source"))
+    return rows.select("doc_id", F.round(parsing.confidence(F.col("source"), parsing.classify(F.col("source"))), 6).alias("confidence"))
 
 
 @query("SELECT doc_id, (60 + (n_chars // 3000 + 1) * 30)::BIGINT AS timeout FROM documents")
@@ -102,20 +106,34 @@ def sentence_chunks(t: Tables) -> DataFrame:
 
 
 @query(r"SELECT doc_id, i - 1 AS section_index, body FROM (SELECT doc_id, unnest(b) AS body, unnest(range(1, len(b) + 1)) AS i FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS b FROM documents))")
-def markdown_sections(t: Tables) -> DataFrame:
+def paragraph_lines(t: Tables) -> DataFrame:
     return parsing.paragraphs(t.documents)
 
 
+_PAGE = "'intro ' || doc_id || chr(10) || '# Part ' || lang || chr(10) || substring(text, 1, 700) || chr(10) || '```' || chr(10) || '# no heading' || chr(10) || '```' || chr(10) || '##  Rest  ' || chr(10) || substring(text, 701, 100000000)"
+
+
+@query(rf"""WITH l AS (SELECT doc_id, i, line, sum(CASE WHEN regexp_matches(ltrim(line, ' ' || chr(9) || chr(13)), '^(```|~~~)') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) % 2 = 1 AS fenced FROM (SELECT doc_id, unnest(s) AS line, unnest(range(len(s))) AS i FROM (SELECT doc_id, string_split({_PAGE}, chr(10)) AS s FROM documents))),
+ h AS (SELECT *, NOT fenced AND regexp_matches(line, '^#{{1,6}}\s+') AS head FROM l), g AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM h),
+ p AS (SELECT doc_id, part, coalesce(max(trim(regexp_replace(line, '^#{{1,6}}\s+', ''), ' ' || chr(9) || chr(13))) FILTER (head), '') AS heading, coalesce(trim(string_agg(line, chr(10) ORDER BY i) FILTER (NOT head), ' ' || chr(9) || chr(10) || chr(13)), '') AS body FROM g GROUP BY doc_id, part)
+ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS section_index, heading, body FROM p WHERE heading <> '' OR body <> ''""")
+def markdown_sections(t: Tables) -> DataFrame:
+    """Sections by heading; a line like a heading inside a code fence is none."""
+    return parsing.markdown_sections(t.documents.select("doc_id", F.expr(_PAGE).alias("text")))
+
+
 @query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[#*`\[\]()]', ' ', 'g'), '\s+', ' ', 'g')) AS cleaned FROM documents")
 def clean_text(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", T.clean_text(F.col("text")).alias("cleaned"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang || ', ' || doc_id ELSE '' END AS keywords FROM documents WHERE NOT contains(text, 'Context:') AND NOT contains(text, 'Keywords:')")
+_MARKED = r"CASE doc_id % 3 WHEN 0 THEN 'Keywords:  ' || lang || ', ' || doc_id || ' ' || chr(10) || text WHEN 1 THEN 'Context:' || chr(10) || chr(10) || ' ' || lang || chr(10) || text ELSE text END"
+
+
+@query(rf"SELECT doc_id, rtrim(regexp_extract({_MARKED}, '(?:Context|Keywords):\s*([^\n]*)', 1)) AS keywords FROM documents")
 def context_keywords(t: Tables) -> DataFrame:
-    marked = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Keywords:  "), "lang", F.lit(", "), "doc_id", F.lit(" \n"), "text")).otherwise(F.col("text"))
-    plain = ~F.contains("text", F.lit("Context:")) & ~F.contains("text", F.lit("Keywords:"))
-    return t.documents.where(plain).select("doc_id", T.context_keywords(marked).alias("keywords"))
+    """A marker with its line behind it, one with an empty line between, and texts as they are."""
+    return t.documents.select("doc_id", T.context_keywords(F.expr(_MARKED)).alias("keywords"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 0 ELSE 2 END::BIGINT AS n, CASE WHEN doc_id % 3 <> 2 THEN lang END AS first_keyword FROM documents")
@@ -132,25 +150,31 @@ def metadata_kv(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", m["type"].alias("type"), m["origin"].alias("origin"))
 
 
-@query("SELECT doc_id, CASE WHEN n_chars < 60 THEN printf('%.1fs', n_chars::DOUBLE) WHEN n_chars < 3600 THEN printf('%.1fm', n_chars / 60.0::DOUBLE) ELSE printf('%.1fh', n_chars / 3600.0::DOUBLE) END AS duration FROM documents WHERE (n_chars * 10) % 60 <> 30 AND n_chars % 360 <> 180")
+_DURATION = "SELECT doc_id, CASE WHEN n_chars < 60 THEN printf('%.1fs', n_chars::DOUBLE) WHEN n_chars < 3600 THEN printf('%.1fm', n_chars / 60.0::DOUBLE) ELSE printf('%.1fh', n_chars / 3600.0::DOUBLE) END AS duration FROM documents"
+
+
+@query(_DURATION)
 def format_duration(t: Tables) -> DataFrame:
-    return t.documents.where("(n_chars * 10) % 60 <> 30 and n_chars % 360 <> 180").select("doc_id", T.format_duration(F.col("n_chars").cast("double")).alias("duration"))
+    return t.documents.select("doc_id", T.format_duration(F.col("n_chars").cast("double")).alias("duration"))
+
+
+_SIZE = "SELECT doc_id, CASE WHEN z < 1024 THEN printf('%.1fB', z) WHEN z < 1048576 THEN printf('%.1fKB', z / 1024) WHEN z < 1073741824 THEN printf('%.1fMB', z / 1048576) ELSE printf('%.1fGB', z / 1073741824) END AS size_text FROM (SELECT doc_id, (n_chars * n_chars + 1)::DOUBLE AS z FROM documents)"
 
 
-@query("SELECT doc_id, CASE WHEN z < 1024 THEN printf('%.1fB', z) WHEN z < 1048576 THEN printf('%.1fKB', z / 1024) WHEN z < 1073741824 THEN printf('%.1fMB', z / 1048576) ELSE printf('%.1fGB', z / 1073741824) END AS size_text FROM (SELECT doc_id, (n_chars * n_chars + 1)::DOUBLE AS z FROM documents WHERE n_chars % 2 = 0)")
+@query(_SIZE)
 def format_file_size(t: Tables) -> DataFrame:
-    return t.documents.where("n_chars % 2 = 0").select("doc_id", T.format_file_size(F.col("n_chars") * F.col("n_chars") + 1).alias("size_text"))
+    return t.documents.select("doc_id", T.format_file_size(F.col("n_chars") * F.col("n_chars") + 1).alias("size_text"))
 
 
-@query()
+@query(_DURATION)
 def format_duration_whole(t: Tables) -> DataFrame:
-    """Every document; the SQL of ``format_duration`` leaves out ties."""
+    """The former name of the query over every document."""
     return t.documents.select("doc_id", T.format_duration(F.col("n_chars").cast("double")).alias("duration"))
 
 
-@query()
+@query(_SIZE)
 def format_file_size_whole(t: Tables) -> DataFrame:
-    """Every document; the SQL of ``format_file_size`` leaves out odd lengths."""
+    """The former name of the query over every document."""
     return t.documents.select("doc_id", T.format_file_size(F.col("n_chars") * F.col("n_chars") + 1).alias("size_text"))
 
 
@@ -205,14 +229,14 @@ _DIFF = f"""old AS (SELECT doc_id, {_OLD} AS t FROM documents),
  FROM oc o FULL OUTER JOIN chunks n ON o.doc_id = n.doc_id AND o.chunk_index = n.chunk_index))"""
 
 
-def _old_chunks(t: Tables) -> DataFrame:
-    old = t.documents.select("doc_id", t.old_text().alias("text")).where("text is not null")
-    pieces = old.select("doc_id", F.posexplode(T.fixed_chunks(F.col("text"), 1000)).alias("chunk_index", "text"))
-    return pieces.withColumn("chunk_index", F.col("chunk_index").cast("bigint"))
+def _diff(t: Tables) -> DataFrame:
+    old = t.documents.select("doc_id", t.old_text().alias("text"))
+    return lifecycle.document_diff(old, t.documents.select("doc_id", "text"))
 
 
-def _diff(t: Tables) -> DataFrame:
-    return lifecycle.chunk_diff(_old_chunks(t), t.chunks)
+def _kept_diff(t: Tables) -> DataFrame:
+    """The comparison that several analyses start from, stored once."""
+    return t.kept("chunk-diff", lambda: _diff(t))
 
 
 def _diff_sql(sql: str) -> str:
@@ -236,7 +260,7 @@ _REFINED = "refined AS (SELECT doc_id, count(*) AS total_chunks, count(*) FILTER
 
 @query(_diff_sql("").rstrip() + f", {_REFINED} SELECT doc_id, total_chunks, changed_chunks, round(change_ratio, 6) AS change_ratio, change_type, round(least(1.0, 0.7 + 0.3 * least(total_chunks / 10, 1.0)), 6)::DOUBLE AS confidence FROM kinds")
 def change_refinement(t: Tables) -> DataFrame:
-    return lifecycle.refine(_diff(t)).withColumns({"change_ratio": F.round("change_ratio", 6), "confidence": F.round("confidence", 6)})
+    return lifecycle.refine(_kept_diff(t)).withColumns({"change_ratio": F.round("change_ratio", 6), "confidence": F.round("confidence", 6)})
 
 
 _STRATEGY = "CASE change_type WHEN 'no_change' THEN 'skip' WHEN 'minor_update' THEN 'incremental' ELSE 'full_reindex' END"
@@ -245,7 +269,7 @@ _EFFORT = "round((CASE change_type WHEN 'no_change' THEN 0.1 WHEN 'minor_update'
 
 
 def _analysis(t: Tables) -> DataFrame:
-    rows = lifecycle.refine(_diff(t)).join(t.documents.select("doc_id", "n_chars"), "doc_id")
+    rows = lifecycle.refine(_kept_diff(t)).join(t.documents.select("doc_id", "n_chars"), "doc_id")
     c = F.col("change_type")
     return rows.select("doc_id", "change_type", lifecycle.strategy(c).alias("strategy"), lifecycle.priority(c).alias("priority"), lifecycle.effort(c, F.col("n_chars"), F.col("changed_chunks")).alias("effort"))
 
@@ -304,12 +328,12 @@ def fingerprints(t: Tables) -> DataFrame:
     return r.select("doc_id", "content_hash", lifecycle.metadata_hash(F.col("source"), F.col("size"), F.col("modified_time").cast("bigint"), F.col("content_hash")).alias("metadata_hash"))
 
 
-@query(with_tables("""SELECT doc_id, CASE WHEN f.source IS NULL THEN 'new_document' WHEN f.content_hash = r.content_hash THEN 'no_change'
+@query(with_tables("""SELECT doc_id, CASE WHEN f.source IS NULL THEN 'new_document' WHEN f.metadata_hash = r.metadata_hash THEN 'no_change'
   WHEN abs(r.size - f.size) / greatest(f.size, 1) > 0.9 THEN 'complete_rewrite' WHEN abs(r.size - f.size) / greatest(f.size, 1) > 0.7 THEN 'structure_change' WHEN abs(r.size - f.size) / greatest(f.size, 1) > 0.4 THEN 'major_update' ELSE 'minor_update' END AS change_type
-  FROM registry r LEFT JOIN (SELECT source, content_hash, size FROM fingerprints) f USING (source)""", "registry", "fingerprints"))
+  FROM registry r LEFT JOIN (SELECT source, metadata_hash, size FROM fingerprints) f USING (source)""", "registry", "fingerprints"))
 def change_classification(t: Tables) -> DataFrame:
-    stored = t.fingerprints.select("source", F.col("content_hash").alias("stored"), F.col("size").alias("old_size"))
-    kind = lifecycle.change_class(F.col("stored"), F.col("content_hash"), F.col("old_size"), F.col("size"))
+    stored = t.fingerprints.select("source", F.col("metadata_hash").alias("stored"), F.col("size").alias("old_size"))
+    kind = lifecycle.change_class(F.col("stored"), F.col("metadata_hash"), F.col("old_size"), F.col("size"))
     return t.registry.join(stored, "source", "left").select("doc_id", kind.alias("change_type"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docweave.functions import text as T
-from docweave.operators import fusion, parsing, retrieval
+from docweave.operators import fusion, parsing, postings, retrieval
 from docweave.plans.base import Tables, with_tables
 from docweave.plans.catalog import query
 
@@ -32,8 +32,18 @@ def term_frequencies(t: Tables) -> DataFrame:
 
 @query(with_tables(f"SELECT term, count(*) AS nodes, sum(tf)::BIGINT AS occurrences FROM (SELECT node_id, term, count(*) AS tf FROM (SELECT node_id, unnest({_TOK}) AS term FROM chunks) GROUP BY node_id, term) GROUP BY term", "chunks"))
 def postings_build(t: Tables) -> DataFrame:
-    postings = retrieval.term_frequencies(t.chunks, "node_id", T.tokenize(F.col("text")))
-    return postings.groupBy("term").agg(F.count("*").alias("nodes"), F.sum("tf").alias("occurrences"))
+    """Words are counted inside each chunk; the one shuffle, by term, carries counts of counts."""
+    found = postings.node_postings(t.chunks, "node_id", T.tokenize(F.col("text")), "string")
+    return found.where("term is not null").groupBy("term").agg(F.count("*").alias("nodes"), F.sum("tf").alias("occurrences"))
+
+
+@query(f"SELECT doc_id, term, count(*) AS tf, min(place)::BIGINT AS first_place, (SELECT count(DISTINCT doc_id) FROM (SELECT doc_id, unnest({_PLAIN}) AS x FROM documents) WHERE x = term) AS df FROM (SELECT doc_id, term, place FROM (SELECT doc_id, unnest({_PLAIN}) AS term, generate_subscripts({_PLAIN}, 1) - 1 AS place FROM documents) WHERE term IN ('that', 'thanea', 'tion')) GROUP BY doc_id, term")
+def stored_postings(t: Tables) -> DataFrame:
+    """What the stored index knows of three terms: reads only the buckets of these."""
+    index, wanted = t.keyword_index, ["that", "thanea", "tion"]
+    rows = index.matched("doc_id", wanted, every_word=True).select("doc_id", "term", "tf", "df")
+    places = index._of(index.postings, wanted).select(F.col("key").alias("doc_id"), "term", F.array_min("positions").cast("bigint").alias("first_place"))
+    return rows.join(places, ["doc_id", "term"])
 
 
 @query(f"SELECT count(*) AS n, round(avg(len({_TOK})), 6) AS avgdl FROM documents")
@@ -50,7 +60,7 @@ _BM25 = f"""bm AS (WITH d AS (SELECT doc_id, {_TOK} AS tok FROM documents), q AS
 
 @query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM bm WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 10")
 def bm25_search(t: Tables) -> DataFrame:
-    hits = retrieval.bm25(t.documents, "doc_id", "text", QUERY)
+    hits = retrieval.bm25(t.keyword_index, "doc_id", "text", QUERY)
     return retrieval.top(hits, "doc_id", F.desc("score"), 10).withColumn("score", F.round("score", 6))
 
 
@@ -61,7 +71,7 @@ _FTS = f"""f0 AS (WITH d AS (SELECT doc_id, {_PLAIN} AS tok FROM documents), s A
 
 
 def _fts(t: Tables, every: bool = True) -> DataFrame:
-    return retrieval.fts_scores(t.documents, "doc_id", retrieval.plain_tokens(F.col("text")), TERMS, every)
+    return retrieval.fts_scores(t.keyword_index, "doc_id", retrieval.plain_tokens(F.col("text")), TERMS, every)
 
 
 @query(f"WITH {_FTS} SELECT doc_id, round(score, 6) AS score FROM f0")
@@ -86,7 +96,7 @@ def keyword_search_porter(t: Tables) -> DataFrame:
 @query(f"""WITH h AS (SELECT doc_id, CAST((length(p) - length(replace(p, ' of  the ', ''))) / 9 AS BIGINT) AS occurrences FROM (SELECT doc_id, ' ' || array_to_string({_PLAIN}, '  ') || ' ' AS p FROM documents))
  SELECT *, row_number() OVER (ORDER BY occurrences DESC, doc_id) AS rank, 1.0::DOUBLE / (row_number() OVER (ORDER BY occurrences DESC, doc_id) + 1) AS score FROM h WHERE occurrences > 0 ORDER BY occurrences DESC, doc_id LIMIT 15""")
 def phrase_search(t: Tables) -> DataFrame:
-    return retrieval.phrase_hits(t.documents, "doc_id", "text", PHRASE, 15)
+    return retrieval.phrase_hits(t.keyword_index, "doc_id", "text", PHRASE, 15)
 
 
 @query(with_tables("SELECT c.node_id, d.lang, c.chunk_index FROM chunks c JOIN documents d USING (doc_id) WHERE contains(lower(c.text), 'thanea')", "chunks"))
@@ -209,7 +219,7 @@ def hybrid_search_e2e(t: Tables) -> DataFrame:
     """Filtered hybrid search: both lists over-fetched three times, fused by reciprocal ranks, ten hits."""
     from docweave.plans.engine import Engine
 
-    return Engine(t.documents, t.vectors).search(TERMS, t.query_vector, top_k=10, where=F.col("lang") == "en").select("id", F.round("fused", 9).alias("fused"), "rank")
+    return Engine(t.documents, t.vectors, t.keyword_index).search(TERMS, t.query_vector, top_k=10, where=F.col("lang") == "en").select("id", F.round("fused", 9).alias("fused"), "rank")
 
 
 @query(r"SELECT item_id, regexp_matches(text, '\d{7}|\d{2}-\d{3}-\d{3}') AS has_part_number, contains(lower(text), 'matrix') OR contains(lower(text), 'model') OR contains(lower(text), 'laser') OR contains(lower(text), 'series') AS has_model_reference, CASE WHEN regexp_matches(text, '\d{7}|\d{2}-\d{3}-\d{3}') THEN 'part_number' WHEN contains(lower(text), 'matrix') OR contains(lower(text), 'model') OR contains(lower(text), 'laser') OR contains(lower(text), 'series') THEN 'model' ELSE 'general' END AS query_type, len(regexp_extract_all(text, '\d{7}|\d{2}-\d{3}-\d{3}')) AS part_numbers FROM (SELECT doc_id AS item_id, text FROM documents)")
@@ -228,9 +238,10 @@ def search_preview(t: Tables) -> DataFrame:
  SELECT doc_id, term, rank FROM (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY round(tf * ln((SELECT count(*) FROM documents) / df), 9) DESC, term) AS rank FROM w JOIN f USING (term)) WHERE rank <= 5""")
 def keyword_enrichment(t: Tables) -> DataFrame:
     """The offline keyword model: the five terms of highest tf-idf of each document."""
-    tf = retrieval.term_frequencies(t.documents, "doc_id", T.tokenize(F.col("text")))
-    n = t.documents.agg(F.count("*").alias("n"))
-    scored = tf.join(retrieval.document_frequencies(tf), "term").crossJoin(F.broadcast(n)).withColumn("w", F.round(F.col("tf") * F.log(F.col("n") / F.col("df")), 9))
+    index = t.keyword_index
+    kept = (F.length("term") > 2) & ~F.col("term").isin(*T.STOP_WORDS)
+    tf = index.postings.where(kept).select(F.col("key").alias("doc_id"), "bucket", "term", "tf")
+    scored = tf.join(index.terms.select("bucket", "term", "df"), ["bucket", "term"]).crossJoin(F.broadcast(index.stats.select("n"))).withColumn("w", F.round(F.col("tf") * F.log(F.col("n") / F.col("df")), 9))
     order = Window.partitionBy("doc_id").orderBy(F.desc("w"), "term")
     return scored.withColumn("rank", F.row_number().over(order).cast("bigint")).where("rank <= 5").select("doc_id", "term", "rank")
 
