@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 from array import array
 from collections.abc import Sequence
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -52,10 +53,11 @@ class PieceEncoder:
     held, or none if these are too many.  That bounds memory and never changes ids.
     """
 
-    def __init__(self, path: str, keeps_space: bool, limit: int = 400_000):
+    def __init__(self, path: str, keeps_space: bool, limit: int = 600_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.bare = Tokenizer(self.tokenizer.model)  # the model alone, for pieces that are one pre-token
         self.keeps_space = keeps_space
         self.limit = limit
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
@@ -67,29 +69,33 @@ class PieceEncoder:
         self.starts = np.zeros(1 << 14, np.int64)  # of each piece's ids; one more than pieces
         self.held = np.zeros(1 << 14, np.uint8)  # batches that held it
 
-    def _whole(self, texts: Sequence[str]) -> list[bytes]:
-        code = "H" if self.dtype.itemsize == 2 else "I"
-        return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, tokenizer: Tokenizer, texts: Sequence[str]) -> list[bytes]:
+        code, out = "H" if self.dtype.itemsize == 2 else "I", []
+        for i in range(0, len(texts), 20_000):
+            out += [array(code, e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts[i : i + 20_000], add_special_tokens=False)]
+        return out
 
     def _single(self, piece: bytes) -> str | None:
         """A piece of letters alone as the model reads it, which spares normal forms and pre-tokens; else None."""
         if self.keeps_space:
-            letters = piece[1:].decode() if piece[:1] == b" " else piece.decode()
-        else:
-            letters = piece.rstrip(b" ").decode()
-            if letters and max(letters) >= "\u0130":  # other letters may have longer lower cases and normal forms
-                return None
-            letters, piece = letters.lower(), letters.lower().encode()
-        return piece.decode("latin-1").translate(_SHOWN) if letters.isalpha() else None
+            spaced, letters = piece[:1] == b" ", piece.removeprefix(b" ")
+            if letters.isalpha():  # ASCII alone
+                return ("\u0120" if spaced else "") + letters.decode()
+            return piece.decode("latin-1").translate(_SHOWN) if letters.decode().isalpha() else None
+        letters = piece.rstrip(b" ")
+        if letters.isalpha():
+            return letters.decode()
+        text = letters.decode()
+        if not text.isalpha() or max(text) >= "\u0130":  # other letters may have longer lower cases and normal forms
+            return None
+        return text.lower().encode().decode("latin-1").translate(_SHOWN)
 
     def _encoded(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each piece."""
-        code, model, out = "H" if self.dtype.itemsize == 2 else "I", self.tokenizer.model, []
-        shown = [self._single(p) for p in pieces]
-        rest = iter(self._whole([p.decode() for p, s in zip(pieces, shown) if s is None]))
-        for s in shown:
-            out.append(next(rest) if s is None else array(code, [t.id for t in model.tokenize(s)]).tobytes())
-        return out
+        shown = [*map(self._single, pieces)]
+        found = iter(self._ids(self.bare, [s for s in shown if s is not None]))
+        rest = iter(self._ids(self.tokenizer, [p.decode() for p, s in zip(pieces, shown) if s is None]))
+        return [next(rest) if s is None else next(found) for s in shown]
 
     def _learn(self, new: list[bytes]) -> None:
         found = self._encoded(new)
@@ -147,9 +153,10 @@ class PieceEncoder:
             return np.zeros(0, self.dtype), np.zeros(len(text) + 1, np.int64)
         pieces = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
         distinct = pieces.dictionary.to_pylist()
-        if new := [p for p in distinct if p not in self.known]:
-            self._learn(new)
-        place = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        place = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        if len(new := np.flatnonzero(place < 0)):
+            place[new] = np.arange(len(self.known), len(self.known) + len(new))
+            self._learn([distinct[i] for i in new.tolist()])
         self.held[place] = np.minimum(self.held[place], 1) + 1
         place = place[pieces.indices.to_numpy()]
         sizes = self.starts[place + 1] - self.starts[place]
@@ -159,7 +166,7 @@ class PieceEncoder:
 
     def _with_odd(self, text: pa.Array, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Texts that may hold a special token's string are encoded whole."""
-        whole = dict(zip(odd.tolist(), self._whole([text[i].as_py() for i in odd.tolist()])))
+        whole = dict(zip(odd.tolist(), self._ids(self.tokenizer, [text[i].as_py() for i in odd.tolist()])))
         mask = np.ones(len(text), bool)
         mask[odd] = False
         ids, at = self.encode(text.filter(pa.array(mask)))
@@ -183,7 +190,7 @@ _encoders: dict[tuple, PieceEncoder] = {}
 on_release.append(_encoders.clear)
 
 
-def encoder(path: str, keeps_space: bool, limit: int = 400_000) -> PieceEncoder:
+def encoder(path: str, keeps_space: bool, limit: int = 600_000) -> PieceEncoder:
     """The encoder of this Python worker for a vocabulary file, kept from task to task."""
     if (key := (path, keeps_space, limit)) not in _encoders:
         _encoders[key] = PieceEncoder(path, keeps_space, limit)
