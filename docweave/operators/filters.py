@@ -107,3 +107,54 @@ def input_problem(source: Column, size: Column, extensions: tuple[str, ...] = ("
     for e in extensions:
         known |= F.lower(source).endswith(e)
     return F.when(url, F.when(F.length(source) > longest_url, "url_too_long")).otherwise(F.when(~known, "bad_extension").when(size > most, "file_too_large"))
+
+
+def vector_spec(filters: dict[str, Any]) -> dict[str, Any]:
+    """The part of a filter that a vector table answers by itself, as {column: value, {"$in": [...]} or {"$contains": text}}."""
+    out: dict[str, Any] = {}
+    if filters.get("doc_ids"):
+        out["doc_id"] = {"$in": list(filters["doc_ids"])}
+    if isinstance(filters.get("source"), dict) and "contains" in filters["source"]:
+        out["source"] = {"$contains": filters["source"]["contains"]}
+    for name in ("source_type", "parse_method"):
+        if isinstance(filters.get("metadata"), dict) and name in filters["metadata"]:
+            out[name] = filters["metadata"][name]
+    return out
+
+
+def spec_predicate(spec: dict[str, Any]) -> Column:
+    """A vector table's filter as a condition that holds before any cut; an empty one is true."""
+    found = F.lit(True)
+    for name, value in spec.items():
+        c = F.col(name)
+        if isinstance(value, dict) and "$in" in value:
+            found &= c.isin(list(value["$in"]))
+        elif isinstance(value, dict) and "$contains" in value:
+            found &= F.contains(c, F.lit(value["$contains"]))
+        else:
+            found &= c == value
+    return found
+
+
+def _any_holds(values: Column, text: str) -> Column:
+    return F.exists(values, lambda v: F.contains(v, F.lit(text)))
+
+
+def after_vectors(filters: dict[str, Any]) -> Column:
+    """What a vector table can't answer, on hits with pairs, file_size, text and keywords (an array): letters count by case,
+    one pair's model and any pair's part may match, a size that is missing or 0 is not judged."""
+    part = lambda name: filters[name] if isinstance(filters.get(name), dict) else {}
+    found, pairs, size, content = F.lit(True), part("pairs"), part("metadata").get("file_size"), part("content")
+    for key, field in (("model_contains", "model"), ("part_contains", "part")):
+        if key in pairs:
+            found &= F.coalesce(_any_holds(F.col(f"pairs.{field}"), pairs[key]), F.lit(False))
+    if isinstance(size, dict):
+        known = F.coalesce(F.col("file_size"), F.lit(0)) != 0
+        for key, bad in (("min", F.col("file_size") < size.get("min", 0)), ("max", F.col("file_size") > size.get("max", 0))):
+            if key in size:
+                found &= ~(known & bad)
+    if "text_contains" in content:
+        found &= F.contains(F.coalesce("text", F.lit("")), F.lit(content["text_contains"]))
+    if "keywords_contain" in content:
+        found &= F.contains(F.array_join(F.coalesce("keywords", F.array().cast("array<string>")), " "), F.lit(content["keywords_contain"]))
+    return found

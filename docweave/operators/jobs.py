@@ -54,3 +54,38 @@ def fold_states(changes: DataFrame) -> DataFrame:
     """Per job the state that its changes (job_id, seq, status) leave: the latest, first start and the number of changes."""
     last = F.max_by("status", "seq")
     return changes.groupBy("job_id").agg(last.alias("status"), F.min(F.when(F.col("status") == "processing", F.col("seq"))).alias("first_started"), F.count("*").alias("changes"))
+
+
+def requeue(jobs: DataFrame, ids: DataFrame, now: float, reset_retries: bool = False) -> DataFrame:
+    """The named jobs (job_id) are pending again, without progress, error and worker; others stay as they are."""
+    named = F.col("_named").isNotNull()
+    rows = jobs.join(ids.select("job_id", F.lit(True).alias("_named")), "job_id", "left")
+    new = {"status": F.lit("pending"), "progress": F.lit(0.0), "error_message": F.lit(None), "worker_id": F.lit(None), "updated_at": F.lit(now)}
+    if reset_retries:
+        new["retry_count"] = F.lit(0)
+    return rows.select(*[F.when(named, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in jobs.columns])
+
+
+def cancel(jobs: DataFrame, ids: DataFrame, now: float) -> DataFrame:
+    """The named jobs end as cancelled unless they have ended before."""
+    rows = jobs.join(ids.select("job_id", F.lit(True).alias("_named")), "job_id", "left")
+    named = F.col("_named").isNotNull() & ~F.col("status").isin("completed", "failed", "cancelled")
+    new = {"status": F.lit("cancelled"), "completed_at": F.lit(now), "updated_at": F.lit(now)}
+    return rows.select(*[F.when(named, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in jobs.columns])
+
+
+#: What each action does to a job, by the status it is in; any other action is ignored.
+TRANSITIONS = {("pending", "start"): "processing", ("processing", "complete"): "completed", ("processing", "fail"): "failed", ("pending", "cancel"): "cancelled", ("processing", "cancel"): "cancelled", ("failed", "requeue"): "pending", ("cancelled", "requeue"): "pending"}
+
+
+def run_machine(actions: DataFrame, key: str = "job_id") -> DataFrame:
+    """Per job what its actions (key, seq, action) leave, in order: status and how many actions took effect."""
+    step = lambda s, a: F.coalesce(*[F.when((s == was) & (a == does), then) for (was, does), then in TRANSITIONS.items()])
+
+    def fold(s, x):  # noqa: ANN001, ANN202
+        new = step(s["status"], x["action"])
+        return F.struct(F.coalesce(new, s["status"]).alias("status"), (s["moves"] + F.when(new.isNotNull(), F.lit(1).cast("bigint")).otherwise(F.lit(0).cast("bigint"))).alias("moves"))
+
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "action")))
+    start = F.struct(F.lit("pending").alias("status"), F.lit(0).cast("bigint").alias("moves"))
+    return actions.groupBy(key).agg(ordered.alias("a")).select(key, F.aggregate("a", start, fold).alias("s")).select(key, "s.status", "s.moves")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ast
 import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Parts of file names that tell datasheets from other documents; the first ones also count for confidence.
 DATASHEET = ("datasheet", "ds.pdf", "spec", "specification", "product_brief", "technical_data", "sensor", "laser", "manual", "model", "part_number")
@@ -59,22 +61,64 @@ def pairs_from_json(text: Column) -> Column:
     return F.coalesce(pairs, F.array().cast("array<struct<model:string,part:string>>"))
 
 
-_BLOCK = r"""(?ims)^\s*Metadata:\s*\{\s*['"]pairs['"]\s*:\s*(\[.*?\])\s*\}\s*$"""
-_TUPLE = r"""\(\s*['"]([^'"]*)['"]\s*,\s*['"]([^'"]*)['"]\s*\)"""
+def closing_brace(text: str, start: int) -> int:
+    """Where the brace at ``start`` is closed, quoted parts skipped; -1 if it never is."""
+    depth, quote, at = 0, "", start
+    while at < len(text):
+        c = text[at]
+        if quote:
+            at += c == "\\"
+            quote = "" if c == quote else quote
+        elif c in "'\"":
+            quote = c
+        elif c in "{}":
+            depth += 1 if c == "{" else -1
+            if not depth:
+                return at
+        at += 1
+    return -1
+
+
+def literal_pairs(text: str | None) -> tuple[list[tuple[str, str]], str | None]:
+    """Pairs of the first ``Metadata:`` line whose braces hold a literal with pairs of two texts, and the text without it.
+
+    A code fence around the block goes with it.  Without such a block, or if it is all there is, the text stays as it was.
+    """
+    lowered, at = (text or "").lower(), -1
+    while (at := lowered.find("metadata:", at + 1)) >= 0:
+        line = text.rfind("\n", 0, at) + 1
+        start = at + len("metadata:") + len(text[at + len("metadata:") :]) - len(text[at + len("metadata:") :].lstrip())
+        end = closing_brace(text, start) if text[start : start + 1] == "{" and not text[line:at].strip() else -1
+        stop = text.find("\n", end) if text.find("\n", end) >= 0 else len(text)
+        if end < 0 or text[end + 1 : stop].strip():
+            continue
+        try:
+            found = ast.literal_eval(text[start : end + 1])["pairs"]
+        except (ValueError, SyntaxError, TypeError, KeyError, MemoryError, RecursionError):
+            continue
+        if isinstance(found, list) and all(isinstance(p, (tuple, list)) and len(p) == 2 and all(isinstance(x, str) for x in p) for p in found):
+            before, after = text[:line].rstrip(), text[stop:].lstrip()
+            if re.search(r"```\w*$", before) and after.startswith("```"):
+                before, after = re.sub(r"```\w*$", "", before).rstrip(), after[3:].lstrip()
+            rest = "\n".join(x for x in (before, after) if x).strip()
+            return [tuple(p) for p in found], rest or text
+    return [], text
+
+
+_PAIR = T.StructType([T.StructField("model", T.StringType()), T.StructField("part", T.StringType())])
+_FOUND = T.StructType([T.StructField("pairs", T.ArrayType(_PAIR)), T.StructField("rest", T.StringType())])
+
+
+@F.pandas_udf(_FOUND)
+def _literal(text: pd.Series) -> pd.DataFrame:
+    found = [literal_pairs(t) for t in text]
+    return pd.DataFrame({"pairs": [[{"model": m, "part": p} for m, p in x] for x, _ in found], "rest": [r for _, r in found]})
 
 
 def pairs_from_literal(text: Column) -> tuple[Column, Column]:
-    """Pairs of a literal block of text tuples, and the text without the block unless the block is all there is.
-
-    Anything but tuples of two texts leaves no pairs and the text as it was.
-    """
-    listed = F.regexp_extract(text, _BLOCK, 1)
-    rest = F.trim(F.translate(F.regexp_replace(listed, _TUPLE, ""), "[],", ""))
-    fits = (listed != "") & (F.regexp_replace(rest, r"\s+", "") == "")
-    pairs = F.zip_with(F.regexp_extract_all(listed, F.lit(_TUPLE), F.lit(1)), F.regexp_extract_all(listed, F.lit(_TUPLE), F.lit(2)), lambda m, p: F.struct(m.alias("model"), p.alias("part")))
-    without = F.regexp_replace(F.regexp_replace(text, _BLOCK, ""), r"^\s+|\s+$", "")
-    none = F.array().cast("array<struct<model:string,part:string>>")
-    return F.when(fits, pairs).otherwise(none), F.when(fits & (F.regexp_replace(without, r"\s+", "") != ""), without).otherwise(text)
+    """Columns of ``literal_pairs``: pairs, and the text without their block."""
+    both = _literal(text)
+    return both["pairs"], both["rest"]
 
 
 def sentence_windows(text: str, size: int, overlap: int) -> Iterator[str]:

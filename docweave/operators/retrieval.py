@@ -11,6 +11,8 @@ from docweave.operators.postings import KeywordIndex
 
 #: Fixed values of the ranking functions.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
+#: Scores are sums in no fixed order; so many decimals keep equal ones equal and ranks stable.
+DIGITS = 12
 
 
 def term_frequencies(nodes: DataFrame, key: str, tokens: Column) -> DataFrame:
@@ -59,7 +61,7 @@ def bm25(nodes: DataFrame | KeywordIndex, key: str, text: str, query: str) -> Da
     m = nodes.matched(key, terms, every_word=False) if isinstance(nodes, KeywordIndex) else _matched(nodes, key, terms, tokenize(F.col(text)))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return m.groupBy(key).agg(F.sum(weight[F.col("term")] * part).alias("score")).where("score > 0")
+    return m.groupBy(key).agg(F.round(F.sum(weight[F.col("term")] * part), DIGITS).alias("score")).where("score > 0")
 
 
 def fts_scores(nodes: DataFrame | KeywordIndex, key: str, tokens: Column, terms: list[str], every: bool = True) -> DataFrame:
@@ -71,7 +73,7 @@ def fts_scores(nodes: DataFrame | KeywordIndex, key: str, tokens: Column, terms:
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf > 0, idf).otherwise(IDF_FLOOR)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = m.groupBy(key).agg((-F.sum(part)).alias("score"), F.count("*").alias("found"))
+    scored = m.groupBy(key).agg(F.round(-F.sum(part), DIGITS).alias("score"), F.count("*").alias("found"))
     return (scored.where(F.col("found") == len(dict.fromkeys(terms))) if every else scored).drop("found")
 
 

@@ -26,4 +26,4 @@ def query(sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], C
 
 def load() -> None:
     """Import the modules whose queries register themselves."""
-    from docweave.plans import processing_queries, registry_queries, retrieval_queries  # noqa: F401
+    from docweave.plans import ingest_queries, processing_queries, registry_queries, retrieval_queries  # noqa: F401

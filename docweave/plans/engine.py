@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions.text import fixed_chunks
-from docweave.operators import fusion, lifecycle, retrieval
+from docweave.operators import fusion, ingest, lifecycle, retrieval
+from docweave.operators.ingest import Library
+from docweave.operators.plugins import Embedder, hashed_embedding
 from docweave.operators.postings import KeywordIndex
 
 
@@ -42,6 +44,15 @@ class Engine:
             return fusion.rrf(vector, keyword, top_k)
         return fusion.adaptive(vector, keyword, " ".join(terms), top_k) if fuse == "adaptive" else fusion.weighted(vector, keyword, top_k)
 
+    def payload(self, hits: DataFrame, text: int = 200) -> DataFrame:
+        """Hits (id, ...) with what the library knows of their documents; a cut list is broadcast."""
+        rows = self.documents.withColumn("preview", F.substring("text", 1, text)).drop("text").withColumnRenamed("doc_id", "id")
+        return rows.join(F.broadcast(hits), "id")
+
+    def ingest(self, library: Library, embedder: Embedder = hashed_embedding) -> Library:
+        """The library after this engine's documents (doc_id, source, text) came in."""
+        return ingest.ingest(library, self.documents.select("doc_id", "source", "text"), embedder)
+
     def chunks(self, width: int = 1000) -> DataFrame:
         rows = self.documents.select("doc_id", F.posexplode(fixed_chunks(F.col("text"), width)).alias("chunk_index", "text"))
         return rows.withColumn("chunk_index", F.col("chunk_index").cast("bigint")).withColumn("node_id", F.concat_ws("_", "doc_id", "chunk_index"))

@@ -55,7 +55,7 @@ def bm25_corpus_stats(t: Tables) -> DataFrame:
 _BM25 = f"""bm AS (WITH d AS (SELECT doc_id, {_TOK} AS tok FROM documents), q AS (SELECT * FROM (VALUES ('that', 2.0), ('with', 1.0), ('tion', 1.0), ('heen', 1.0)) q(term, w)),
  s AS (SELECT count(*) AS n, avg(len(tok)) AS avgdl FROM d), p AS (SELECT doc_id, len(tok) AS dl, term, count(*) AS tf FROM (SELECT doc_id, tok, unnest(tok) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
  f AS (SELECT term, count(*) AS df FROM p GROUP BY term)
- SELECT doc_id, sum(w * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM p JOIN f USING (term) JOIN q USING (term) CROSS JOIN s GROUP BY doc_id)"""
+ SELECT doc_id, round(sum(w * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 12) AS score FROM p JOIN f USING (term) JOIN q USING (term) CROSS JOIN s GROUP BY doc_id)"""
 
 
 @query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM bm WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 10")
@@ -67,7 +67,7 @@ def bm25_search(t: Tables) -> DataFrame:
 _FTS = f"""f0 AS (WITH d AS (SELECT doc_id, {_PLAIN} AS tok FROM documents), s AS (SELECT count(*) AS n, avg(len(tok)) AS avgdl FROM d),
  p AS (SELECT doc_id, len(tok) AS dl, term, count(*) AS tf FROM (SELECT doc_id, tok, unnest(tok) AS term FROM d) WHERE term IN ('that', 'with', 'tion') GROUP BY ALL),
  f AS (SELECT term, count(*) AS df FROM p GROUP BY term), x AS (SELECT *, ln((n - df + 0.5) / (df + 0.5)) AS i FROM p JOIN f USING (term) CROSS JOIN s)
- SELECT doc_id, -sum(CASE WHEN i > 0 THEN i ELSE 1e-6 END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score, count(*) AS found FROM x GROUP BY doc_id)"""
+ SELECT doc_id, round(-sum(CASE WHEN i > 0 THEN i ELSE 1e-6 END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 12) AS score, count(*) AS found FROM x GROUP BY doc_id)"""
 
 
 def _fts(t: Tables, every: bool = True) -> DataFrame:

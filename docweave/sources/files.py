@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PAIRS = "array<struct<model:string,part:string>>"
-ARTEFACT = T.StructType.fromDDL(f"doc_id bigint, source string, pairs {PAIRS}, markdown string, metadata string, markdown_length bigint, pairs_count bigint")
+_PAIR = T.StructType([T.StructField("model", T.StringType()), T.StructField("part", T.StringType())])
+_FIELDS = {"doc_id": T.LongType(), "source": T.StringType(), "pairs": T.ArrayType(_PAIR), "markdown": T.StringType(), "metadata": T.StringType(), "markdown_length": T.LongType(), "pairs_count": T.LongType()}
+#: Columns of parsed documents as they are stored; needs no running session.
+ARTEFACT = T.StructType([T.StructField(n, t) for n, t in _FIELDS.items()])
 
 
 def read_files(spark: SparkSession, path: str, recursive: bool = False, glob: str = "*.{pdf,txt,md}") -> DataFrame:
