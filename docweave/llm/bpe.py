@@ -1,7 +1,8 @@
 """BPE encoding and decoding through a table of distinct words.
 
 Texts are split into words in Spark, each distinct word is encoded once whatever its number of occurrences, and its ids
-go back to the places where it stands.  Decoding joins ids with the table of their pieces.
+go back to the places where it stands.  Decoding joins the ids of each distinct word with the table of their pieces, and
+what comes out goes to the same places.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
@@ -87,38 +89,51 @@ def word_requests(blocks: DataFrame, vocabulary: str) -> DataFrame:
     return blocks.mapInArrow(work, "bucket int, block_id bigint, words binary")
 
 
+@cache
+def piece_table(vocabulary: str) -> pa.Table:
+    """id and piece, the bytes that each id stands for; as many rows as the vocabulary has ids."""
+    tokenizer = _tokenizer(vocabulary)
+    letters = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xA0, 0xAD)]
+    others = [b for b in range(256) if b not in set(letters)]
+    byte = {chr(b): b for b in letters} | {chr(256 + i): b for i, b in enumerate(others)}
+    added = {i: a.content for i, a in tokenizer.get_added_tokens_decoder().items()}
+    vocab = {i: p for p, i in tokenizer.get_vocab(with_added_tokens=True).items()}
+    pieces = [added[i].encode() if i in added else bytes(byte[c] for c in vocab[i]) for i in sorted(vocab)]
+    return pa.table({"id": pa.array(sorted(vocab), pa.uint32()), "piece": pa.array(pieces, pa.large_binary())})
+
+
+def decode_words(ids: np.ndarray, lengths: np.ndarray, vocabulary: str) -> list[bytes]:
+    """The bytes of words by a join of their ids with the table of pieces, put back in order by position."""
+    placed = pa.table({"id": pa.array(ids.astype(np.uint32)), "place": pa.array(np.arange(len(ids)))})
+    pieces = placed.join(piece_table(vocabulary), "id").sort_by("place")["piece"].combine_chunks()
+    data = b"".join(pieces.to_pylist())
+    sizes = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(pieces), 0).to_numpy(zero_copy_only=False))]) if len(ids) else np.zeros(1, np.int64)
+    edges = sizes[np.concatenate([[0], np.cumsum(lengths)])].tolist()
+    return [data[a:b] for a, b in zip(edges[:-1], edges[1:])]
+
+
 def encode_distinct(requests: DataFrame, vocabulary: str) -> DataFrame:
-    """Encodes every distinct word of a bucket once and answers each block in the order of its words."""
+    """Encodes every distinct word of a bucket once, decodes it again, and answers each block in the order of its words.
+
+    ``odd`` lists words of the answer, by place, whose ids decode to other bytes than their own, with these bytes.
+    """
 
     def work(rows: pa.Table) -> pa.Table:
         bucket = rows["bucket"][0].as_py()
         asked = [_cut(w) for w in rows["words"].to_pylist()]
-        words, tokenizer, known = list(set().union(*asked)), _tokenizer(vocabulary), {}
+        words, tokenizer, known, odd = list(set().union(*asked)), _tokenizer(vocabulary), {}, {}
         for i in range(0, len(words), 20_000):
             part = words[i : i + 20_000]
-            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)))
+            found = [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            known.update((w, x.tobytes()) for w, x in zip(part, found))
+            back = decode_words(np.concatenate(found), np.array([len(x) for x in found]), vocabulary)
+            odd.update((w, x) for w, x in zip(part, back) if x != w.encode())
         ids = [pack_arrays(np.array([len(known[w]) // 4 for w in a], "<u4"), np.frombuffer(b"".join([known[w] for w in a]), "<u4")) for a in asked]
         crc = [zlib.crc32("".join(a).encode()) for a in asked]
-        return pa.table({"bucket": pa.array([bucket] * len(ids), pa.int32()), "block_id": rows["block_id"], "ids": pa.array(ids, pa.binary()), "crc": pa.array(crc, pa.int64())})
-
-    return requests.groupBy("bucket").applyInArrow(work, "bucket int, block_id bigint, ids binary, crc bigint")
-
-
-@cache
-def id_pieces(vocabulary: str) -> list[bytes]:
-    """The bytes of each id; a bounded table, as long as the vocabulary."""
-    tokenizer = _tokenizer(vocabulary)
-    letters = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xA0, 0xAD)]
-    others = [b for b in range(256) if b not in set(letters)]
-    byte = {chr(b): b for b in letters} | {chr(256 + i): b for i, b in enumerate(others)}
-    added = {i: a.content for i, a in tokenizer.get_added_tokens_decoder().items()}
-    vocab = {i: p for p, i in tokenizer.get_vocab(with_added_tokens=True).items()}
-    return [added[i].encode() if i in added else bytes(byte[c] for c in vocab[i]) if i in vocab else b"" for i in range(max(vocab) + 1)]
-
+        strange = [[{"at": i, "bytes": odd[w]} for i, w in enumerate(a) if w in odd] if odd else [] for a in asked]
+        return pa.table({"bucket": pa.array([bucket] * len(ids), pa.int32()), "block_id": rows["block_id"], "ids": pa.array(ids, pa.binary()), "crc": pa.array(crc, pa.int64()), "odd": pa.array(strange, pa.list_(pa.struct([("at", pa.int32()), ("bytes", pa.binary())])))})
 
-def decode_ids(ids: np.ndarray, vocabulary: str) -> str:
-    pieces = id_pieces(vocabulary)
-    return b"".join([pieces[i] for i in ids.tolist()]).decode("utf-8", "replace")
+    return requests.groupBy("bucket").applyInArrow(work, "bucket int, block_id bigint, ids binary, crc bigint, odd array<struct<at:int,bytes:binary>>")
 
 
 def encode_and_decode(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -132,7 +147,7 @@ def encode_and_decode(docs: DataFrame, vocabulary: str) -> DataFrame:
     n = buckets(docs.sparkSession)
 
     def finish(_: int, payload: bytes, given: dict[int, dict]) -> pa.Table:
-        table, known = open_block(payload), {}
+        table, known, odd = open_block(payload), {}, {}
         texts, found = _by_bucket(table, vocabulary, n)
         for bucket, words in found.items():
             if given[bucket]["crc"] != zlib.crc32("".join(words).encode()):
@@ -140,8 +155,9 @@ def encode_and_decode(docs: DataFrame, vocabulary: str) -> DataFrame:
             lengths, ids = unpack_arrays(given[bucket]["ids"], "<u4", "<u4")
             raw, edges = ids.tobytes(), (4 * np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])).tolist()
             known.update((w, raw[a:b]) for w, a, b in zip(words, edges[:-1], edges[1:]))
+            odd.update((words[o["at"]], o["bytes"]) for o in given[bucket]["odd"])
         joined = [b"".join(map(known.__getitem__, words)) for words in texts]
-        decoded = [decode_ids(np.frombuffer(x, "<u4"), vocabulary).encode() for x in joined]
+        decoded = [b"".join([odd[w] if w in odd else w.encode() for w in words]).decode("utf-8", "replace").encode() if odd else "".join(words).encode() for words in texts]
         digest = lambda x: hashlib.sha256(x).hexdigest()
         return pa.table({"doc_id": table["doc_id"], "n_tokens": pa.array([len(x) // 4 for x in joined], pa.int64()), "ids_sha256": pa.array(map(digest, joined), pa.string()), "decoded_sha256": pa.array(map(digest, decoded), pa.string())})
 
