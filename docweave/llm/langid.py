@@ -7,7 +7,6 @@ longest length at which any is known decides, and only if none is known the next
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -15,12 +14,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.common import only, positional, release_caches, remainder, small_batches
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters with the marks on them; digits, number signs and marks alone are none.
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 UNDETERMINED = "und"
 
 
@@ -29,13 +30,15 @@ class LanguageFit:
     """Bounds of the sample that the model is fitted on, hence of the model.
 
     Of each language about ``docs_per_language`` documents, picked by a hash of their ids; of their words the
-    ``max_words`` most frequent; n-grams of up to ``longest`` characters, ``max_grams`` of each length.
+    ``max_words`` most frequent; n-grams of up to ``longest`` characters, ``max_grams`` of each length.  Of the values of
+    ``lang`` the ``max_languages`` commonest are learned.
     """
 
     docs_per_language: int = 1_500
     max_words: int = 120_000
     longest: int = 5
     max_grams: int = 40_000
+    max_languages: int = 256
 
 
 def words_of(text: str) -> list[str]:
@@ -115,7 +118,7 @@ class WordBackoff:
 def fit_languages(docs: DataFrame, fit: LanguageFit = LanguageFit()) -> WordBackoff:
     """Count words per language over the bounded sample, in Spark, and bring the top of the counts to the driver."""
     rows = only(docs, "doc_id", "text", "lang").where("lang is not null and text is not null and doc_id is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(fit.max_languages).collect()}
     languages = sorted(sizes)
     if not languages:
         return WordBackoff([], {}, fit)
@@ -169,7 +172,11 @@ def language_predictions(docs: DataFrame, fit: LanguageFit = LanguageFit(), fold
 
 
 def keep_identified(docs: DataFrame, model: WordBackoff, least: float = 0.5) -> DataFrame:
-    """The documents with a language found at ``least`` that share of the probability, all columns kept."""
+    """The documents with a language found at ``least`` that share of the probability, all columns kept.
+
+    A text that is null or has no letter goes; repeated rows stay or go together, an empty table gives none, and columns
+    whose names clash stay as they are.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
