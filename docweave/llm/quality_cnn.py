@@ -21,13 +21,11 @@ from docweave.llm.common import only, remainder, small_batches
 class CnnFit:
     """Shape of the network and bounds of the sample it is fitted on.
 
-    About ``docs_per_label`` documents of each label, picked by a hash of their ids, give one stretch of at most
-    ``stretch`` bytes each (scoring always covers whole texts).  Chunks are two ``half``-byte halves, so each byte lies
-    in two chunks.
+    About ``docs_per_label`` documents of each label, picked by a hash of their ids, teach with their whole texts.  Chunks
+    are two ``half``-byte halves, so each byte lies in two chunks.
     """
 
     docs_per_label: int = 1_200
-    stretch: int = 2_048
     half: int = 16
     width: int = 8
     filters: int = 32
@@ -152,7 +150,10 @@ def train(texts: list[bytes], labels: np.ndarray, share: float, fit: CnnFit = Cn
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, fit: CnnFit = CnnFit()) -> ByteCnn:
-    """Fit on a bounded sample of the labelled documents given; rows without text or label teach nothing."""
+    """Fit on a bounded sample of the labelled documents given; rows without text or label teach nothing.
+
+    Of labels that contradict each other 1 counts; of rows that repeat a doc_id one teaches.
+    """
     marks = only(labels, "doc_id", "quality").where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     sizes = {r["quality"]: r["count"] for r in marks.groupBy("quality").count().collect()}
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
@@ -160,11 +161,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit: CnnFit = CnnFit()) -> B
     bound = F.when(F.col("quality") == 1, min(1.0, fit.docs_per_label / max(1, sizes.get(1, 0)))).otherwise(min(1.0, fit.docs_per_label / max(1, sizes.get(0, 0))))
     picked = marks.where(rank < bound * 1_000_003)
     texts = only(docs, "doc_id", "text").where("text is not null")
-    stretch = fit.stretch
-    start = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), F.length("text") - stretch + 1)).cast("int")
-    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "quality", F.substring("text", start + 1, F.lit(stretch)).alias("part"))
+    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text").dropDuplicates(["doc_id"])
     got = rows.orderBy("doc_id").toArrow().to_pydict()
-    return train([t.encode() for t in got["part"]], np.array(got["quality"]), share, fit)
+    return train([t.encode() for t in got["text"]], np.array(got["quality"]), share, fit)
 
 
 def score_quality(docs: DataFrame, net: ByteCnn) -> DataFrame:
@@ -181,7 +180,12 @@ def score_quality(docs: DataFrame, net: ByteCnn) -> DataFrame:
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, fit: CnnFit = CnnFit(), folds: int = 5, held_out: int = 0, least: float = 0.3) -> DataFrame:
-    """Fit outside the held-out fold, score all; a null doc_id belongs to neither fold."""
+    """doc_id, held_out, score, predicted: fit outside the held-out fold, score all.
+
+    A null doc_id belongs to neither fold.  Null and empty texts get the score of an empty text, repeated rows one row
+    each, an empty table none; without labels of both kinds all scores say which kind there is.  Further columns, whatever
+    their names, are ignored.
+    """
     fold = remainder(F.col("doc_id"), folds)
     net = fit_quality(docs, only(labels, "doc_id", "quality").where(fold != held_out), fit)
     scored = score_quality(docs, net)
