@@ -24,7 +24,7 @@ class AnnFit:
     """Bounds of the index; every row is indexed whatever the sample.
 
     ``sample`` vectors at most (by a hash of their ids) fit the partitions, one for about ``rows_per_part`` rows, at least
-    ``least_parts`` where each gets 32 of the fitted vectors, and at most ``max_parts``; ``target`` is the recall that
+    ``least_parts`` where each gets 16 of the fitted vectors, and at most ``max_parts``; ``target`` is the recall that
     held-out sample vectors must reach with the visited partitions, which hold at least ``least_rows`` rows.  A block of one task holds about ``block_rows`` candidates and ``block_queries`` queries.
     """
 
@@ -158,7 +158,7 @@ def fit_router(rows: DataFrame, k: int, fit: AnnFit = AnnFit()) -> Router | None
     picked = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_003)) < min(1.0, fit.sample / n) * 1_000_003).orderBy("vec_id").limit(2 * fit.sample).toArrow()
     vectors = np.array(picked["vec"].to_pylist(), float) if picked.num_rows else np.array([rows.first()["vec"]])
     half = len(vectors) // 2
-    parts = int(np.clip(max(round(n / fit.rows_per_part), fit.least_parts), 1, min(fit.max_parts, max(1, half // 32))))
+    parts = int(np.clip(max(round(n / fit.rows_per_part), fit.least_parts), 1, min(fit.max_parts, max(1, half // 16))))
     router = Router(vectors.shape[1], parts, fit)
     if parts > 1:
         learn, check = vectors[::2], vectors[1::2]
@@ -253,6 +253,12 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, fit: AnnFit = AnnFi
 
 
 def nearest_neighbours(embeddings: DataFrame, every: int = 20, k: int = 20, fit: AnnFit = AnnFit()) -> DataFrame:
-    """The k nearest of every row whose vec_id is divisible by ``every``, among all usable rows."""
+    """The k nearest of every row whose vec_id is divisible by ``every``, among all usable rows.
+
+    Rows without id, and vectors that are null, zero, of another dimension or hold null or non-finite components, take no
+    part.  Of several vectors of one id the least is the query; all are candidates of other ids.  An empty table gives no
+    rows, and further columns are ignored.
+    """
     rows = usable_rows(embeddings)
-    return search(rows, rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]), k, fit)
+    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    return search(rows, queries, k, fit)
