@@ -58,7 +58,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, keeps_space: bool = True,
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, start = encoder(vocabulary, keeps_space), TaskContext.get().partitionId(), 0
-        for batch in small_batches(batches, "text", 8192, 4 << 20):
+        for batch in small_batches(batches, "text", 16_384, 8 << 20):
             ids, at = enc.encode(batch.column("text"))
             edges = at + np.arange(len(at))
             flat = np.insert(ids, at[1:], end_id).astype(np.int32)
