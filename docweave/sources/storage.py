@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +42,20 @@ def stored_once(spark: SparkSession, name: str, source: str, write: Callable[[st
     return _STORED[key]
 
 
+def ship_package(spark: SparkSession, root: str) -> None:
+    """Sends the modules below ``root`` to the workers, once a session; Spark serves the file from the driver."""
+    if (spark.sparkContext.applicationId, "package", root) in _STORED:
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="docweave-"), "docweave.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(os.path.join(root, "docweave")):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), root))
+    spark.sparkContext.addPyFile(path)
+    _STORED[spark.sparkContext.applicationId, "package", root] = path
+
+
 def inventory(spark: SparkSession, path: str) -> DataFrame:
     """component (the folder below ``path``), files and bytes, from the listing alone."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
