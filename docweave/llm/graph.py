@@ -5,16 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import stored
+from docweave.llm.common import discard, stored
+
+
+def _digest(edges: DataFrame) -> tuple:
+    """Number of links and sum of their hashes: equal for equal sets of links."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
 def connected_components(links: DataFrame, limit: int = 60) -> DataFrame:
     """(node, component): the least node reachable from each node that has a link.
 
     ``links`` has columns a and b of one orderable type.  Every step is joins and minima over links, so a node with very
-    many links is no more than a skewed key; steps are stored in the shared folder until nothing changes.
+    many links is no more than a skewed key; steps are stored in the shared folder until nothing changes.  More than ``limit`` steps, which
+    only chains of some 2 ** limit links would need, raise an error.
     """
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    before = _digest(edges)
     for _ in range(limit):
         # large star: every larger neighbour of a node goes to the least of node and neighbours
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -25,9 +32,11 @@ def connected_components(links: DataFrame, limit: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         new = stored(small.where("u <> v").distinct(), "small-star")
-        if new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty():
+        discard(large)
+        if (now := _digest(new)) == before:
             break
-        edges = new
+        discard(edges)
+        edges, before = new, now
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
