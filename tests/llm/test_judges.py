@@ -7,11 +7,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docweave.llm.langid import LanguageFit, fit_languages, keep_identified, language_predictions
+from docweave.llm.langid import LanguageFit, fit_languages, keep_identified, language_predictions, words_of
 from docweave.llm.quality_cnn import ByteCnn, CnnFit, quality_scores, train
 from docweave.llm.quality_rules import covered, keep_good, repetition_coverage
 from docweave.llm.queries import QUERIES
-from docweave.llm.url_filter import Propagation, filter_urls
+from docweave.llm.url_filter import Propagation, filter_urls, host_verdicts
 
 SF = "/root/testdata/sf0.001"
 
@@ -149,3 +149,45 @@ def test_distrust_does_not_thin_out_among_linkers(spark, linkers):
 
 def test_names():
     assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+
+
+def brute_rank(edges, seeds, p):
+    """Personalised PageRank along (a, b, share) with a restart at the seeds; what dangling hosts hold is lost."""
+    score = {h: s * (1 - p.damping) for h, s in seeds.items()}
+    start = dict(score)
+    for _ in range(p.rounds):
+        new = dict(start)
+        for a, b, share in edges:
+            new[b] = new.get(b, 0.0) + p.damping * share * score.get(a, 0.0)
+        score = new
+    return score
+
+
+def test_propagation_equals_brute_force(spark):
+    """Ranks over a graph with dangling hosts, hosts without pages, several links of one page and cycles."""
+    p, links = Propagation(), {"a.com": ["b.io", "c.io"], "b.io": ["bad.net", "b.io"], "c.io": ["bad.net", "a.com", "d.io"], "d.io": [], "e.io": ["bad.net"], "bad.net": ["c.io"]}
+    action = {"a.com": "allow", "bad.net": "block"}
+    rows = [(h, " ".join(f"<a href='http://{x}/1'>" for x in out for _ in range(2)), action.get(h)) for h, out in links.items()]
+    got = {r["host"]: r for r in host_verdicts(spark.createDataFrame(rows, "host string, html string, action string"), p).collect()}
+    edges = [(a, b, 1 / len([x for x in out if x != a])) for a, out in links.items() for b in out if b != a]
+    trust, distrust = brute_rank(edges, {"a.com": 1.0}, p), brute_rank([(b, a, s) for a, b, s in edges], {"bad.net": 1.0}, p)
+    for h in {*trust, *distrust}:
+        assert got[h]["trust"] == pytest.approx(trust.get(h, 0) - (1 - p.damping) * (h == "a.com"))
+        assert got[h]["distrust"] == pytest.approx(distrust.get(h, 0) - (1 - p.damping) * (h == "bad.net"))
+        blocked = got[h]["distrust"] >= p.threshold and got[h]["distrust"] > got[h]["trust"]
+        assert got[h]["host_verdict"] == ("block" if blocked else "allow")
+
+
+def test_quality_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    found = QUERIES["op6_quality_classifier"](spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality"), "doc_id").toPandas()
+    good, bad = found[found.quality == 1].score.to_numpy(), found[found.quality == 0].score.to_numpy()
+    assert (good[:, None] > bad[None]).mean() > 0.95
+    assert found[found.quality == 1].predicted.mean() > 0.95
+
+
+def test_only_letters_have_a_language(spark):
+    docs = spark.createDataFrame([(0, "the cat sat", "en"), (1, "der hund sitzt", "de"), (3, "²½Ⅷ ① 12 ́", None), (4, "तो नमस्ते", None)], "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language_predictions(docs).collect()}
+    assert got[3] == "und" and got[4] != "und"
+    assert words_of("naı̈ve x2y") == ["naı̈ve", "x", "y"]
