@@ -123,13 +123,8 @@ def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, at)
 
 
-def word_keys(text: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of a batch's texts, and how many stand before each text and in all.
-
-    A word's hash is the sum over its bytes of a random number of the byte times one of its place, mixed.
-    """
+def _keys(data: np.ndarray, at: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     global _PLACE
-    data, at = text_bytes(text)
     starts, ends, before = word_spans(data, at)
     if not len(starts):
         return np.zeros(0, np.uint64), before
@@ -142,6 +137,23 @@ def word_keys(text: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarra
     return mix(sums + (ends - starts).astype(np.uint64), 0xFF51AFD7ED558CCD), before
 
 
+def word_keys(text: pa.Array, lower: bool = True, size: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of a batch's texts, and how many stand before each text and in all.
+
+    A word's hash is the sum over its bytes of a random number of the byte times one of its place, mixed.  Texts are
+    worked through in groups of about ``size`` bytes, so only a single longer text takes more memory.
+    """
+    data, at = text_bytes(text)
+    keys, counts, i = [], [np.zeros(1, np.int64)], 0
+    while i < len(at) - 1:
+        j = max(i + 1, int(np.searchsorted(at, at[i] + size, "right")) - 1)
+        found, before = _keys(data[at[i] : at[j]], at[i : j + 1] - at[i], lower)
+        keys.append(found)
+        counts.append(before[1:] + counts[-1][-1])
+        i = j
+    return np.concatenate(keys) if keys else np.zeros(0, np.uint64), np.concatenate(counts)
+
+
 #: What empties the caches of this Python worker, by whoever fills them.
 on_release: list[Callable[[], None]] = []
 _libc = ctypes.CDLL(None) if sys.platform.startswith("linux") else None

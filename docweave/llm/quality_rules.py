@@ -127,7 +127,8 @@ def keep_good(docs: DataFrame, rules: CoverageRules = CoverageRules()) -> DataFr
     @F.pandas_udf("boolean")
     def good(text):  # noqa: ANN001, ANN202  pandas UDF
         release_caches()
-        return pd.Series([m[6] for i in range(0, len(text), 256) for m in measured(pa.array(text.iloc[i : i + 256], pa.string(), from_pandas=True), rules)], dtype=bool)
+        batch = pa.RecordBatch.from_arrays([pa.array(text, pa.string(), from_pandas=True)], names=["text"])
+        return pd.Series([m[6] for part in small_batches([batch], "text", 256, 1 << 20) for m in measured(part.column("text"), rules)], dtype=bool)
 
     rows, at = positional(docs)
     return rows.where(good(F.col(at["text"]))).toDF(*docs.columns)
