@@ -76,7 +76,7 @@ def _slices(data: np.ndarray, at: np.ndarray, size: int) -> Iterator[tuple[int,
         i = j
 
 
-def term_counts(text: pa.Array, size: int = 4 << 20) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+def term_counts(text: pa.Array, size: int = 2 << 20) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
     """terms, and of each pair of a term and a text in them: the term's place, the text's place and how often it occurs there.
 
     Texts are worked through in stretches, so a very long one takes no more memory than others, but comes in several parts.
@@ -236,7 +236,7 @@ class _ShardWriter:
         yield from out.to_batches(max_chunksize=20_000)
 
 
-def build_index(docs: DataFrame, shard_bytes: int = 24 << 20, path: str | None = None) -> LexicalIndex:
+def build_index(docs: DataFrame, shard_bytes: int = 12 << 20, path: str | None = None) -> LexicalIndex:
     """Indexes every whole text of a table with doc_id and text.  The table is read twice, once to count, and never shuffled.
 
     A shard holds about ``shard_bytes`` of text, and at least a document.  A null text has no terms, as an empty one; null
@@ -257,7 +257,7 @@ def build_index(docs: DataFrame, shard_bytes: int = 24 << 20, path: str | None =
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, writer = TaskContext.get().partitionId() << 32, _ShardWriter(found, total)
-        for batch in small_batches(batches, "text", 4096, 4 << 20):
+        for batch in small_batches(batches, "text", 4096, 2 << 20):
             if writer.count and writer.load + batch.nbytes > shard_bytes:
                 yield from writer.rows(shard)
                 shard, writer = shard + 1, _ShardWriter(found, total)

@@ -169,7 +169,7 @@ def characteristic_polynomial(spark: SparkSession, matrix: list[list[int]]) -> l
 
     tasks = max(1, min(len(primes), spark.sparkContext.defaultParallelism * 2))
     out, modulus = [0] * (d + 1), 1
-    for p, c in spark.range(0, len(primes), 1, tasks).mapInArrow(work, "p bigint, c array<bigint>").orderBy("p").collect():
+    for p, c in sorted(spark.range(0, len(primes), 1, tasks).mapInArrow(work, "p bigint, c array<bigint>").collect()):
         again = pow(modulus, -1, p)
         out = [a + modulus * ((b - a) * again % p) for a, b in zip(out, c)]
         modulus *= p
