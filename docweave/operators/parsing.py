@@ -79,15 +79,17 @@ def closing_brace(text: str, start: int) -> int:
     return -1
 
 
+_MARKER = re.compile(r"metadata:\s*", re.IGNORECASE)
+
+
 def literal_pairs(text: str | None) -> tuple[list[tuple[str, str]], str | None]:
     """Pairs of the first ``Metadata:`` line whose braces hold a literal with pairs of two texts, and the text without it.
 
     A code fence around the block goes with it.  Without such a block, or if it is all there is, the text stays as it was.
     """
-    lowered, at = (text or "").lower(), -1
-    while (at := lowered.find("metadata:", at + 1)) >= 0:
+    for marker in _MARKER.finditer(text or ""):
+        at, start = marker.start(), marker.end()
         line = text.rfind("\n", 0, at) + 1
-        start = at + len("metadata:") + len(text[at + len("metadata:") :]) - len(text[at + len("metadata:") :].lstrip())
         end = closing_brace(text, start) if text[start : start + 1] == "{" and not text[line:at].strip() else -1
         stop = text.find("\n", end) if text.find("\n", end) >= 0 else len(text)
         if end < 0 or text[end + 1 : stop].strip():
@@ -116,9 +118,10 @@ def _literal(text: pd.Series) -> pd.DataFrame:
 
 
 def pairs_from_literal(text: Column) -> tuple[Column, Column]:
-    """Columns of ``literal_pairs``: pairs, and the text without their block."""
-    both = _literal(text)
-    return both["pairs"], both["rest"]
+    """Columns of ``literal_pairs``: pairs, and the text without their block; only texts with a marker go to Python."""
+    marked = text.rlike("(?i)metadata:")
+    both = _literal(F.when(marked, text))
+    return F.coalesce(both["pairs"], F.array().cast("array<struct<model:string,part:string>>")), F.when(marked, both["rest"]).otherwise(text)
 
 
 def sentence_windows(text: str, size: int, overlap: int) -> Iterator[str]:

@@ -2,27 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+import logging
+from collections import Counter
 from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.operators.retrieval import plain_tokens
+from docweave.operators.batches import BatchModel, call_in_batches
 
-
-class Embedder(Protocol):
-    """An expression from a text to its vector; null where embedding failed."""
-
-    def __call__(self, text: Column) -> Column: ...
-
-
-class KeywordModel(Protocol):
-    """An expression from a text to its keywords; null where the model failed."""
-
-    def __call__(self, text: Column) -> Column: ...
+WORDS = regex.compile(r"[\p{L}\p{N}_]+")
 
 
 class PageParser(Protocol):
@@ -37,15 +31,36 @@ class Reranker(Protocol):
     def __call__(self, query: str, texts: pd.Series) -> pd.Series: ...
 
 
-def hashed_embedding(text: Column) -> Column:
-    """Sixteen counts of words by the first digit of their MD5; null for a text without words."""
-    words = plain_tokens(text)
-    counts = F.aggregate(words, F.array_repeat(F.lit(0), 16), lambda s, w: F.zip_with(s, F.sequence(F.lit(0), F.lit(15)), lambda n, i: n + F.when(F.conv(F.substring(F.md5(w), 1, 1), 16, 10).cast("int") == i, 1).otherwise(0)))
-    return F.when(F.size(words) > 0, counts.cast("array<float>"))
+class HashedEmbedder:
+    """Sixteen counts of words by the first digit of their MD5; None for a text without words."""
+
+    def __init__(self) -> None:
+        self.digit: dict[str, int] = {}
 
+    def __call__(self, texts: list[str]) -> list[list[float] | None]:
+        out = []
+        for text in texts:
+            counts = [0.0] * 16
+            words = WORDS.findall(text.lower())
+            for w in words:
+                if (d := self.digit.get(w)) is None:
+                    d = self.digit[w] = int(hashlib.md5(w.encode()).hexdigest()[0], 16)
+                counts[d] += 1
+            out.append(counts if words else None)
+            if len(self.digit) > 200_000:
+                self.digit = {}
+        return out
 
-def no_keywords(text: Column) -> Column:
-    return F.array().cast("array<string>")
+
+class CommonWords:
+    """Keywords of a text: its most frequent words of five letters or more, the first in the alphabet of equally frequent ones."""
+
+    def __init__(self, count: int = 5):
+        self.count = count
+
+    def __call__(self, texts: list[str]) -> list[list[str]]:
+        found = [Counter(w for w in WORDS.findall(t.lower()) if len(w) >= 5) for t in texts]
+        return [sorted(c, key=lambda w: (-c[w], w))[: self.count] for c in found]
 
 
 def same_text(text: Column) -> Column:
@@ -58,9 +73,28 @@ def overlap_reranker(query: str, texts: pd.Series) -> pd.Series:
     return texts.fillna("").map(lambda t: float(len(words & set(t.lower().split()))))
 
 
-def embed(nodes: DataFrame, key: str, text: str, embedder: Embedder = hashed_embedding) -> DataFrame:
-    """(key, embedding) of the nodes that could be embedded."""
-    return nodes.select(key, embedder(F.col(text)).alias("embedding")).where("embedding is not null")
+def embed(nodes: DataFrame, key: str, text: str, embedder: BatchModel | None = None, size: int = 50) -> DataFrame:
+    """(key, embedding) of the nodes that could be embedded, 50 texts a call."""
+    rows = call_in_batches(nodes.select(key, text), text, "embedding", "array<float>", embedder or HashedEmbedder(), size)
+    return rows.where("embedding is not null").select(key, "embedding")
+
+
+def with_keywords(nodes: DataFrame, text: str, model: BatchModel | None = None, size: int = 10) -> DataFrame:
+    """Nodes with keywords, their error and seconds, and the text with its keywords in a block behind it, ten texts a call;
+    without keywords, or where the model failed, the text stays as it was."""
+    rows = call_in_batches(nodes, text, "keywords", "array<string>", model or CommonWords(), size)
+    block = F.concat(F.col(text), F.lit("\n\nKeywords: "), F.array_join("keywords", ", "))
+    return rows.withColumn(text, F.when(F.size("keywords") > 0, block).otherwise(F.col(text)))
+
+
+def origin_nodes(docs: DataFrame, size: int = 128, overlap: int = 16, model: BatchModel | None = None) -> DataFrame:
+    """doc_id, node_id, chunk_index, total_chunks, text, keywords, keywords_error of documents (doc_id, text) split at sentences:
+    the nodes that everything else is derived from, enhanced by the keyword model."""
+    from docweave.operators.parsing import sentence_chunks
+
+    pieces = sentence_chunks(docs, size, overlap)
+    rows = pieces.withColumn("node_id", F.concat_ws("_", "doc_id", "chunk_index"))
+    return with_keywords(rows, "text", model).drop("keywords_seconds")
 
 
 def rerank(hits: DataFrame, query: str, text: str, reranker: Reranker | None = overlap_reranker, order: str = "rank") -> DataFrame:
@@ -79,7 +113,8 @@ def rerank(hits: DataFrame, query: str, text: str, reranker: Reranker | None = o
                 raise ValueError("no model")
             b["rerank_score"] = reranker(query, b[text]).astype(float)
             b = b.sort_values("rerank_score", ascending=False, kind="stable")
-        except Exception:  # noqa: BLE001  a plug-in may raise anything; the fused order is the fallback
+        except Exception as e:  # noqa: BLE001  a plug-in may raise anything; the fused order is the fallback
+            logging.getLogger(__name__).warning("reranking failed, the order stays: %s: %s", type(e).__name__, e)
             b["rerank_score"] = None
         b["new_rank"] = range(1, len(b) + 1)
         yield b

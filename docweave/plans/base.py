@@ -11,10 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.functions.text import fixed_chunks
+from docweave.functions.text import clean_text, context_keywords, fixed_chunks
 from docweave.operators.postings import KeywordIndex
 from docweave.operators.retrieval import plain_tokens
 from docweave.sources.storage import stored_once
+from docweave.sources.versions import TableStore
 
 #: Instant that all rules of age count from, in epoch seconds.
 NOW = 1_706_500_000.0
@@ -117,11 +118,22 @@ class Tables:
     def query_vector(self) -> DataFrame:
         return self.raw("embeddings").where("vec_id = 0").select(F.col("embedding").alias("query"))
 
+    def _index(self, name: str, nodes: Callable[[], DataFrame], key: str, fields: dict[str, Column]) -> KeywordIndex:
+        def build(path: str) -> None:
+            size = self.documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+            KeywordIndex.build(nodes(), key, fields, path, size)
+
+        return KeywordIndex(TableStore(self.spark, stored_once(self.spark, name, self.sf_dir, build)).snapshot())
+
     @property
     def keyword_index(self) -> KeywordIndex:
         """The stored keyword index over the documents, built when a session first asks for it."""
-        build = lambda path: KeywordIndex.build(self.documents, "doc_id", plain_tokens(F.col("text")), path)
-        return KeywordIndex(self.spark, stored_once(self.spark, "keyword-index", self.sf_dir, build))
+        return self._index("keyword-index", lambda: self.documents, "doc_id", {"text": plain_tokens(F.col("text"))})
+
+    @property
+    def chunk_index(self) -> KeywordIndex:
+        """The stored index of chunks by two fields: the text without Markdown characters, and the line of keywords in it."""
+        return self._index("chunk-index", lambda: self.chunks, "node_id", {"text": plain_tokens(clean_text(F.col("text"))), "keywords": plain_tokens(context_keywords(F.col("text")))})
 
     def kept(self, name: str, rows: Callable[[], DataFrame]) -> DataFrame:
         """A derived table that several queries read, stored when a session first asks for it."""

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from docweave.functions.text import fixed_chunks
 from docweave.operators import fusion, ingest, lifecycle, retrieval
-from docweave.operators.ingest import Library
-from docweave.operators.plugins import Embedder, hashed_embedding
+from docweave.operators.ingest import Library, Steps
 from docweave.operators.postings import KeywordIndex
+from docweave.sources.versions import TableStore
 
 
 class Engine:
@@ -32,10 +32,13 @@ class Engine:
             points = self.vectors if where is None else self.vectors.join(docs.select(F.col("doc_id").alias("id")), "id", "left_semi")
             vector = retrieval.top(retrieval.vector_scores(points, "id", "embedding", query), "id", F.desc("score"), fetch)
         if kind != "vector":
-            hits = retrieval.fts_scores(self.index or self.documents, "doc_id", retrieval.plain_tokens(F.col("text")), terms)
-            if where is not None:
-                hits = hits.join(docs.select("doc_id"), "doc_id", "left_semi")
-            keyword = retrieval.top(hits.withColumnRenamed("doc_id", "id"), "id", F.col("score"), fetch)
+            allowed = None if where is None else docs.select(F.col("doc_id").alias("key"))
+            if self.index is not None:
+                keyword = retrieval.fts_top(self.index, "id", terms, fetch, allowed=allowed)
+            else:
+                hits = retrieval.fts_scores(self.documents, "doc_id", retrieval.plain_tokens(F.col("text")), terms).withColumnRenamed("doc_id", "id")
+                hits = hits if allowed is None else hits.join(allowed.withColumnRenamed("key", "id"), "id", "left_semi")
+                keyword = retrieval.top(hits, "id", F.col("score"), fetch)
         if kind == "vector":
             return vector
         if kind == "keyword":
@@ -49,19 +52,22 @@ class Engine:
         rows = self.documents.withColumn("preview", F.substring("text", 1, text)).drop("text").withColumnRenamed("doc_id", "id")
         return rows.join(F.broadcast(hits), "id")
 
-    def ingest(self, library: Library, embedder: Embedder = hashed_embedding) -> Library:
-        """The library after this engine's documents (doc_id, source, text) came in."""
-        return ingest.ingest(library, self.documents.select("doc_id", "source", "text"), embedder)
+    def ingest(self, store: TableStore, steps: Steps | None = None) -> Library:
+        """The library's version after this engine's documents (doc_id, source, text) came in."""
+        return ingest.ingest(store, self.documents, steps)
 
     def chunks(self, width: int = 1000) -> DataFrame:
         rows = self.documents.select("doc_id", F.posexplode(fixed_chunks(F.col("text"), width)).alias("chunk_index", "text"))
         return rows.withColumn("chunk_index", F.col("chunk_index").cast("bigint")).withColumn("node_id", F.concat_ws("_", "doc_id", "chunk_index"))
 
     def changes(self, old: DataFrame) -> DataFrame:
-        """What to do about each document, compared with an older documents table: class, strategy, priority, effort."""
-        current = self.documents.select("doc_id", lifecycle.content_hash(F.col("text")).alias("current"), F.length("text").alias("length"))
-        stored = old.select("doc_id", lifecycle.content_hash(F.col("text")).alias("stored"), F.length("text").alias("old_length"))
+        """What to do about each document, compared with an older documents table: class, strategy, priority, effort.
+
+        Classes go by metadata hashes (source, size, time, content), so a touched document counts as changed.
+        """
+        side = lambda df, stamp, length: ingest.fingerprinted(df).select("doc_id", F.col("metadata_hash").alias(stamp), F.col("size").alias(length))
+        joined = side(self.documents, "current", "length").join(side(old, "stored", "old_length"), "doc_id", "full_outer")
         kind = lifecycle.change_class(F.col("stored"), F.col("current"), F.col("old_length"), F.col("length"))
-        out = current.join(stored, "doc_id", "full_outer").select("doc_id", kind.alias("change_type"), F.coalesce("length", F.lit(0)).alias("length"))
+        out = joined.select("doc_id", kind.alias("change_type"), F.coalesce("length", F.lit(0)).alias("length"))
         c = F.col("change_type")
         return out.select("doc_id", "change_type", lifecycle.strategy(c).alias("strategy"), lifecycle.priority(c).alias("priority"), lifecycle.effort(c, F.col("length"), F.lit(0)).alias("effort"))

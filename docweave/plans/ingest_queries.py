@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,19 +10,28 @@ from docweave.operators import filters, ingest, jobs, lifecycle, plugins, retrie
 from docweave.plans.base import NOW, Tables, with_tables
 from docweave.plans.catalog import query
 from docweave.plans.retrieval_queries import _BM25, _VEC, QUERY
+from docweave.sources.storage import scratch, stored_once
+from docweave.sources.versions import TableStore
 
 # ---- ingest
 
 
-def _before(t: Tables) -> ingest.Library:
-    """The library that held the older texts, ingested into an empty one."""
-    old = t.documents.select("doc_id", "source", t.old_text().alias("text")).where("text is not null")
-    return ingest.ingest(ingest.empty_library(old), old, _embedder)
+class _Failing(plugins.HashedEmbedder):
+    """An embedder that fails for some texts, and with them for their whole batch, as remote ones do."""
+
+    def __call__(self, texts: list[str]) -> list[list[float] | None]:
+        if any(len(t) % 53 == 7 for t in texts):
+            raise TimeoutError("no answer")
+        return super().__call__(texts)
+
 
+_STEPS = ingest.Steps(embedder=_Failing())
 
-def _embedder(text: Column) -> Column:
-    """An embedder that fails for some texts, as remote ones do."""
-    return F.when(F.length(text) % 53 != 7, plugins.hashed_embedding(text))
+
+def _before(t: Tables) -> TableStore:
+    """A store with a library that holds the older texts, committed once a session."""
+    old = t.documents.select("doc_id", "source", t.old_text().alias("text")).where("text is not null")
+    return TableStore(t.spark, stored_once(t.spark, "library", t.sf_dir, lambda path: ingest.ingest(TableStore(t.spark, path), old, _STEPS)))
 
 
 _OLD = "CASE doc_id % 5 WHEN 0 THEN text WHEN 1 THEN substring(text, 1, (length(text) // 2)::BIGINT) WHEN 2 THEN text || ' appendix of the older version' WHEN 3 THEN substring(text, 1, 500) || ' zz yy xx ' || substring(text, 900) END"
@@ -40,9 +49,9 @@ _INGEST = f"""old AS (SELECT doc_id, {_OLD} AS t FROM documents), now AS (SELECT
 @query(f"WITH {_INGEST} SELECT doc_id, strategy, chunk_index, action FROM act")
 def incremental_update(t: Tables) -> DataFrame:
     """What an update does to each chunk: equal ones in both indexes stay, others are embedded, vanished ones go."""
-    library = _before(t)
-    plan = ingest.planned(library, t.documents.select("doc_id", "source", "text"))
-    return ingest.chunk_actions(library, plan).select("doc_id", "strategy", "chunk_index", "action")
+    held = ingest.Library(_before(t).snapshot(1))
+    plan = ingest.planned(held.registry, t.documents.select("doc_id", "source", "text")).where("strategy <> 'skip'")
+    return ingest.chunk_actions(held.nodes, plan).select("doc_id", "strategy", "chunk_index", "action")
 
 
 @query(f"""WITH {_INGEST}, made AS (SELECT doc_id, count(*) AS chunks, count(*) FILTER (action = 'keep' OR ({_WORDS.format('c')})) AS vectors FROM act WHERE action <> 'drop' GROUP BY doc_id),
@@ -51,8 +60,12 @@ def incremental_update(t: Tables) -> DataFrame:
   (CASE WHEN o.t IS NOT NULL AND coalesce(w.chunks, 0) <> coalesce(w.vectors, 0) THEN 1 ELSE 0 END + CASE WHEN strategy <> 'skip' AND coalesce(f.chunks, 0) <> coalesce(f.vectors, 0) THEN 1 ELSE 0 END)::BIGINT AS error_count
   FROM plan p JOIN old o USING (doc_id) LEFT JOIN was w USING (doc_id) LEFT JOIN made m USING (doc_id), LATERAL (SELECT CASE WHEN strategy = 'skip' THEN w.chunks ELSE m.chunks END AS chunks, CASE WHEN strategy = 'skip' THEN w.vectors ELSE m.vectors END AS vectors) f""")
 def ingest_commit(t: Tables) -> DataFrame:
-    """The library after a second version of every document came in: entries of both indexes, state and errors."""
-    after = ingest.ingest(_before(t), t.documents.select("doc_id", "source", "text"), _embedder)
+    """Two commits, read back from disk: a second version of every document came in after the first; entries of both indexes,
+    state and errors."""
+    old = t.documents.select("doc_id", "source", t.old_text().alias("text")).where("text is not null")
+    store = TableStore(t.spark, scratch(t.spark, "library"))
+    ingest.ingest(store, old, _STEPS)
+    after = ingest.ingest(TableStore(t.spark, store.path), t.documents.select("doc_id", "source", "text"), _STEPS)
     per = after.entries.groupBy("doc_id").agg(F.count_if(F.col("index_type") == "keyword").alias("keyword_entries"), F.count_if(F.col("index_type") == "vector").alias("vector_entries"))
     rows = after.registry.join(per, "doc_id", "left").na.fill(0, ["keyword_entries", "vector_entries"])
     return rows.select("doc_id", "keyword_entries", "vector_entries", "state", "error_count")
@@ -60,7 +73,7 @@ def ingest_commit(t: Tables) -> DataFrame:
 
 @query(f"WITH {_INGEST} SELECT strategy, count(*) AS n, sum(CASE strategy WHEN 'skip' THEN 0 ELSE coalesce(length(t), 0) END)::BIGINT AS chars FROM plan JOIN now USING (doc_id) GROUP BY strategy")
 def ingest_plan(t: Tables) -> DataFrame:
-    plan = ingest.planned(_before(t), t.documents.select("doc_id", "source", "text"))
+    plan = ingest.planned(ingest.Library(_before(t).snapshot(1)).registry, t.documents.select("doc_id", "source", "text"))
     return plan.groupBy("strategy").agg(F.count("*").alias("n"), F.sum(F.when(F.col("strategy") == "skip", 0).otherwise(F.coalesce("size", F.lit(0)))).alias("chars"))
 
 
@@ -70,7 +83,7 @@ _HELD = "(SELECT doc_id, count(*) FILTER (index_type = 'vector') AS v, count(*)
 @query(with_tables(f"SELECT doc_id, CASE WHEN (SELECT 100.0 * count(*) FILTER (ok) / count(*) FROM c) < 90 AND NOT ok THEN 'stale' ELSE state END AS state FROM c", "registry", "entries").replace("\nSELECT", f",\n c AS (SELECT doc_id, state, CASE WHEN vector_indexed THEN chunk_count ELSE 0 END = coalesce(v, 0) AND CASE WHEN keyword_indexed THEN chunk_count ELSE 0 END = coalesce(k, 0) AS ok FROM registry LEFT JOIN {_HELD} USING (doc_id))\nSELECT", 1))
 def maintenance(t: Tables) -> DataFrame:
     """Documents that disagree with their entries become stale, as less than nine in ten agree."""
-    return ingest.maintained(ingest.Library(t.registry, t.entries, t.vectors)).select("doc_id", "state")
+    return ingest.maintained(t.registry, t.entries).select("doc_id", "state")
 
 
 # ---- parsing with a cache
@@ -113,7 +126,7 @@ def storage_inventory(t: Tables) -> DataFrame:
     """Files and bytes of the stored keyword index by component."""
     from docweave.sources.storage import inventory
 
-    return inventory(t.spark, t.keyword_index.path)
+    return inventory(t.spark, t.keyword_index.snapshot.store.path + "/data")
 
 
 # ---- plug-ins, payloads, filters of vector tables
@@ -131,7 +144,7 @@ _TOP = f"WITH {_BM25}, hits AS (SELECT doc_id, score, row_number() OVER (ORDER B
 
 
 def _hits(t: Tables) -> DataFrame:
-    return retrieval.top(retrieval.bm25(t.keyword_index, "doc_id", "text", QUERY), "doc_id", F.desc("score"), 20)
+    return retrieval.bm25_top(t.keyword_index, "doc_id", QUERY, 20)
 
 
 @query(f"{_TOP} SELECT doc_id, rank, round(score, 6) AS score, source, lang, substring(text, 1, 120) AS preview FROM hits JOIN documents USING (doc_id)")

@@ -8,8 +8,10 @@ from pyspark.sql.window import Window
 
 from docweave.functions import text as T
 from docweave.operators import fusion, parsing, postings, retrieval
-from docweave.plans.base import Tables, with_tables
+from docweave.plans.base import CTE, Tables, with_tables
 from docweave.plans.catalog import query
+from docweave.sources.storage import scratch
+from docweave.sources.versions import TableStore
 
 #: The query texts of the fixed retrieval queries.
 QUERY = "that with tion heen that"
@@ -32,9 +34,10 @@ def term_frequencies(t: Tables) -> DataFrame:
 
 @query(with_tables(f"SELECT term, count(*) AS nodes, sum(tf)::BIGINT AS occurrences FROM (SELECT node_id, term, count(*) AS tf FROM (SELECT node_id, unnest({_TOK}) AS term FROM chunks) GROUP BY node_id, term) GROUP BY term", "chunks"))
 def postings_build(t: Tables) -> DataFrame:
-    """Words are counted inside each chunk; the one shuffle, by term, carries counts of counts."""
-    found = postings.node_postings(t.chunks, "node_id", T.tokenize(F.col("text")), "string")
-    return found.where("term is not null").groupBy("term").agg(F.count("*").alias("nodes"), F.sum("tf").alias("occurrences"))
+    """Words are counted inside ranges of chunks; the one shuffle, by term, carries counts of counts."""
+    found = postings.node_blocks(t.chunks, "node_id", {"text": T.tokenize(F.col("text"))})
+    occurrences = F.aggregate("tfs", F.lit(0).cast("bigint"), lambda s, x: s + x)
+    return found.where("term is not null").groupBy("term").agg(F.sum("n").cast("bigint").alias("nodes"), F.sum(occurrences).alias("occurrences"))
 
 
 @query(f"SELECT doc_id, term, count(*) AS tf, min(place)::BIGINT AS first_place, (SELECT count(DISTINCT doc_id) FROM (SELECT doc_id, unnest({_PLAIN}) AS x FROM documents) WHERE x = term) AS df FROM (SELECT doc_id, term, place FROM (SELECT doc_id, unnest({_PLAIN}) AS term, generate_subscripts({_PLAIN}, 1) - 1 AS place FROM documents) WHERE term IN ('that', 'thanea', 'tion')) GROUP BY doc_id, term")
@@ -42,7 +45,7 @@ def stored_postings(t: Tables) -> DataFrame:
     """What the stored index knows of three terms: reads only the buckets of these."""
     index, wanted = t.keyword_index, ["that", "thanea", "tion"]
     rows = index.matched("doc_id", wanted, every_word=True).select("doc_id", "term", "tf", "df")
-    places = index._of(index.postings, wanted).select(F.col("key").alias("doc_id"), "term", F.array_min("positions").cast("bigint").alias("first_place"))
+    places = index.postings(index.blocks(wanted)).select(F.col("key").alias("doc_id"), "term", F.array_min("positions").cast("bigint").alias("first_place"))
     return rows.join(places, ["doc_id", "term"])
 
 
@@ -60,8 +63,8 @@ _BM25 = f"""bm AS (WITH d AS (SELECT doc_id, {_TOK} AS tok FROM documents), q AS
 
 @query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM bm WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 10")
 def bm25_search(t: Tables) -> DataFrame:
-    hits = retrieval.bm25(t.keyword_index, "doc_id", "text", QUERY)
-    return retrieval.top(hits, "doc_id", F.desc("score"), 10).withColumn("score", F.round("score", 6))
+    """Read best first: only ranges of documents that can hold one of the ten best are scored."""
+    return retrieval.bm25_top(t.keyword_index, "doc_id", QUERY, 10).withColumn("score", F.round("score", 6))
 
 
 _FTS = f"""f0 AS (WITH d AS (SELECT doc_id, {_PLAIN} AS tok FROM documents), s AS (SELECT count(*) AS n, avg(len(tok)) AS avgdl FROM d),
@@ -81,28 +84,68 @@ def bm25_fts_scores(t: Tables) -> DataFrame:
 
 @query(f"WITH {_FTS} SELECT doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY score, doc_id) AS rank FROM f0 WHERE found = 3 ORDER BY score, doc_id LIMIT 10")
 def keyword_search_fts(t: Tables) -> DataFrame:
-    return retrieval.top(_fts(t), "doc_id", F.col("score"), 10).withColumn("score", F.round("score", 6))
+    return retrieval.fts_top(t.keyword_index, "doc_id", TERMS, 10).withColumn("score", F.round("score", 6))
 
 
 @query()
 def keyword_search_porter(t: Tables) -> DataFrame:
-    """Stemmed search over cleaned text; stems are made once for each distinct word."""
-    from docweave.functions.porter import stem_terms
+    """Chunks by stems in all fields, from the stored index: the lexicon gives the words of a stem, and only their folders are read."""
+    return retrieval.fts_top(t.chunk_index, "node_id", ["thaneas", "with"], 10, stems=True)
 
-    postings = retrieval.term_frequencies(t.documents, "doc_id", retrieval.plain_tokens(T.clean_text(F.col("text"))))
-    return retrieval.top(stem_terms(postings, "doc_id", ["thanea", "with"]), "doc_id", F.col("score"), 10)
 
+_PHRASE = f"""o AS (SELECT doc_id, dl, CAST((length(p) - length(replace(p, ' of  the ', ''))) / 9 AS BIGINT) AS occurrences FROM (SELECT doc_id, len({_PLAIN}) AS dl, ' ' || array_to_string({_PLAIN}, '  ') || ' ' AS p FROM documents)),
+ s AS (SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (occurrences > 0) AS df FROM o),
+ h AS (SELECT doc_id, occurrences, round(CASE WHEN n - df > df THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * occurrences * 2.2 / (occurrences + 1.2 * (0.25 + 0.75 * dl / avgdl)), 12) AS gain FROM o, s WHERE occurrences > 0)"""
 
-@query(f"""WITH h AS (SELECT doc_id, CAST((length(p) - length(replace(p, ' of  the ', ''))) / 9 AS BIGINT) AS occurrences FROM (SELECT doc_id, ' ' || array_to_string({_PLAIN}, '  ') || ' ' AS p FROM documents))
- SELECT *, row_number() OVER (ORDER BY occurrences DESC, doc_id) AS rank, 1.0::DOUBLE / (row_number() OVER (ORDER BY occurrences DESC, doc_id) + 1) AS score FROM h WHERE occurrences > 0 ORDER BY occurrences DESC, doc_id LIMIT 15""")
+
+@query(f"WITH {_PHRASE} SELECT doc_id, occurrences, row_number() OVER (ORDER BY gain DESC, doc_id) AS rank, 1.0::DOUBLE / (row_number() OVER (ORDER BY gain DESC, doc_id) + 1) AS score FROM h ORDER BY gain DESC, doc_id LIMIT 15")
 def phrase_search(t: Tables) -> DataFrame:
+    """By positions in the stored index, ranked as full-text search ranks a phrase."""
     return retrieval.phrase_hits(t.keyword_index, "doc_id", "text", PHRASE, 15)
 
 
-@query(with_tables("SELECT c.node_id, d.lang, c.chunk_index FROM chunks c JOIN documents d USING (doc_id) WHERE contains(lower(c.text), 'thanea')", "chunks"))
+@query()
+def phrase_search_stemmed(t: Tables) -> DataFrame:
+    """Each word of the phrase matches by its stem."""
+    return retrieval.phrase_hits(t.chunk_index, "node_id", "text", "ofs the", 15, stems=True)
+
+
+_TWO = r"regexp_extract_all(lower(trim(regexp_replace(regexp_replace(text, '[#*`\[\]()]', ' ', 'g'), '\s+', ' ', 'g'))), '[\p{L}\p{N}_]+') || regexp_extract_all(lower(regexp_extract(text, '(?:Context|Keywords):\s*([^\n]*)', 1)), '[\p{L}\p{N}_]+')"
+
+
+_HELD = f"""x AS (SELECT node_id, doc_id, chunk_index, len(tok) AS dl, len(list_filter(tok, lambda w: w = 'thanea')) AS tf FROM (SELECT node_id, doc_id, chunk_index, {_TWO} AS tok FROM chunks)),
+ s AS (SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (tf > 0) AS df FROM x)"""
+
+
+@query(f"WITH {CTE['chunks']}, {_HELD} SELECT node_id, lang, chunk_index, round(-CASE WHEN n - df > df THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) AS score FROM x JOIN documents USING (doc_id) CROSS JOIN s WHERE tf > 0")
 def fts_join_nodes(t: Tables) -> DataFrame:
-    hits = t.chunks.where(T.contains_text(F.col("text"), "thanea")).select("doc_id", "node_id", "chunk_index")
-    return hits.join(t.documents.select("doc_id", "lang"), "doc_id").select("node_id", "lang", "chunk_index")
+    """Hits in two fields of the chunks' index joined with what the library knows of the chunks, which reads no text."""
+    hits = retrieval.fts_scores(t.chunk_index, "node_id", F.lit(None), ["thanea"])
+    nodes = t.documents.where("n_chars > 0").select("doc_id", "lang", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr("(n_chars - 1) div 1000"))).alias("chunk_index"))
+    rows = nodes.withColumn("node_id", F.concat_ws("_", "doc_id", "chunk_index")).join(hits, "node_id")
+    return rows.select("node_id", "lang", "chunk_index", F.round("score", 6).alias("score"))
+
+
+_CHANGED = "changed AS (SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN text || ' thanea that with appended' ELSE text END AS text FROM documents WHERE doc_id % 11 <> 0)"
+
+
+@query(f"WITH {_CHANGED}, {_BM25.replace('FROM documents', 'FROM changed')} SELECT doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM bm WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 50")
+def index_after_updates(t: Tables) -> DataFrame:
+    """An index that took three commits: all documents, a fifth of them changed, and every eleventh deleted.  A search scores as
+    on an index of what is left, and reads no text of documents that did not change."""
+    words = {"text": retrieval.plain_tokens(F.col("text"))}
+    store = TableStore(t.spark, scratch(t.spark, "index-updates"))
+    size = t.documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    index = postings.KeywordIndex.build(t.documents, "doc_id", words, store.path, size)
+    tx = store.begin()
+    changed = t.documents.where("doc_id % 5 = 1").select("doc_id", F.concat("text", F.lit(" thanea that with appended")).alias("text"))
+    postings.KeywordIndex.remove(tx, changed.select("doc_id"))
+    postings.KeywordIndex.add(tx, changed, "doc_id", words, size // 5)
+    tx.commit()
+    tx = store.begin()
+    postings.KeywordIndex.remove(tx, t.documents.where("doc_id % 11 = 0").select("doc_id"))
+    index = postings.KeywordIndex(tx.commit())
+    return retrieval.bm25_top(index, "doc_id", QUERY, 50).withColumn("score", F.round("score", 6))
 
 
 # ---- vectors
@@ -140,7 +183,7 @@ _NORM = lambda src, out: f"{out} AS (SELECT id, CASE WHEN min(score) OVER () < 0
 
 def _lists(t: Tables) -> tuple[DataFrame, DataFrame]:
     v = retrieval.top(_vector_scores(t), "id", F.desc("score"), 30)
-    k = retrieval.top(_fts(t, every=False).withColumnRenamed("doc_id", "id"), "id", F.col("score"), 400)
+    k = retrieval.fts_top(t.keyword_index, "id", TERMS, 400, every=False)
     return v, k
 
 
@@ -240,9 +283,9 @@ def keyword_enrichment(t: Tables) -> DataFrame:
     """The offline keyword model: the five terms of highest tf-idf of each document."""
     index = t.keyword_index
     kept = (F.length("term") > 2) & ~F.col("term").isin(*T.STOP_WORDS)
-    tf = index.postings.where(kept).select(F.col("key").alias("doc_id"), "bucket", "term", "tf")
-    scored = tf.join(index.terms.select("bucket", "term", "df"), ["bucket", "term"]).crossJoin(F.broadcast(index.stats.select("n"))).withColumn("w", F.round(F.col("tf") * F.log(F.col("n") / F.col("df")), 9))
+    blocks = index.snapshot.read("keyword_postings", index.snapshot.segments("keyword_postings")).where(kept)
+    df = blocks.groupBy("term").agg(F.sum("n").alias("df"))
+    each = blocks.select("term", "docs", "tfs").join(df, "term").select("term", "df", F.explode(F.arrays_zip("docs", "tfs")).alias("p"))
+    scored = each.select(F.col("p.docs").alias("doc_id"), "term", F.round(F.col("p.tfs") * F.log(index.n / F.col("df")), 9).alias("w"))
     order = Window.partitionBy("doc_id").orderBy(F.desc("w"), "term")
     return scored.withColumn("rank", F.row_number().over(order).cast("bigint")).where("rank <= 5").select("doc_id", "term", "rank")
-
-

@@ -9,9 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from docweave.functions.porter import stem, stem_terms
-from docweave.operators import ingest, jobs, lifecycle, parsing, plugins, retrieval
+from docweave.functions.text import STOP_WORDS
+from docweave.operators import jobs, lifecycle, parsing, plugins, retrieval
 from docweave.operators.postings import KeywordIndex
-from docweave.plans.engine import Engine
 from docweave.sources import files
 from docweave.sources.storage import clear_component, inventory
 from docweave.streaming.feeds import changed_sources, latest_state
@@ -43,37 +43,39 @@ def some_docs():
 @pytest.fixture(scope="module")
 def index(spark, tmp_path_factory):
     docs = spark.createDataFrame(some_docs(), "doc_id bigint, text string").repartition(3)
-    return docs, KeywordIndex.build(docs, "doc_id", retrieval.plain_tokens(F.col("text")), str(tmp_path_factory.mktemp("index") / "i"), buckets=4)
+    return docs, KeywordIndex.build(docs, "doc_id", {"text": retrieval.plain_tokens(F.col("text"))}, str(tmp_path_factory.mktemp("index") / "i"), 10_000)
 
 
 def test_index_holds_every_word(index):
     want = Counter((i, w) for i, t in some_docs() for w in re.findall(r"\w+", (t or "").lower()))
-    assert {(r["key"], r["term"]): r["tf"] for r in index[1].postings.collect()} == dict(want)
-    for r in index[1].postings.collect():
+    rows = index[1].postings().collect()
+    assert {(r["key"], r["term"]): r["tf"] for r in rows} == dict(want)
+    for r in rows:
         tokens = re.findall(r"\w+", some_docs()[r["key"]][1].lower())
         assert r["positions"] == [i for i, t in enumerate(tokens) if t == r["term"]]
-    assert {r["term"]: r["df"] for r in index[1].terms.collect()} == dict(Counter(w for _, w in want))
-    assert index[1].stats.first()["n"] == 62
+        assert r["dl_all"] == len(tokens) and r["dl"] == sum(len(t) > 2 and t not in STOP_WORDS for t in tokens)
+    assert {r["term"]: r["df"] for r in index[1].terms().collect()} == dict(Counter(w for _, w in want))
+    assert index[1].n == 62
 
 
 def test_searches_agree_with_and_without_index(index):
     docs, stored = index
-    for f in (lambda x: retrieval.bm25(x, "doc_id", "text", "laser power laser"), lambda x: retrieval.fts_scores(x, "doc_id", retrieval.plain_tokens(F.col("text")), ["laser", "of"]), lambda x: retrieval.phrase_hits(x, "doc_id", "text", "laser power laser", 50)):
+    for f in (lambda x: retrieval.bm25(x, "doc_id", "text", "laser power laser"), lambda x: retrieval.fts_scores(x, "doc_id", retrieval.plain_tokens(F.col("text")), ["laser", "of"]), lambda x: retrieval.phrase_hits(x, "doc_id", "text", "laser power", 50)):
         a, b = ({r["doc_id"]: tuple(r)[1:] for r in f(x).collect()} for x in (docs, stored))
         assert a.keys() == b.keys()
         for k in a:
             assert a[k] == pytest.approx(b[k])
 
 
-def test_a_search_reads_the_buckets_of_its_terms(index):
+def test_a_search_reads_the_folders_of_its_terms(index):
     plan = index[1].matched("doc_id", ["laser"], True)._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
     assert "EqualTo(term,laser)" in plan or "In(term" in plan
 
 
 def test_storage_inventory(spark, index):
-    path = index[1].path
-    assert {r["component"] for r in inventory(spark, path).collect()} == {"postings", "terms", "stats"}
+    path = index[1].snapshot.store.path + "/data"
+    assert {r["component"] for r in inventory(spark, path).collect()} == {"keyword_postings", "keyword_lexicon"}
     (spark.createDataFrame([(1,)], "x int")).write.parquet(path + "/spare")
     assert clear_component(spark, path, "spare") and not clear_component(spark, path, "spare")
 
@@ -94,6 +96,7 @@ def test_literal_pairs():
         ("Metadata: {'pairs': [('a', 'b')]}", ([("a", "b")], "Metadata: {'pairs': [('a', 'b')]}")),
         ("Metadata: {'pairs': [('a', 'b')", ([], "Metadata: {'pairs': [('a', 'b')")),
         ("see metadata: {'pairs': []} inline", ([], "see metadata: {'pairs': []} inline")),
+        ("İ title\nMETADATA:  {'pairs': [('a', 'b')]}\nx", ([("a", "b")], "İ title\nx")),
         (None, ([], None)),
         ("", ([], "")),
     ):
@@ -117,17 +120,6 @@ def test_a_failing_model_leaves_the_order(spark):
     assert order(broken) == order(None) == [0, 1, 2]
 
 
-def test_ingest_twice_changes_nothing_more(spark):
-    docs = spark.createDataFrame([(1, "a", "x y " * 600), (2, "b", "short one"), (3, "c", "")], "doc_id bigint, source string, text string")
-    once = Engine(docs).ingest(ingest.empty_library(docs))
-    again = ingest.planned(once, docs)
-    assert {r["doc_id"]: r["strategy"] for r in again.collect()} == {1: "skip", 2: "skip", 3: "skip"}
-    assert {(r["doc_id"], r["state"], r["chunk_count"]) for r in once.registry.collect()} == {(1, "indexed", 3), (2, "indexed", 1), (3, "indexed", 0)}
-    gone = ingest.remove(once, spark.createDataFrame([(1,)], "doc_id bigint"))
-    assert gone.entries.count() == 2 and gone.vectors.count() == 1
-    assert Engine(docs).payload(spark.createDataFrame([(2, 1)], "id bigint, rank bigint")).first()["preview"] == "short one"
-
-
 def test_job_machine_stream_equals_batch(spark, tmp_path):
     schema = "job_id bigint, seq bigint, action string, ts timestamp"
     rows = [(1, 1, "start", 0), (1, 2, "complete", 5), (2, 3, "start", 6), (2, 4, "fail", 7), (2, 5, "requeue", 8), (2, 6, "start", 9), (3, 7, "start", 10), (3, 8, "cancel", 11), (4, 9, "complete", 12)]
