@@ -92,3 +92,24 @@ def format_file_size(size: Column) -> Column:
 def metadata_pairs(text: Column) -> Column:
     """Map from ``k=v,k2=v2``."""
     return F.str_to_map(text, F.lit(","), F.lit("="))
+
+
+def typed_metadata(items: Column) -> Column:
+    """Map from ``k=v`` items: key to the value's kind (string, number, boolean, null, array, object) and its text; a value that
+    is JSON is of its kind, any other a string, blanks around keys and values don't count and the last of equal keys does.
+
+    Items without ``=`` or without a key are an error, as whoever wrote them should know.
+    """
+    cut = F.transform(items, lambda i: F.struct(F.trim(F.substring_index(i, "=", 1)).alias("k"), F.when(F.contains(i, F.lit("=")), F.trim(F.substr(i, F.instr(i, "=") + 1))).alias("v")))
+    checked = F.transform(cut, lambda p: F.when(p["v"].isNotNull() & (p["k"] != ""), p).otherwise(F.raise_error(F.lit("metadata must be key=value"))))
+
+    def value(v: Column) -> Column:
+        read = F.try_parse_json(v)
+        kind = F.schema_of_variant(read)
+        name = F.when(read.isNull(), "string").when(F.is_variant_null(read), "null").when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object").otherwise("number")
+        text = F.when(name.isin("array", "object"), F.to_json(read)).when(name == "string", F.coalesce(F.try_variant_get(read, "$", "string"), v)).otherwise(v)
+        return F.struct(name.alias("kind"), text.alias("value"))
+
+    pairs = F.transform(checked, lambda p: F.struct(p["k"], value(p["v"])))
+    keys = F.transform(checked, lambda p: p["k"])
+    return F.map_from_entries(F.filter(pairs, lambda p, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), p["k"])))

@@ -204,39 +204,44 @@ def ingest(store: TableStore, docs: DataFrame, steps: Steps | None = None) -> Li
     changes.  Several rows of an id: see ``fingerprinted``; rows without id are counted in the report and otherwise left out.
     Raises ``Conflict`` if another batch was committed meanwhile; nothing of this one is seen then.
     """
-    tx, steps = store.begin(), steps or Steps()
+    tx = store.begin()
     try:
-        _ingest(tx, docs, steps)
+        ingest_into(tx, docs, steps or Steps())
     except Exception:
         tx.abandon()
         raise
     return Library(tx.commit())
 
 
-def _ingest(tx: Transaction, docs: DataFrame, steps: Steps) -> None:
+def ingest_into(tx: Transaction, docs: DataFrame, steps: Steps, out: DataFrame | None = None) -> None:
+    """The changes that a batch makes, in a transaction that the caller commits; documents ``out`` (doc_id) are removed with it."""
     store, before, times = tx.base.store, Library(tx.base), {}
     names, plan_folder = [c.split()[0] for c in NODES.split(", ")], f"data/work/{tx.version:08d}-plan"
     with _timed(times, "planning"):
         tx.written.append(plan_folder)
         _read(planned(before.registry, docs), steps).write.mode("overwrite").option("compression", "zstd").parquet(f"{store.path}/{plan_folder}")
         plan = store.spark.read.parquet(f"{store.path}/{plan_folder}")
-        strategies, todo = _counts(plan, "strategy"), plan.where("strategy <> 'skip'")
-        size = todo.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        todo = plan.where("strategy <> 'skip'")
+        known = plan.groupBy("strategy").agg(F.count("*").alias("n"), F.count_if(F.col("change_type") != "new_document").alias("old"), F.sum(F.octet_length("text")).alias("bytes")).collect()
+        strategies, size = {r["strategy"]: r["n"] for r in known}, sum(r["bytes"] or 0 for r in known)
+        replaced = any(r["old"] for r in known if r["strategy"] != "skip") or out is not None
         rejected = docs.where("doc_id is null").count()
     with _timed(times, "models"):
         segment = tx.append("nodes", _made(chunk_actions(before.nodes, todo, steps.width), steps), "node_id")
         nodes = Snapshot(store, tx.version, tx.tables).read("nodes", [segment]).select(*names)
         gone = nodes.where("held is not null and action <> 'keep'").select("node_id")
-        if tx.base.version:
+        if out is not None:
+            gone = gone.unionByName(before.nodes.join(out.select("doc_id").distinct(), "doc_id", "left_semi").select("node_id")).distinct()
+        if replaced:
             tx.delete("nodes", gone)
     with _timed(times, "index"):
-        if tx.base.version:
+        if replaced:
             KeywordIndex.remove(tx, gone)
         fields = {"text": plain_tokens(clean_text(F.col("text"))), "keywords": plain_tokens(F.array_join("keywords", " "))}
         KeywordIndex.add(tx, nodes.where("action = 'embed'"), "node_id", fields if steps.keywords is not None else {"text": fields["text"]}, size)
     with _timed(times, "registry"):
-        if tx.base.version:
-            tx.delete("registry", todo.select("doc_id"))
+        if replaced:
+            tx.delete("registry", todo.select("doc_id") if out is None else todo.select("doc_id").unionByName(out.select("doc_id")))
         rows = tx.append("registry", _registry_rows(todo, nodes), "doc_id")
         tx.append("stages", _stage_rows(todo, nodes, steps))
         states = _counts(Snapshot(store, tx.version, tx.tables).read("registry", [rows]), "state")

@@ -183,9 +183,9 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
 
 def safe_analysis(old: DataFrame, new: DataFrame) -> DataFrame:
     """doc_id, change_type, strategy, confidence, effort of whole documents (doc_id, text); a document whose text cannot be
-    read is rewritten as a whole, with confidence 0 and an effort of 60 seconds."""
+    read is rewritten as a whole, with confidence 0 and an effort of 60 seconds; one without a chunk on either side is unchanged."""
     diff = refine(document_diff(old, new.where("text is not null")))
-    rows = new.join(diff, "doc_id", "left")
+    rows = new.join(diff, "doc_id", "left").na.fill({"change_type": "no_change", "changed_chunks": 0, "confidence": 0.7})
     c, lost = F.col("change_type"), F.col("text").isNull()
     cost = effort(c, F.length("text"), F.col("changed_chunks"))
     return rows.select("doc_id", F.when(lost, "complete_rewrite").otherwise(c).alias("change_type"), F.when(lost, "full_reindex").otherwise(strategy(c)).alias("strategy"), F.when(lost, 0.0).otherwise(F.col("confidence")).alias("confidence"), F.when(lost, 60.0).otherwise(cost).alias("effort"))

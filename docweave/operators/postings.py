@@ -115,8 +115,9 @@ def bucket_of(term: str, buckets: int) -> int:
 
 
 def bucket_count(text_bytes: int) -> int:
-    """Folders of a segment: one for about every 64 MB of text, 32 to 4,096, a power of two."""
-    return min(4096, max(32, 1 << (text_bytes // (64 << 20)).bit_length()))
+    """Folders of a segment, a power of two: one for about every 64 MB of text, or every megabyte up to 32, 4,096 at most."""
+    of = lambda size: 1 << (text_bytes // size).bit_length()
+    return min(4096, max(of(64 << 20), min(32, of(1 << 20))))
 
 
 @dataclass(frozen=True)

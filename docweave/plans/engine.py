@@ -18,14 +18,17 @@ class Engine:
     def __init__(self, documents: DataFrame, vectors: DataFrame | None = None, index: KeywordIndex | None = None):
         self.documents, self.vectors, self.index = documents, vectors, index
 
-    def search(self, terms: list[str], query: DataFrame | None = None, kind: str = "hybrid", fuse: str = "rrf", top_k: int = 10, where: Column | None = None) -> DataFrame:
-        """Hits (id, fused or score, rank); filters hold before any cut.
+    def search(self, terms: list[str], query: DataFrame | None = None, kind: str = "hybrid", fuse: str = "rrf", top_k: int = 10, where: Column | None = None, post: bool = False) -> DataFrame:
+        """Hits (id, fused or score, rank); filters hold before any cut, or only on the hits (``post``), of which fewer are left then.
 
         kind: vector, keyword or hybrid; fuse: rrf, adaptive, or weighted.  ``query`` is a one-row table with column ``query``.
         """
         if kind not in ("vector", "keyword", "hybrid"):
             raise ValueError(f"unknown kind of search: {kind}")
         docs = self.documents if where is None else self.documents.where(where)
+        if post and where is not None:
+            hits = self.search(terms, query, kind, fuse, top_k)
+            return docs.select(F.col("doc_id").alias("id")).join(hits, "id").select(*hits.columns)
         fetch = top_k * max(3, top_k // 5) if kind == "hybrid" else top_k
         vector = keyword = None
         if kind != "keyword":
@@ -48,9 +51,9 @@ class Engine:
         return fusion.adaptive(vector, keyword, " ".join(terms), top_k) if fuse == "adaptive" else fusion.weighted(vector, keyword, top_k)
 
     def payload(self, hits: DataFrame, text: int = 200) -> DataFrame:
-        """Hits (id, ...) with what the library knows of their documents; a cut list is broadcast."""
+        """Hits (id, ...) with what the library knows of their documents; Spark sends a list to all tasks if it is small."""
         rows = self.documents.withColumn("preview", F.substring("text", 1, text)).drop("text").withColumnRenamed("doc_id", "id")
-        return rows.join(F.broadcast(hits), "id")
+        return rows.join(hits, "id")
 
     def ingest(self, store: TableStore, steps: Steps | None = None) -> Library:
         """The library's version after this engine's documents (doc_id, source, text) came in."""

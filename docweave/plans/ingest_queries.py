@@ -86,6 +86,32 @@ def maintenance(t: Tables) -> DataFrame:
     return ingest.maintained(t.registry, t.entries).select("doc_id", "state")
 
 
+@query(with_tables("SELECT doc_id, state FROM registry", "registry"))
+def maintenance_above_threshold(t: Tables) -> DataFrame:
+    """Where more documents agree with their entries than maintenance asks for, nothing changes."""
+    return ingest.maintained(t.registry, t.entries, least=1.0).select("doc_id", "state")
+
+
+_HELD_OLD = f"WITH {_INGEST}, made AS (SELECT doc_id, count(*) AS n, count(*) FILTER ({_WORDS.format('c')}) AS fine FROM oc GROUP BY doc_id)"
+
+
+@query(f"{_HELD_OLD} SELECT doc_id, coalesce(n, 0) AS nodes, coalesce(fine, 0) AS vector_nodes, coalesce(n, 0) AS keyword_nodes, coalesce(n, 0) AS chunk_count FROM old LEFT JOIN made USING (doc_id) WHERE t IS NOT NULL")
+def index_build(t: Tables) -> DataFrame:
+    """What a commit wrote for each document, from the tables on disk: chunks, vectors, keyword nodes in the index, chunk count."""
+    library = ingest.Library(_before(t).snapshot(1))
+    per = library.nodes.groupBy("doc_id").agg(F.count("*").alias("nodes"), F.count("embedding").alias("vector_nodes"))
+    indexed = library.index.nodes().groupBy(F.substring_index("key", "_", 1).cast("bigint").alias("doc_id")).agg(F.count("*").alias("keyword_nodes"))
+    rows = library.registry.select("doc_id", "chunk_count").join(per, "doc_id", "left").join(indexed, "doc_id", "left")
+    return rows.na.fill(0).select("doc_id", "nodes", "vector_nodes", "keyword_nodes", "chunk_count")
+
+
+@query(f"{_HELD_OLD}, d AS (SELECT count(*) AS docs, sum(coalesce(n, 0))::BIGINT AS chunks, sum(coalesce(n - fine, 0))::BIGINT AS bad FROM old LEFT JOIN made USING (doc_id) WHERE t IS NOT NULL) SELECT 'parsing' AS stage, docs AS documents, docs AS items, 0::BIGINT AS failed, true AS timed FROM d UNION ALL SELECT 'chunking', docs, chunks, 0, true FROM d UNION ALL SELECT 'embedding', docs, chunks, bad, true FROM d")
+def stage_averages(t: Tables) -> DataFrame:
+    """What a commit's stages did, from the table of stages that it wrote; seconds differ from run to run."""
+    rows = ingest.stage_averages(ingest.Library(_before(t).snapshot(1)).stages)
+    return rows.select("stage", "documents", "items", "failed", (F.col("mean_seconds") >= 0).alias("timed"))
+
+
 # ---- parsing with a cache
 
 
@@ -219,9 +245,28 @@ def job_machine(t: Tables) -> DataFrame:
     return jobs.run_machine(actions)
 
 
-@query(with_tables("SELECT doc_id, CASE WHEN text_null THEN 'complete_rewrite' ELSE 'no_change' END AS change_type, CASE WHEN text_null THEN 'full_reindex' ELSE 'skip' END AS strategy, CASE WHEN text_null THEN 0.0 ELSE 0.7 + 0.3 * least(chunk_count / 10, 1.0) END::DOUBLE AS confidence, CASE WHEN text_null THEN 60.0 ELSE round(0.1::DOUBLE * (1 + least(size / 10000, 3.0)), 2) END::DOUBLE AS effort FROM (SELECT *, doc_id % 7 = 3 AS text_null FROM registry WHERE size > 0)", "registry"))
-def safe_analysis(t: Tables) -> DataFrame:
-    """Documents compared with themselves; those whose text cannot be read get the safe answer."""
-    docs = t.documents.where("n_chars > 0").withColumn("now", F.when(F.col("doc_id") % 7 != 3, F.col("text")))
-    return lifecycle.safe_analysis(docs.select("doc_id", "text"), docs.select("doc_id", F.col("now").alias("text")))
-
+_TURN = "row_number() OVER (ORDER BY doc_id % 3 + 1, doc_id)"
+
+
+@query(f"""WITH j AS (SELECT doc_id, doc_id % 10 = 9 AS gone, {_TURN} AS turn, count(*) OVER () AS n, ceil(length(text) / 1000.0)::BIGINT AS chunks FROM documents),
+ b AS (SELECT doc_id FROM ({_CUT.format('(SELECT doc_id, text AS t FROM documents)')}) WHERE NOT ({_WORDS.format('c')}) GROUP BY doc_id)
+ SELECT doc_id AS job_id, CASE WHEN bad THEN 'failed' ELSE 'completed' END AS status, CASE WHEN turn > n // 4 AND turn <= 2 * (n // 4) AND NOT bad THEN 'b' ELSE 'c' END AS worker_id, (CASE WHEN turn <= n // 4 OR bad THEN 1 ELSE 0 END)::BIGINT AS retry_count, CASE WHEN gone THEN 0 ELSE chunks END AS chunks
+ FROM (SELECT j.*, NOT gone AND b.doc_id IS NOT NULL AS bad FROM j LEFT JOIN b USING (doc_id))""")
+def queue_with_a_dead_worker(t: Tables) -> DataFrame:
+    """A job a document: worker a claims a quarter and dies, b does the next quarter, c takes over what a left, when its lease
+    has ended, and all the rest.  Every job ends once, and the library holds what the jobs brought."""
+    from docweave.operators.job_queue import JobQueue
+
+    queue = JobQueue(TableStore(t.spark, scratch(t.spark, "queue")))
+    docs = t.documents.select("doc_id", "source", "text")
+    jobs_ = docs.select(F.col("doc_id").alias("job_id"), "doc_id", F.when(F.col("doc_id") % 10 == 9, "remove").otherwise("add").alias("job_type"), (F.col("doc_id") % 3 + 1).alias("priority"))
+    queue.add(jobs_, 0.0, max_retries=1)
+    n = docs.count()
+    queue.claim("a", 10.0, n // 4)
+    queue.claim("b", 20.0, n // 4)
+    queue.work("b", docs, 30.0, _STEPS)
+    queue.run("c", docs, 400.0, n, _STEPS)
+    after = ingest.Library(queue.store.snapshot())
+    chunks = after.nodes.groupBy("doc_id").agg(F.count("*").alias("chunks"))
+    ended = queue.jobs().join(chunks, "doc_id", "left").na.fill(0, ["chunks"])
+    return ended.select("job_id", "status", "worker_id", "retry_count", "chunks")

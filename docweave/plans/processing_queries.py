@@ -19,6 +19,25 @@ def resolve_sources_dedup(t: Tables) -> DataFrame:
     return t.raw("pages").groupBy("url").agg(F.min("page_id").alias("first_page"))
 
 
+@query("SELECT url AS path, CASE WHEN min(page_id) FILTER (page_id % 3 = 0) IS NULL THEN 1 ELSE 0 END::INT AS list, coalesce(min(page_id) FILTER (page_id % 3 = 0), min(page_id)) AS at FROM pages GROUP BY url")
+def resolve_order(t: Tables) -> DataFrame:
+    """Two lists one behind the other, each path once, where it came first."""
+    from docweave.sources.files import resolved
+
+    pages = t.raw("pages").select(F.col("url").alias("path"), F.col("page_id").alias("place"))
+    return resolved([pages.where("place % 3 = 0"), pages])
+
+
+@query("SELECT doc_id, text || '(' AS text, md5(text || '(x') AS digest FROM documents")
+def decode_leniently(t: Tables) -> DataFrame:
+    """Texts with bytes that are no UTF-8 before, behind and inside: these alone go."""
+    from docweave.sources.files import decoded_leniently
+
+    raw = F.concat(F.unhex(F.lit("FF80")), F.encode("text", "UTF-8"), F.unhex(F.lit("C328")))
+    more = F.concat(raw, F.unhex(F.lit("E282")), F.encode(F.lit("x"), "UTF-8"))
+    return t.documents.select("doc_id", decoded_leniently(raw).alias("text"), F.md5(decoded_leniently(more)).alias("digest"))
+
+
 @query(with_tables("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN substring(sha256('https://x/' || source), 1, 16) ELSE regexp_replace(split_part(source, '/', 3), '\\.[a-z]+$', '') || '_' || substring(content_hash, 1, 8) || '_' || substring(sha256(source), 1, 8) END AS identity FROM registry", "registry"))
 def doc_identity(t: Tables) -> DataFrame:
     from docweave.sources.files import file_identity, url_identity
@@ -83,20 +102,20 @@ def parse_timeouts(t: Tables) -> DataFrame:
 
 
 
-@query("SELECT doc_id, 1::BIGINT AS n, 'M' || doc_id AS model, (1000000 + doc_id)::VARCHAR AS part FROM documents WHERE NOT contains(text, '''')")
+@query("SELECT doc_id, 1::BIGINT AS n, 'M' || doc_id AS model, (1000000 + doc_id)::VARCHAR AS part FROM documents")
 def extract_pairs_json(t: Tables) -> DataFrame:
     head = F.concat(F.lit("Metadata: {'pairs': [['M"), "doc_id", F.lit("', '"), F.col("doc_id") + 1_000_000, F.lit("']]}\n---\n"), "text")
-    rows = t.documents.where("not contains(text, '''')").select("doc_id", parsing.pairs_from_json(head).alias("pairs"))
+    rows = t.documents.select("doc_id", parsing.pairs_from_json(head).alias("pairs"))
     return rows.select("doc_id", F.size("pairs").cast("bigint").alias("n"), F.get("pairs", F.lit(0))["model"].alias("model"), F.get("pairs", F.lit(0))["part"].alias("part"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 0 END::BIGINT AS n, CASE WHEN doc_id % 2 = 0 THEN 'M' || doc_id END AS model, doc_id % 2 <> 0 AS has_block FROM documents WHERE length(regexp_replace(text, '\\s', '', 'g')) > 0")
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 0 END::BIGINT AS n, CASE WHEN doc_id % 2 = 0 THEN 'M' || doc_id END AS model, doc_id % 2 <> 0 OR length(regexp_replace(text, '\\s', '', 'g')) = 0 AS has_block FROM documents")
 def extract_pairs_regex(t: Tables) -> DataFrame:
-    """Two text tuples are taken out with their block; a block of another shape stays."""
+    """Two text tuples are taken out with their block; a block of another shape stays, and one with nothing behind it too."""
     good = F.concat(F.lit("Metadata: {'pairs': [('M"), "doc_id", F.lit("', 'a'), ('N', 'b')]}\n"), "text")
     odd = F.concat(F.lit("Metadata: {'pairs': [('M', 'a', 'c')]}\n"), "text")
     pairs, rest = parsing.pairs_from_literal(F.when(F.col("doc_id") % 2 == 0, good).otherwise(odd))
-    rows = t.documents.where(F.length(F.regexp_replace("text", r"\s", "")) > 0).select("doc_id", pairs.alias("pairs"), rest.alias("rest"))
+    rows = t.documents.select("doc_id", pairs.alias("pairs"), rest.alias("rest"))
     return rows.select("doc_id", F.size("pairs").cast("bigint").alias("n"), F.get("pairs", F.lit(0))["model"].alias("model"), F.contains("rest", F.lit("Metadata: {")).alias("has_block"))
 
 
@@ -150,6 +169,16 @@ def metadata_kv(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", m["type"].alias("type"), m["origin"].alias("origin"))
 
 
+@query("""SELECT doc_id, 'string' AS kind_lang, lang, 'number' AS kind_size, n_chars::VARCHAR AS size, 'boolean' AS kind_flag, CASE WHEN doc_id % 2 = 0 THEN 'true' ELSE 'false' END AS flag, 'array' AS kind_list, '[' || doc_id || ',2]' AS list, 'string' AS kind_odd, '{x' || doc_id AS odd, 'null' AS kind_none FROM documents""")
+def metadata_typed(t: Tables) -> DataFrame:
+    """Values that are JSON are read as such, others are strings; the last of equal keys counts."""
+    one = lambda *c: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in c])
+    items = F.array(one("lang = x"), one("lang = ", F.col("lang")), one("size=", F.col("n_chars").cast("string")), one("flag=", F.when(F.col("doc_id") % 2 == 0, "true").otherwise("false")), one("list=[", F.col("doc_id").cast("string"), ", 2]"), one("odd={x", F.col("doc_id").cast("string")), one("none=null"))
+    m = T.typed_metadata(items)
+    value, kind = (lambda k: m[k]["value"]), (lambda k: m[k]["kind"].alias(f"kind_{k}"))
+    return t.documents.select("doc_id", *[x for k in ("lang", "size", "flag", "list", "odd") for x in (kind(k), value(k).alias(k))], kind("none"))
+
+
 _DURATION = "SELECT doc_id, CASE WHEN n_chars < 60 THEN printf('%.1fs', n_chars::DOUBLE) WHEN n_chars < 3600 THEN printf('%.1fm', n_chars / 60.0::DOUBLE) ELSE printf('%.1fh', n_chars / 3600.0::DOUBLE) END AS duration FROM documents"
 
 
@@ -205,13 +234,6 @@ def sections_per_file(t: Tables) -> DataFrame:
     return rows.select("source", "doc_id", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("bigint").alias("place")).where("place <= 3")
 
 
-@query(with_tables("SELECT doc_id, count(*) AS nodes, count(*) FILTER (doc_id % 3 <> 0) AS vector_nodes, count(*) FILTER (doc_id % 4 <> 0) AS keyword_nodes, max(total_chunks) AS chunk_count FROM chunks GROUP BY doc_id", "chunks"))
-def index_build(t: Tables) -> DataFrame:
-    """What one batch of ingestion writes for each document: nodes, vector nodes, keyword nodes, chunk count."""
-    c = F.col("doc_id")
-    return t.chunks.groupBy("doc_id").agg(F.count("*").alias("nodes"), F.count_if(c % 3 != 0).alias("vector_nodes"), F.count_if(c % 4 != 0).alias("keyword_nodes"), F.max("total_chunks").alias("chunk_count"))
-
-
 @query("SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY sha256(text)")
 def exact_dedup(t: Tables) -> DataFrame:
     return lifecycle.exact_dedup(t.documents)
@@ -277,6 +299,17 @@ def _analysis(t: Tables) -> DataFrame:
 _ANALYSIS = _diff_sql("").rstrip() + f", {_REFINED}, analysis AS (SELECT doc_id, change_type, {_STRATEGY} AS strategy, {_PRIORITY} AS priority, {_EFFORT} AS effort FROM kinds JOIN documents USING (doc_id)) "
 
 
+_LOST = "(SELECT d.doc_id, n_chars, d.doc_id % 7 = 3 AS lost, coalesce(change_type, 'no_change') AS change_type, coalesce(changed_chunks, 0) AS changed_chunks, coalesce(total_chunks, 0) AS total_chunks FROM documents d LEFT JOIN kinds USING (doc_id))"
+
+
+@query(_diff_sql("").rstrip() + f", {_REFINED} SELECT doc_id, CASE WHEN lost THEN 'complete_rewrite' ELSE change_type END AS change_type, CASE WHEN lost THEN 'full_reindex' ELSE {_STRATEGY} END AS strategy, CASE WHEN lost THEN 0.0 ELSE round(least(1.0, 0.7 + 0.3 * least(total_chunks / 10, 1.0)), 6) END::DOUBLE AS confidence, CASE WHEN lost THEN 60.0 ELSE {_EFFORT} END::DOUBLE AS effort FROM {_LOST}")
+def safe_analysis(t: Tables) -> DataFrame:
+    """Documents compared with their older texts; those whose text cannot be read get the safe answer."""
+    old = t.documents.select("doc_id", t.old_text().alias("text"))
+    new = t.documents.select("doc_id", F.when(F.col("doc_id") % 7 != 3, F.col("text")).alias("text"))
+    return lifecycle.safe_analysis(old, new).withColumn("confidence", F.round("confidence", 6))
+
+
 @query(_ANALYSIS + "SELECT doc_id, strategy, priority FROM analysis")
 def update_strategy(t: Tables) -> DataFrame:
     return _analysis(t).select("doc_id", "strategy", "priority")

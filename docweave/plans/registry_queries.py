@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.operators import filters, jobs, lifecycle
 from docweave.plans.base import NOW, Tables, with_tables
-from docweave.plans.catalog import query
+from docweave.plans.catalog import ORACLES, query
 
 # ---- lookups, pages, filters
 
@@ -309,11 +311,6 @@ def progress_snapshot(t: Tables) -> DataFrame:
     return jobs.progress(t.jobs, 3600.0).withColumns({c: F.round(c, 6) for c in ("percentage", "rate_per_minute", "eta_seconds")})
 
 
-@query("SELECT event_type AS stage, round(avg(value), 6) AS mean, count(*) AS n FROM events GROUP BY event_type")
-def stage_averages(t: Tables) -> DataFrame:
-    return t.raw("events").groupBy(F.col("event_type").alias("stage")).agg(F.round(F.avg("value"), 6).alias("mean"), F.count("*").alias("n"))
-
-
 @query(with_tables("SELECT count(*) FILTER (state = 'indexed') AS success, count(*) FILTER (state = 'corrupted') AS error, count(*) FILTER (state NOT IN ('indexed', 'corrupted')) AS skipped FROM registry", "registry"))
 def batch_outcomes(t: Tables) -> DataFrame:
     s = F.col("state")
@@ -342,3 +339,23 @@ def job_retry(t: Tables) -> DataFrame:
 def job_state_fold(t: Tables) -> DataFrame:
     changes = t.jobs.join(t.raw("events").select(F.col("event_id").alias("job_id"), "user_id"), "job_id").select(F.col("user_id").alias("job_id"), F.col("job_id").alias("seq"), "status")
     return jobs.fold_states(changes)
+
+
+_PARTS = {"registry": "registry_health", "health": "overall_health", "queue": "queue_status", "bounds": "job_time_bounds", "fingerprints": "fingerprint_stats", "keywords": "keyword_index_stats", "index": "index_stats", "outcomes": "batch_outcomes", "progress": "progress_snapshot"}
+
+
+def _unpivoted(section: str, name: str) -> str:
+    skip = ", ".join(c for c in ("word",) if section == "health")
+    columns = f"COLUMNS(* EXCLUDE ({skip}))" if skip else "COLUMNS(*)"
+    return f"SELECT '{section}' AS section, metric, round(value, 6) AS value FROM (UNPIVOT (SELECT {columns}::DOUBLE FROM ({ORACLES[name]})) ON COLUMNS(*) INTO NAME metric VALUE value)"
+
+
+@query(" UNION ALL ".join(_unpivoted(*p) for p in _PARTS.items()) + " UNION ALL SELECT 'states', state, n::DOUBLE FROM (" + ORACLES["registry_stats_by_state"] + ") UNION ALL SELECT 'jobs', status, round(avg_seconds, 6) FROM (" + ORACLES["job_stats"] + ") WHERE avg_seconds IS NOT NULL")
+def comprehensive_status(t: Tables) -> DataFrame:
+    """Health, rates, bounds and counts of every part of a library in one table: section, metric, value."""
+    made = {"registry": registry_health, "health": overall_health, "queue": queue_status, "bounds": job_time_bounds, "fingerprints": fingerprint_stats, "keywords": keyword_index_stats, "index": index_stats, "outcomes": batch_outcomes, "progress": progress_snapshot}
+    value = lambda c: F.struct(F.lit(c).alias("metric"), F.round(F.col(c).cast("double"), 6).alias("value"))
+    parts = [df.select(F.lit(s).alias("section"), F.inline(F.array(*[value(c) for c in df.columns if c != "word"]))) for s, df in ((s, f(t)) for s, f in made.items())]
+    parts.append(registry_stats_by_state(t).select(F.lit("states").alias("section"), F.col("state").alias("metric"), F.col("n").cast("double").alias("value")))
+    parts.append(job_stats(t).where("avg_seconds is not null").select(F.lit("jobs").alias("section"), F.col("status").alias("metric"), F.round("avg_seconds", 6).alias("value")))
+    return reduce(DataFrame.unionByName, parts)

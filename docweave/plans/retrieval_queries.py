@@ -10,6 +10,7 @@ from docweave.functions import text as T
 from docweave.operators import fusion, parsing, postings, retrieval
 from docweave.plans.base import CTE, Tables, with_tables
 from docweave.plans.catalog import query
+from docweave.plans.engine import Engine
 from docweave.sources.storage import scratch
 from docweave.sources.versions import TableStore
 
@@ -260,11 +261,22 @@ def fusion_rank_weighted(t: Tables) -> DataFrame:
  SELECT id, round(f, 9) AS fused, row_number() OVER (ORDER BY round(f, 12) DESC, id) AS rank FROM (SELECT coalesce(v.id, k.id) AS id, coalesce(1.0 / (60 + v.rank), 0) + coalesce(1.0 / (60 + k.rank), 0) AS f FROM v FULL OUTER JOIN k ON v.id = k.id) ORDER BY rank LIMIT 10""")
 def hybrid_search_e2e(t: Tables) -> DataFrame:
     """Filtered hybrid search: both lists over-fetched three times, fused by reciprocal ranks, ten hits."""
-    from docweave.plans.engine import Engine
-
     return Engine(t.documents, t.vectors, t.keyword_index).search(TERMS, t.query_vector, top_k=10, where=F.col("lang") == "en").select("id", F.round("fused", 9).alias("fused"), "rank")
 
 
+_SHORT = _LISTS.replace("FROM f0 ORDER BY score, doc_id LIMIT 400", "FROM f0 WHERE found = 3 ORDER BY score, doc_id LIMIT 30")
+
+
+@query(f"WITH {_SHORT}{_FLIP}, {_NORM('v', 'nv')}, {_NORM('kf', 'nk')}, w AS (SELECT coalesce(a.id, b.id) AS id, (0.7 * coalesce(a.s, 0) + 0.3 * coalesce(b.s, 0)) * CASE WHEN a.id IS NOT NULL AND b.id IS NOT NULL THEN 1.1 ELSE 1 END AS fused FROM nv a FULL OUTER JOIN nk b ON a.id = b.id) SELECT 'vector' AS route, id, rank FROM v WHERE rank <= 10 UNION ALL SELECT 'keyword', id, rank FROM k WHERE rank <= 10 UNION ALL (SELECT 'weighted', id, row_number() OVER (ORDER BY round(fused, 9) DESC, id) AS rank FROM w ORDER BY rank LIMIT 10) UNION ALL SELECT 'vector, filtered hits', id, rank FROM v JOIN documents d ON d.doc_id = id WHERE rank <= 10 AND d.lang = 'en'")
+def search_routes(t: Tables) -> DataFrame:
+    """The engine's routes beside reciprocal ranks: one list alone, weighted fusion, and filters on the hits."""
+    engine = Engine(t.documents, t.vectors, t.keyword_index)
+    route = lambda name, df: df.select(F.lit(name).alias("route"), "id", "rank")
+    rows = route("vector", engine.search(TERMS, t.query_vector, "vector")).unionByName(route("keyword", engine.search(TERMS, kind="keyword")))
+    rows = rows.unionByName(route("weighted", engine.search(TERMS, t.query_vector, fuse="weighted")))
+    return rows.unionByName(route("vector, filtered hits", engine.search(TERMS, t.query_vector, "vector", where=F.col("lang") == "en", post=True)))
+
+
 @query(r"SELECT item_id, regexp_matches(text, '\d{7}|\d{2}-\d{3}-\d{3}') AS has_part_number, contains(lower(text), 'matrix') OR contains(lower(text), 'model') OR contains(lower(text), 'laser') OR contains(lower(text), 'series') AS has_model_reference, CASE WHEN regexp_matches(text, '\d{7}|\d{2}-\d{3}-\d{3}') THEN 'part_number' WHEN contains(lower(text), 'matrix') OR contains(lower(text), 'model') OR contains(lower(text), 'laser') OR contains(lower(text), 'series') THEN 'model' ELSE 'general' END AS query_type, len(regexp_extract_all(text, '\d{7}|\d{2}-\d{3}-\d{3}')) AS part_numbers FROM (SELECT doc_id AS item_id, text FROM documents)")
 def query_analysis(t: Tables) -> DataFrame:
     rows = t.documents.select(F.col("doc_id").alias("item_id"), *parsing.analyse_query(F.col("text")))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 _PAIR = T.StructType([T.StructField("model", T.StringType()), T.StructField("part", T.StringType())])
 _FIELDS = {"doc_id": T.LongType(), "source": T.StringType(), "pairs": T.ArrayType(_PAIR), "markdown": T.StringType(), "metadata": T.StringType(), "markdown_length": T.LongType(), "pairs_count": T.LongType()}
@@ -18,11 +23,59 @@ def read_files(spark: SparkSession, path: str, recursive: bool = False, glob: st
     return reader.load(path).dropDuplicates(["path"])
 
 
+def resolved(lists: Sequence[DataFrame]) -> DataFrame:
+    """path, place of several lists of (path), or (path, place), one behind the other: each path once, where it came first."""
+    parts = []
+    for i, df in enumerate(lists):
+        place = F.col("place") if "place" in df.columns else F.monotonically_increasing_id()
+        parts.append(df.select("path", F.struct(F.lit(i).alias("list"), place.cast("bigint").alias("at")).alias("first")))
+    rows = reduce(DataFrame.unionByName, parts).where("path is not null").groupBy("path").agg(F.min("first").alias("first"))
+    return rows.select("path", F.col("first.list").alias("list"), F.col("first.at").alias("at"))
+
+
+def resolve(spark: SparkSession, sources: Sequence[str], recursive: bool = False) -> DataFrame:
+    """path, list, at of what sources name, in their order: URLs as they are, a folder's files of the three kinds (PDF, then
+    text, then Markdown, by name), a file or pattern's matches; what matches nothing is left out."""
+    lists = []
+    for source in sources:
+        if source.startswith(("http://", "https://")):
+            lists.append(spark.createDataFrame([(source, 0)], "path string, place bigint"))
+            continue
+        at = spark._jvm.org.apache.hadoop.fs.Path(source)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        try:
+            folder = fs.getFileStatus(at).isDirectory()
+        except Exception:  # noqa: BLE001  Py4J wraps what Java threw: no such file, perhaps a pattern
+            folder = False
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive and folder).lower())
+        if folder:
+            reader = reader.option("pathGlobFilter", "*.{pdf,txt,md}")
+        elif not fs.globStatus(at):
+            continue
+        name = F.lower(F.col("path"))
+        kind = F.when(name.endswith(".pdf"), 0).when(name.endswith(".txt"), 1).when(name.endswith(".md"), 2)
+        found = reader.load(source).select("path", kind.alias("kind")).where("kind is not null" if folder or any(c in source for c in "*?[{") else "true")
+        order = Window.orderBy(*(["kind", "path"] if folder else ["path"]))  # names of one source's files
+        lists.append(found.select("path", F.row_number().over(order).cast("bigint").alias("place")))
+    return resolved(lists) if lists else spark.createDataFrame([], "path string, list int, at bigint")
+
+
+@F.pandas_udf("string")
+def _without_bad_bytes(content: pd.Series) -> pd.Series:
+    return content.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
+
+
 def decoded(content: Column) -> Column:
-    """UTF-8 if the bytes are valid, else Latin-1, which takes any byte."""
+    """UTF-8 if the bytes are valid, else Latin-1, which takes any byte, so that nothing is left for a third encoding."""
     return F.coalesce(F.try_validate_utf8(content.cast("string")), F.decode(content, "ISO-8859-1"))
 
 
+def decoded_leniently(content: Column) -> Column:
+    """UTF-8 without the bytes that are none of it; only rows that have some go to Python."""
+    valid = F.try_validate_utf8(content.cast("string"))
+    return F.coalesce(valid, _without_bad_bytes(F.when(valid.isNull(), content)))
+
+
 def path_list(spark: SparkSession, path: str) -> DataFrame:
     """Paths named in a text file, one a line, blank lines left out."""
     return spark.read.text(path).select(F.trim("value").alias("path")).where("path <> ''")
