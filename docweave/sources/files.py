@@ -54,13 +54,17 @@ def resolve(spark: SparkSession, sources: Sequence[str], recursive: bool = False
             continue
         name = F.lower(F.col("path"))
         kind = F.when(name.endswith(".pdf"), 0).when(name.endswith(".txt"), 1).when(name.endswith(".md"), 2)
-        found = reader.load(source).select("path", kind.alias("kind")).where("kind is not null" if folder or any(c in source for c in "*?[{") else "true")
+        found = reader.load(source).select("path", kind.alias("kind"))
+        if not folder:  # files that match, not those of folders that do
+            found = found.where(F.size(F.split("path", "/")) == fs.makeQualified(at).toString().count("/") + 1)
+        if folder or any(c in source for c in "*?[{"):
+            found = found.where("kind is not null")
         order = Window.orderBy(*(["kind", "path"] if folder else ["path"]))  # names of one source's files
         lists.append(found.select("path", F.row_number().over(order).cast("bigint").alias("place")))
     return resolved(lists) if lists else spark.createDataFrame([], "path string, list int, at bigint")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _without_bad_bytes(content: pd.Series) -> pd.Series:
     return content.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
 

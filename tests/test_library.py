@@ -2,12 +2,14 @@
 
 import random
 import re
+import time
 from collections import Counter
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from docweave.functions import text as T
 from docweave.functions.porter import stem, stem_terms
 from docweave.functions.text import STOP_WORDS
 from docweave.operators import jobs, lifecycle, parsing, plugins, retrieval
@@ -126,7 +128,7 @@ def test_job_machine_stream_equals_batch(spark, tmp_path):
     stamp = lambda s: pd.Timestamp("2024-01-01", tz="UTC") + pd.Timedelta(seconds=s)
     made = spark.createDataFrame([(j, s, a, stamp(t).to_pydatetime()) for j, s, a, t in rows], schema)
     late = spark.createDataFrame([(9, 10, "start", stamp(1000).to_pydatetime())], schema)
-    log = ProgressLog()
+    log = ProgressLog(spark, str(tmp_path / "progress"), every=2)
     spark.streams.addListener(log)
     for df in (made, late):
         df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
@@ -138,7 +140,62 @@ def test_job_machine_stream_equals_batch(spark, tmp_path):
             assert {(r["job_id"], r["status"], r["moves"]) for r in held} == {tuple(r) for r in jobs.run_machine(made).collect()}
     assert ("failed", True) in {(r["status"], r["timed_out"]) for r in held if r["job_id"] == 2}
     spark.streams.removeListener(log)
-    assert sum(r[2] for r in log.rows) >= 9
+    for _ in range(100):  # reports come behind the batches
+        if log.ended >= 2:
+            break
+        time.sleep(0.1)
+    assert len(log.held) < 2 and log.progress().agg(F.sum("input_rows")).first()[0] == 10
+
+
+def test_state_of_ended_jobs_goes(spark, tmp_path):
+    """100 jobs end, a late one moves the watermark past their keeping: state shrinks, and late actions find nobody."""
+    schema = "job_id bigint, seq bigint, action string, ts timestamp"
+    stamp = lambda s: (pd.Timestamp("2024-01-01", tz="UTC") + pd.Timedelta(seconds=s)).to_pydatetime()
+    first = [(j, 2 * j + i, a, stamp(j / 100)) for j in range(100) for i, a in enumerate(("start", "complete" if j % 2 else "fail"))]
+    batches = [first, [(500, 1000, "start", stamp(10_000))], [(501, 1001, "start", stamp(10_001))], [(0, 1002, "requeue", stamp(10_001)), (1, 1003, "start", stamp(10_002))]]
+    sizes, out = [], {}
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = job_machine(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), keep_ended=600)
+        query = stream.writeStream.outputMode("update").foreachBatch(lambda b, i: out.update({r["job_id"]: (r["status"], r["moves"]) for r in b.collect()})).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        sizes.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    assert sizes[0] == 100 and sizes[-1] <= 4
+    assert out[2] == ("failed", 2) and out[3] == ("completed", 2)
+    assert out[0] == ("pending", 0) and out[1] == ("processing", 1)  # a forgotten job is one that nobody knows
+
+
+def test_sources_in_order(spark, tmp_path):
+    for name in ("b.md", "a.pdf", "c.txt", "d.docx", "sub/e.pdf", "A.PDF2"):
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(b"x")
+    names = lambda sources, **k: [r["path"].rsplit("/", 1)[-1] for r in files.resolve(spark, sources, **k).orderBy("list", "at").collect()]
+    top = str(tmp_path / "in")
+    assert names([top]) == ["a.pdf", "c.txt", "b.md"] and names([top], recursive=True) == ["a.pdf", "e.pdf", "c.txt", "b.md"]
+    assert names(["https://x/y", f"{top}/c.txt", top, "https://x/y", f"{top}/*", f"{top}/none*"]) == ["y", "c.txt", "a.pdf", "b.md"]
+    assert names([f"{top}/d.docx"]) == ["d.docx"] and names([]) == []
+
+
+def test_bad_bytes_go_alone(spark):
+    cases = [b"plain", "é 漢 😀".encode(), b"a\xffb", b"\xc3(", b"\xe2\x82x", b"\xf0\x9f\x98", b"\x80\x80", b"", None, b"\xed\xa0\x80z", b"caf\xe9"]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, c binary")
+    got = {r["i"]: (r["lenient"], r["strict"]) for r in df.select("i", files.decoded_leniently(F.col("c")).alias("lenient"), files.decoded(F.col("c")).alias("strict")).collect()}
+    for i, c in enumerate(cases):
+        lenient = None if c is None else c.decode("utf-8", "ignore")
+        try:
+            strict = None if c is None else c.decode()
+        except UnicodeDecodeError:
+            strict = c.decode("latin-1")
+        assert got[i] == (lenient, strict)
+
+
+def test_typed_metadata(spark):
+    df = spark.createDataFrame([(["a=1", " b = x y ", "c=\"q\"", "d=[1, {\"k\": null}]", "e=null", "f=true", "g=1=2", "a=2.5", "h="],)], "i array<string>")
+    got = {k: tuple(v) for k, v in df.select(T.typed_metadata(F.col("i")).alias("m")).first()["m"].items()}
+    assert got == {"a": ("number", "2.5"), "b": ("string", "x y"), "c": ("string", "q"), "d": ("array", '[1,{"k":null}]'), "e": ("null", "null"), "f": ("boolean", "true"), "g": ("string", "1=2"), "h": ("string", "")}
+    for bad in ("novalue", "=x"):
+        with pytest.raises(Exception, match="key=value"):
+            spark.createDataFrame([([bad],)], "i array<string>").select(T.typed_metadata(F.col("i"))).collect()
 
 
 def test_change_and_state_feeds(spark, tmp_path):
