@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Seconds after which a running job counts as interrupted.
 STALE_AFTER = 300
@@ -78,14 +82,45 @@ def cancel(jobs: DataFrame, ids: DataFrame, now: float) -> DataFrame:
 TRANSITIONS = {("pending", "start"): "processing", ("processing", "complete"): "completed", ("processing", "fail"): "failed", ("pending", "cancel"): "cancelled", ("processing", "cancel"): "cancelled", ("failed", "requeue"): "pending", ("cancelled", "requeue"): "pending"}
 
 
-def run_machine(actions: DataFrame, key: str = "job_id") -> DataFrame:
-    """Per job what its actions (key, seq, action) leave, in order: status and how many actions took effect."""
-    step = lambda s, a: F.coalesce(*[F.when((s == was) & (a == does), then) for (was, does), then in TRANSITIONS.items()])
+#: The statuses that an action can find a job in, in the order of a run's results.
+STATES = tuple(dict.fromkeys([*(was for was, _ in TRANSITIONS), *TRANSITIONS.values()]))
+_RUN = T.ArrayType(T.StructType([T.StructField("to", T.IntegerType()), T.StructField("moves", T.LongType())]))
 
-    def fold(s, x):  # noqa: ANN001, ANN202
-        new = step(s["status"], x["action"])
-        return F.struct(F.coalesce(new, s["status"]).alias("status"), (s["moves"] + F.when(new.isNotNull(), F.lit(1).cast("bigint")).otherwise(F.lit(0).cast("bigint"))).alias("moves"))
 
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "action")))
-    start = F.struct(F.lit("pending").alias("status"), F.lit(0).cast("bigint").alias("moves"))
-    return actions.groupBy(key).agg(ordered.alias("a")).select(key, F.aggregate("a", start, fold).alias("s")).select(key, "s.status", "s.moves")
+def run_machine(actions: DataFrame, key: str = "job_id") -> DataFrame:
+    """Per job what its actions (key, seq, action) leave, in order of seq, then action: status and how many actions took effect.
+
+    What a run of actions does is a map from each status to a status and a number of moves, whatever came before, and maps can be
+    joined.  So actions are dealt by job and seq, a task folds the runs that it holds, and a job's runs, of which there are no
+    more than tasks that hold some of it, are joined: a job with very many actions is many tasks' work.  Jobs without id are one.
+    """
+    moves = {a: [STATES.index(TRANSITIONS[s, a]) if (s, a) in TRANSITIONS else -1 for s in STATES] for a in {a for _, a in TRANSITIONS}}
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        nothing = object()
+        job, to, n = nothing, [], []
+        for b in batches:
+            out = []
+            for j, action in zip(b["job"].tolist(), b["action"].tolist()):
+                if j != job:
+                    if job is not nothing:
+                        out.append((job, [{"to": t, "moves": m} for t, m in zip(to, n)]))
+                    job, to, n = j, [*range(len(STATES))], [0] * len(STATES)
+                if action in moves:
+                    step = moves[action]
+                    for i, t in enumerate(to):
+                        if step[t] >= 0:
+                            to[i] = step[t]
+                            n[i] += 1
+            yield pd.DataFrame(out, columns=["job", "run"])
+        if job is not nothing:
+            yield pd.DataFrame([(job, [{"to": t, "moves": m} for t, m in zip(to, n)])], columns=["job", "run"])
+
+    kind = actions.schema[key].dataType
+    ordered = actions.select(F.col(key).cast("string").alias("job"), "seq", "action").repartitionByRange("job", "seq", "action").sortWithinPartitions("job", "seq", "action")
+    runs = ordered.mapInPandas(work, T.StructType([T.StructField("job", T.StringType()), T.StructField("run", _RUN)]))
+    runs = runs.withColumn("part", F.spark_partition_id())  # of a job's runs the order of their ranges
+    start = F.struct(F.lit(STATES.index("pending")).alias("at"), F.lit(0).cast("bigint").alias("moves"))
+    join = lambda s, r: F.struct(F.get(r["run"], s["at"])["to"].alias("at"), (s["moves"] + F.get(r["run"], s["at"])["moves"]).alias("moves"))
+    joined = runs.groupBy("job").agg(F.array_sort(F.collect_list(F.struct("part", "run"))).alias("runs")).select("job", F.aggregate("runs", start, join).alias("s"))
+    return joined.select(F.col("job").cast(kind).alias(key), F.element_at(F.array(*[F.lit(s) for s in STATES]), F.col("s.at") + 1).alias("status"), "s.moves")

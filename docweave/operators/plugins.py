@@ -79,6 +79,15 @@ def embed(nodes: DataFrame, key: str, text: str, embedder: BatchModel | None = N
     return rows.where("embedding is not null").select(key, "embedding")
 
 
+def rebuilt_vectors(nodes: DataFrame, key: str, text: str, width: int, embedder: BatchModel | None = None) -> DataFrame:
+    """The nodes with an embedding, made anew where there is none, and whether it has ``width`` entries (fitting); nodes that
+    cannot be embedded are left out."""
+    there = nodes.where("embedding is not null")
+    made = call_in_batches(nodes.where("embedding is null").drop("embedding"), text, "embedding", "array<float>", embedder or HashedEmbedder())
+    rows = there.unionByName(made.where("embedding is not null").select(*there.columns))
+    return rows.withColumn("fitting", F.size("embedding") == width)
+
+
 def with_keywords(nodes: DataFrame, text: str, model: BatchModel | None = None, size: int = 10) -> DataFrame:
     """Nodes with keywords, their error and seconds, and the text with its keywords in a block behind it, ten texts a call;
     without keywords, or where the model failed, the text stays as it was."""

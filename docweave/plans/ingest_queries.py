@@ -166,6 +166,30 @@ def embed_nodes(t: Tables) -> DataFrame:
     return rows.select("node_id", total.cast("bigint").alias("words"), F.array_max("embedding").cast("bigint").alias("most"))
 
 
+_COMMON = r"""w AS (SELECT node_id, term, count(*) AS n FROM (SELECT node_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM chunks) WHERE length(term) >= 5 GROUP BY node_id, term),
+ k AS (SELECT node_id, count(*) AS keywords, string_agg(term, ', ' ORDER BY place) AS line FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY n DESC, term) AS place FROM w) WHERE place <= 5 GROUP BY node_id)"""
+
+
+@query(with_tables("", "chunks").rstrip() + f", {_COMMON} SELECT node_id, coalesce(keywords, 0) AS keywords, md5(text || coalesce(chr(10) || chr(10) || 'Keywords: ' || line, '')) AS digest FROM chunks LEFT JOIN k USING (node_id)")
+def keyword_blocks(t: Tables) -> DataFrame:
+    """Chunks enhanced by the offline keyword model, ten a call: how many keywords each got, and its text with their block."""
+    rows = plugins.with_keywords(t.chunks.select("node_id", "text"), "text")
+    return rows.select("node_id", F.size("keywords").cast("bigint").alias("keywords"), F.md5("text").alias("digest"))
+
+
+@query()
+def origin_nodes(t: Tables) -> DataFrame:
+    """Every document split at sentences and enhanced: what a library's nodes start from."""
+    return plugins.origin_nodes(t.documents, 128, 16).select("doc_id", "node_id", "chunk_index", "text", F.array_join("keywords", ", ").alias("keywords"))
+
+
+@query(f"WITH {_INGEST} SELECT doc_id, count(*) AS points, count(*) AS fitting FROM oc WHERE len(regexp_extract_all(lower(c), '[\\p{{L}}\\p{{N}}_]+')) > 0 GROUP BY doc_id")
+def vector_collection_rebuild(t: Tables) -> DataFrame:
+    """A committed library's vectors made anew where they are missing; what still fails is left out, and dimensions are checked."""
+    rows = plugins.rebuilt_vectors(ingest.Library(_before(t).snapshot(1)).nodes, "node_id", "text", 16)
+    return rows.groupBy("doc_id").agg(F.count("*").alias("points"), F.count_if("fitting").alias("fitting"))
+
+
 _TOP = f"WITH {_BM25}, hits AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM bm WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20)"
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -25,16 +26,27 @@ def scratch(spark: SparkSession, kind: str) -> str:
         base = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = base.get() if base.isDefined() else None
     if base is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = tempfile.mkdtemp(prefix="docweave-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+def _stamp(spark: SparkSession, source: str) -> str:
+    """What tells whether the files below a folder of tables changed: their number and bytes, and the folders' newest time."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(source)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return ""
+    known = fs.getContentSummary(at)
+    return f"{known.getFileCount()} {known.getLength()} {max((s.getModificationTime() for s in fs.listStatus(at)), default=0)}"
+
+
 def stored_once(spark: SparkSession, name: str, source: str, write: Callable[[str], None]) -> str:
-    """The folder that ``write`` filled from ``source``, written when this session asks for it the first time."""
-    key = (spark.sparkContext.applicationId, name, source)
+    """The folder that ``write`` filled from ``source``, written when this session asks for it the first time, and again when
+    the files of ``source`` changed since."""
+    key = (spark.sparkContext.applicationId, name, source, _stamp(spark, source))
     if key not in _STORED:
         path = scratch(spark, name)
         write(path)

@@ -81,3 +81,20 @@ def test_filters_warn_and_refuse(spark):
 def test_duration_and_size(spark):
     assert one(spark, T.format_duration(F.col("x")), x=7230.0) == "2.0h"
     assert [one(spark, T.format_file_size(F.col("x")), x=v) for v in (10, 2048, 5 << 40)] == ["10.0B", "2.0KB", "5.0TB"]
+
+
+def test_a_hot_jobs_actions_are_folded_in_runs(spark):
+    """One job with most of the actions, over many tasks, ties, unknown actions and a job without id, against a plain loop."""
+    import random
+
+    rnd = random.Random(5)
+    names = ["start", "complete", "fail", "cancel", "requeue", "nonsense"]
+    rows = [(1 if rnd.random() < 0.8 else rnd.choice([2, 3, None]), rnd.randrange(3000), rnd.choice(names)) for _ in range(4000)] + [(9, 1, "nonsense")]
+    got = jobs.run_machine(spark.createDataFrame(rows, "job_id bigint, seq bigint, action string").repartition(6)).collect()
+    want = {}
+    for job, _, action in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
+        status, moves = want.get(job, ("pending", 0))
+        new = jobs.TRANSITIONS.get((status, action))
+        want[job] = (new or status, moves + bool(new))
+    assert {r["job_id"]: (r["status"], r["moves"]) for r in got} == want
+    assert jobs.run_machine(spark.createDataFrame([], "job_id bigint, seq bigint, action string")).collect() == []
