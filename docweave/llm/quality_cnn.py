@@ -14,18 +14,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import only, remainder, small_batches
+from docweave.llm.common import discard, only, remainder, small_batches, stored
 
 
 @dataclass(frozen=True)
 class CnnFit:
     """Shape of the network and bounds of the sample it is fitted on.
 
-    About ``docs_per_label`` documents of each label, picked by a hash of their ids, teach with their whole texts.  Chunks
-    are two ``half``-byte halves, so each byte lies in two chunks.
+    About ``docs_per_label`` documents of each label, picked by a hash of their ids, teach with their whole texts, as far as
+    these have at most ``longest`` bytes each and, in the order of the hash, ``sample_bytes`` in all.  So what the driver
+    holds is bounded; texts of any length are scored whole.  Chunks are two ``half``-byte halves, so each byte lies in two
+    chunks.
     """
 
     docs_per_label: int = 1_200
+    longest: int = 256 << 10
+    sample_bytes: int = 64 << 20
     half: int = 16
     width: int = 8
     filters: int = 32
@@ -152,7 +156,7 @@ def train(texts: list[bytes], labels: np.ndarray, share: float, fit: CnnFit = Cn
 def fit_quality(docs: DataFrame, labels: DataFrame, fit: CnnFit = CnnFit()) -> ByteCnn:
     """Fit on a bounded sample of the labelled documents given; rows without text or label teach nothing.
 
-    Of labels that contradict each other 1 counts; of rows that repeat a doc_id one teaches.
+    Of labels that contradict each other 1 counts; of rows that repeat a doc_id the one of the least text teaches.
     """
     marks = only(labels, "doc_id", "quality").where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     sizes = {r["quality"]: r["count"] for r in marks.groupBy("quality").count().collect()}
@@ -161,8 +165,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit: CnnFit = CnnFit()) -> B
     bound = F.when(F.col("quality") == 1, min(1.0, fit.docs_per_label / max(1, sizes.get(1, 0)))).otherwise(min(1.0, fit.docs_per_label / max(1, sizes.get(0, 0))))
     picked = marks.where(rank < bound * 1_000_003)
     texts = only(docs, "doc_id", "text").where("text is not null")
-    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text").dropDuplicates(["doc_id"])
-    got = rows.orderBy("doc_id").toArrow().to_pydict()
+    texts = texts.where(F.octet_length("text") <= fit.longest).join(F.broadcast(picked), "doc_id")  # some 2,400 ids
+    rows = stored(texts.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("text").alias("text")), "quality-sample")
+    sizes, load, least = rows.select("doc_id", rank.alias("rank"), F.octet_length("text").alias("bytes")).collect(), 0, []
+    for r in sorted(sizes, key=lambda r: (r["rank"], r["doc_id"])):
+        load += r["bytes"]
+        least += [r["doc_id"]] if load <= fit.sample_bytes else []
+    got = (rows if len(least) == len(sizes) else rows.where(F.col("doc_id").isin(least))).orderBy("doc_id").toArrow().to_pydict()
+    discard(rows)
     return train([t.encode() for t in got["text"]], np.array(got["quality"]), share, fit)
 
 

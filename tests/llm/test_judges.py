@@ -148,7 +148,7 @@ def test_distrust_does_not_thin_out_among_linkers(spark, linkers):
 
 
 def test_names():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
 
 
 def brute_rank(edges, seeds, p):
@@ -191,3 +191,32 @@ def test_only_letters_have_a_language(spark):
     got = {r["doc_id"]: r["lang_pred"] for r in language_predictions(docs).collect()}
     assert got[3] == "und" and got[4] != "und"
     assert words_of("naı̈ve x2y") == ["naı̈ve", "x", "y"]
+
+
+def test_network_scores_by_plain_loops():
+    """The forward pass of every chunk, one after the other, on texts of a few bytes and of many blocks."""
+    net = ByteCnn(CnnFit(seed=3))
+    net.shift = 0.25
+    rng = np.random.default_rng(1)
+    texts = [b"", b"a", b"x" * 15, b"y" * 33, bytes(rng.integers(32, 127, 700, np.uint8)), "é漢".encode() * 40, bytes(rng.integers(32, 127, 150_000, np.uint8))]
+    w, half = net.w, net.half
+    for text, got in zip(texts, net.scores(texts)):
+        padded = text + bytes(max(2 * half, -(-len(text) // half) * half) - len(text))
+        top = np.full(net.filters, -np.inf)
+        for at in range(0, len(padded) - half, half):
+            left, right = (w["emb"][list(padded[at + k : at + k + half])].astype(float).ravel() for k in (0, half))
+            top = np.maximum(top, left @ w["conv"][:, : net.filters] + right @ w["conv"][:, net.filters :])
+        hidden = np.maximum(np.maximum(top + w["cb"], 0) @ w["h"] + w["hb"], 0)
+        assert got == pytest.approx(1 / (1 + np.exp(-(hidden @ w["o"] + w["ob"][0] + 0.25))), abs=1e-5)
+
+
+def test_long_texts_and_repeated_ids_teach_within_bounds(spark):
+    """A text beyond the bound teaches nothing, the least of an id's texts does, and the sample's bytes are bounded; all are scored."""
+    good, bad = "a calm and useful sentence about things. ", "#### $$$ &&& zzzz %%%% "
+    rows = [(i, (good if i % 2 else bad) * (5 + i % 7)) for i in range(120)] + [(1, bad * 50), (500, bad * 100_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)] + [(500, 1)], "doc_id bigint, quality int")
+    fits = [CnnFit(epochs=2, longest=10_000), CnnFit(epochs=2, longest=10_000, sample_bytes=4_000)]
+    for fit in fits:
+        a, b = (sorted((r["doc_id"], round(r["score"], 4)) for r in quality_scores(docs.repartition(n), labels, fit).collect()) for n in (2, 7))
+        assert a == b and len(a) == len(rows)
