@@ -30,15 +30,14 @@ class LanguageFit:
     """Bounds of the sample that the model is fitted on, hence of the model.
 
     Of each language about ``docs_per_language`` documents, picked by a hash of their ids; of their words the
-    ``max_words`` most frequent; n-grams of up to ``longest`` characters, ``max_grams`` of each length.  Of the values of
-    ``lang`` the ``max_languages`` commonest are learned.
+    ``max_words`` most frequent; n-grams of up to ``longest`` characters, ``max_grams`` of each length.  Every value of
+    ``lang`` is learned.
     """
 
     docs_per_language: int = 1_500
     max_words: int = 120_000
     longest: int = 5
     max_grams: int = 40_000
-    max_languages: int = 256
 
 
 def words_of(text: str) -> list[str]:
@@ -55,6 +54,7 @@ class WordBackoff:
         zero = np.zeros(len(languages))
         self.words, self.table = self._logs(counts, sum((np.array(c, float) for c in counts.values()), zero))
         self.known = len(self.words)
+        self.more = np.zeros((0, len(languages)))  # rows of words that texts brought
         self.grams: list[tuple[dict[str, int], np.ndarray]] = [({}, np.zeros((0, len(languages))))]
         for n in range(1, fit.longest + 1):
             grams: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(languages)))
@@ -86,15 +86,21 @@ class WordBackoff:
         return np.zeros(len(self.languages))
 
     def _learn(self, words: set[str], limit: int = 100_000) -> None:
-        """Give unseen words rows of their own; those remembered are dropped when they pass the limit."""
+        """Give unseen words rows of their own behind the fitted ones; those remembered are dropped when they pass the limit."""
         if len(self.words) > self.known + limit:
             for w in list(self.words)[self.known :]:
                 del self.words[w]
-            self.table = self.table[: self.known]
-        new = list(words.difference(self.words))
+        new, at = list(words.difference(self.words)), len(self.words) - self.known
         if new:
+            if at + len(new) > len(self.more):
+                self.more = np.concatenate([self.more[:at], np.zeros((max(at, len(new)), len(self.languages)))])
+            self.more[at : at + len(new)] = [self._backoff(w) for w in new]
             self.words.update(zip(new, range(len(self.words), len(self.words) + len(new))))
-            self.table = np.concatenate([self.table, [self._backoff(w) for w in new]])
+
+    def _sum(self, words: list[str]) -> np.ndarray:
+        place = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        fitted = place < self.known
+        return self.table[place[fitted]].sum(0) + self.more[place[~fitted] - self.known].sum(0)
 
     def predict_all(self, texts: list[str | None], group: int = 256) -> list[tuple[str, float]]:
         """Language and share of the probability of each text; the words of a group of texts are held at a time."""
@@ -109,7 +115,7 @@ class WordBackoff:
             if not words:
                 out.append((UNDETERMINED, 0.0))
                 continue
-            total = self.table[list(map(self.words.__getitem__, words))].sum(0)
+            total = self._sum(words)
             best = int(total.argmax())
             out.append((self.languages[best], float(1 / np.exp(math.log(10) * (total - total[best])).sum())))
         return out
@@ -118,7 +124,7 @@ class WordBackoff:
 def fit_languages(docs: DataFrame, fit: LanguageFit = LanguageFit()) -> WordBackoff:
     """Count words per language over the bounded sample, in Spark, and bring the top of the counts to the driver."""
     rows = only(docs, "doc_id", "text", "lang").where("lang is not null and text is not null and doc_id is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(fit.max_languages).collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(sizes)
     if not languages:
         return WordBackoff([], {}, fit)

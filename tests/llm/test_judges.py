@@ -1,6 +1,8 @@
 """Quality rules, language, quality network, URL filter against brute force or held-out accuracy."""
 
+import math
 import re
+from collections import Counter
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -220,3 +222,47 @@ def test_long_texts_and_repeated_ids_teach_within_bounds(spark):
     for fit in fits:
         a, b = (sorted((r["doc_id"], round(r["score"], 4)) for r in quality_scores(docs.repartition(n), labels, fit).collect()) for n in (2, 7))
         assert a == b and len(a) == len(rows)
+
+
+def test_language_scores_by_plain_sums(spark):
+    """Known words by their log frequency, others by the longest n-grams that are known, against sums word by word."""
+    texts = {"de": "der hund und die katze der baum", "en": "the dog and the cat the tree", "xx": "qa qb"}
+    model = fit_languages(spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(texts.items())], "doc_id bigint, text string, lang string"))
+    assert model.languages == sorted(texts)
+    words = {k: t.split() for k, t in texts.items()}
+    known = {w for v in words.values() for w in v}
+
+    def logs(keys, counted):
+        total = {k: sum(counted[k].values()) for k in counted}
+        return {g: [math.log10((counted[k][g] + 0.1) / (total[k] + 0.1 * (len(keys) + 1))) for k in sorted(counted)] for g in keys}
+
+    cut = lambda w, n: [p[i : i + n] for p in [f"<{w}>" if n > 1 else w] for i in range(len(p) - n + 1)]
+    of_word = logs(known, {k: Counter(v) for k, v in words.items()})
+    of_gram = {n: logs({g for w in known for g in cut(w, n)}, {k: Counter(g for w in v for g in cut(w, n)) for k, v in words.items()}) for n in range(1, 6)}
+
+    def score(word):
+        if word in of_word:
+            return of_word[word]
+        for n in range(5, 0, -1):
+            found = [of_gram[n][g] for g in cut(word, n) if g in of_gram[n]]
+            if found:
+                return [sum(c) / len(found) for c in zip(*found)]
+        return [0.0] * 3
+
+    for text in ("der hund", "the unknown dogs", "zzz", "hundert baeume", "qa qb the", "doggy katzen treehouse " * 40):
+        total = [sum(c) for c in zip(*(score(w) for w in words_of(text)))]
+        best = max(range(3), key=lambda i: total[i])
+        lang, share = model.predict_all([text])[0]
+        assert lang == model.languages[best]
+        assert share == pytest.approx(1 / sum(10 ** (t - total[best]) for t in total))
+
+
+def test_many_languages_and_many_new_words(spark):
+    name = lambda i: chr(97 + i % 26) + chr(97 + i // 26)
+    rows = [(i, f"wort{name(i)} andere{name(i)} " * 3, f"l{i:03d}") for i in range(300)]
+    model = fit_languages(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert len(model.languages) == 300
+    model._learn({f"neu{name(i)}x" for i in range(70)}, limit=50)
+    model._learn({f"alt{name(i)}y" for i in range(70)}, limit=50)
+    assert len(model.words) == model.known + 70
+    assert [model.predict_all([f"wort{name(i)}"])[0][0] for i in (0, 299)] == ["l000", "l299"]
