@@ -112,6 +112,31 @@ def stage_averages(t: Tables) -> DataFrame:
     return rows.select("stage", "documents", "items", "failed", (F.col("mean_seconds") >= 0).alias("timed"))
 
 
+@query(f"{_HELD_OLD}, d AS (SELECT coalesce(n, 0) AS n, coalesce(n - fine, 0) AS bad FROM old LEFT JOIN made USING (doc_id) WHERE t IS NOT NULL) SELECT 1::BIGINT AS version, count(*) AS full_reindex, 0::BIGINT AS without_id, count(*) FILTER (bad = 0) AS indexed, count(*) FILTER (bad > 0) AS corrupted, sum(n)::BIGINT AS embedded, true AS timed FROM d")
+def run_report(t: Tables) -> DataFrame:
+    """The report that a commit left of its run, read back: what was done, what became of it, and how long its steps took."""
+    number = lambda path: F.coalesce(F.get_json_object("report", path).cast("bigint"), F.lit(0))
+    rows = ingest.Library(_before(t).snapshot(1)).runs
+    timed = F.forall(F.map_values(F.from_json(F.get_json_object("report", "$.seconds"), "map<string,double>")), lambda x: x >= 0)
+    return rows.select("version", number("$.documents.full_reindex").alias("full_reindex"), number("$.without_id").alias("without_id"), number("$.states.indexed").alias("indexed"), number("$.states.corrupted").alias("corrupted"), number("$.chunks.embed").alias("embedded"), timed.alias("timed"))
+
+
+_TEXT = r"CASE WHEN regexp_matches(text, '\S') THEN regexp_replace(text, '^\s+|\s+$', '', 'g') ELSE concat('Metadata: {''pairs'': [(''M', doc_id, ''', ''p'')]}', chr(10), text) END"
+
+
+@query(rf"""WITH r AS (SELECT doc_id, {_TEXT} AS t FROM documents), c AS ({_CUT.format('r')}),
+ n AS (SELECT doc_id, len(regexp_extract_all(lower(c), '[\p{{L}}\p{{N}}_]+')) > 0 AS whole, least(5, len(list_distinct(list_filter(regexp_extract_all(lower(c), '[\p{{L}}\p{{N}}_]+'), lambda w: length(w) >= 5)))) AS keywords FROM c)
+ SELECT doc_id, CASE WHEN bool_and(whole) THEN 'indexed' ELSE 'corrupted' END AS state, 1::BIGINT AS pairs, 'M' || doc_id AS model, count(*) AS chunk_count, sum(keywords)::BIGINT AS keywords FROM n GROUP BY doc_id""")
+def ingest_loop(t: Tables) -> DataFrame:
+    """Every document through the whole loop in one commit: read by its kind, pairs taken out, chunks enhanced and embedded."""
+    docs = t.registry.select("doc_id", "source", F.concat(F.lit("Metadata: {'pairs': [('M"), "doc_id", F.lit("', 'p')]}\n"), "text").alias("text"))
+    steps = ingest.Steps(parser=plugins.same_text, pairs=True, keywords=plugins.CommonWords())
+    library = ingest.ingest(TableStore(t.spark, scratch(t.spark, "loop")), docs, steps)
+    per = library.nodes.groupBy("doc_id").agg(F.sum(F.size("keywords")).alias("keywords"))
+    rows = library.registry.join(per, "doc_id", "left")
+    return rows.select("doc_id", "state", F.size("pairs").cast("bigint").alias("pairs"), F.get("pairs", F.lit(0))["model"].alias("model"), "chunk_count", "keywords")
+
+
 # ---- parsing with a cache
 
 
