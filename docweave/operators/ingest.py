@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
@@ -216,10 +217,10 @@ def ingest(store: TableStore, docs: DataFrame, steps: Steps | None = None) -> Li
 def ingest_into(tx: Transaction, docs: DataFrame, steps: Steps, out: DataFrame | None = None) -> None:
     """The changes that a batch makes, in a transaction that the caller commits; documents ``out`` (doc_id) are removed with it."""
     store, before, times = tx.base.store, Library(tx.base), {}
-    names, plan_folder = [c.split()[0] for c in NODES.split(", ")], f"data/work/{tx.version:08d}-plan"
+    names, plan_folder = [c.split()[0] for c in NODES.split(", ")], f"data/work/{tx.version:08d}-{uuid.uuid4().hex}"
     with _timed(times, "planning"):
         tx.written.append(plan_folder)
-        _read(planned(before.registry, docs), steps).write.mode("overwrite").option("compression", "zstd").parquet(f"{store.path}/{plan_folder}")
+        _read(planned(before.registry, docs), steps).write.option("compression", "zstd").parquet(f"{store.path}/{plan_folder}")
         plan = store.spark.read.parquet(f"{store.path}/{plan_folder}")
         todo = plan.where("strategy <> 'skip'")
         known = plan.groupBy("strategy").agg(F.count("*").alias("n"), F.count_if(F.col("change_type") != "new_document").alias("old"), F.sum(F.octet_length("text")).alias("bytes")).collect()

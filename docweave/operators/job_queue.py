@@ -130,6 +130,8 @@ class JobQueue:
 
         def change(tx: Transaction) -> bool:
             mine = self.jobs(tx.base).where((F.col("status") == "processing") & (F.col("worker_id") == worker))
+            if not mine.limit(1).count():
+                return False
             out = mine.where("job_type = 'remove'").select("doc_id")
             docs = documents.join(mine.where("job_type <> 'remove'").select("doc_id").distinct(), "doc_id", "left_semi")
             ingest.ingest_into(tx, docs, steps or Steps(), out)

@@ -206,6 +206,19 @@ def test_repeated_and_null_ids(spark, store):
     assert empty.snapshot.version == 2 and content(empty.nodes.select("doc_id", "text")) == [(1, "new"), (2, "right")]
 
 
+def test_of_two_batches_at_once_one_has_to_come_again(spark, store):
+    one, two = docs_of(spark, (1, "a", "first words")), docs_of(spark, (1, "a", "other words"), (2, "b", "second words"))
+    late = store.begin()
+    ingest.ingest_into(late, one, Steps())
+    ingest.ingest(TableStore(spark.newSession(), store.path), two)
+    with pytest.raises(Conflict):
+        late.commit()
+    assert content(Library(store.snapshot()).nodes.select("doc_id", "text")) == [(1, "other words"), (2, "second words")]
+    again = ingest.ingest(store, one)
+    assert content(again.nodes.select("doc_id", "text")) == [(1, "first words"), (2, "second words")]
+    assert {r["id"] for r in fts_top(again.index, "id", ["words"], 5).collect()} == {"1_0", "2_0"}
+
+
 class Half(HashedEmbedder):
     def __call__(self, texts):
         if any("bad" in t for t in texts):
