@@ -112,9 +112,10 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
     """
     rows = _with_place(docs)
     if rows is not None:
-        checked = rows.groupBy("__file").agg((F.count("*") == F.max("__row") + 1).alias("whole")).agg(F.bool_and("whole").alias("w")).first()["w"]
-        if checked is False:
-            rows = None
+        n, row = F.count("*").cast("decimal(38,0)"), F.col("__row").cast("decimal(19,0)")
+        each_once = (n == F.max("__row") + 1) & (F.sum(row) * 2 == n * (n - 1)) & (F.sum(row * row) * 6 == n * (n - 1) * (2 * n - 1))
+        if rows.groupBy("__file").agg(each_once.alias("whole")).agg(F.bool_and("whole").alias("whole")).first()["whole"] is False:
+            rows = None  # filtered, joined or repeated rows: their places in files are no numbers
     if rows is None:
         path, plain = scratch(docs.sparkSession, "sharding-table"), docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
         keys = [F.to_json(F.struct(c)) if t.startswith(("map", "struct", "variant")) else F.col(c) for c, t in plain.dtypes]
