@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from docweave.llm.bpe import encode_and_decode, split_words
 from docweave.llm.encoders import PieceEncoder
-from docweave.llm.packing import PackFit, bm25_idf, candidates, choose, listed, pack
+from docweave.llm.packing import PackFit, bm25_idf, blocked, candidates, choose, fill, listed, nearest, pack
 from docweave.llm.queries import BYTE_BPE, WORD_BPE
 from docweave.llm.token_output import OrcLayout, read_token_ids, token_file_report, write_token_ids
 
@@ -204,3 +204,56 @@ def test_long_lists_are_dealt_into_shards(spark):
     found = candidates(free, 2, fit).collect()
     assert 0 < len(found) <= 200 * 10
     assert len({r["doc"] for r in found}) > 700
+
+
+def as_packed(docs, fit):
+    """The rows that ``pack`` searches, and each document's weights by term."""
+    texts = {r["doc_id"]: np.array([*ids_of(WORD_BPE, r["text"]), 2]) for r in docs.select("doc_id", "text").collect()}
+    df, mean = np.bincount(np.concatenate([np.unique(x) for x in texts.values()]), minlength=1 << 16), sum(map(len, texts.values())) / len(texts)
+    rows = [(i, i, len(x), x.astype("<u2").tobytes()) for i, x in texts.items()]
+    encoded = docs.sparkSession.createDataFrame(rows, "key bigint, doc_id bigint, length bigint, ids binary").repartition(3)
+    known = listed(encoded, bm25_idf(df, len(texts)), mean, np.dtype("<u2"), fit)
+    return known, {r["key"]: dict(zip(r["terms"], r["weights"])) for r in known.collect()}, {i: len(x) for i, x in texts.items()}, mean
+
+
+def test_a_search_finds_the_best_of_all_documents(spark, docs):
+    """With the fit that queries use, a seed's neighbours are those of BM25 over all terms of all documents."""
+    fit = PackFit(block_docs=37)  # several blocks of both sides
+    known, weights, length, _ = as_packed(docs, fit)
+    rows = known.where("size(terms) > 0").selectExpr("*", "0L as filled", "4096 - length % 4096 as need")
+    seeds, rest = rows.where("key % 5 = 0"), rows.where("key % 5 <> 0")
+    found = defaultdict(list)
+    for r in nearest(blocked(seeds, "need", fit), blocked(rest, "length", fit), 1 << 16, fit).collect():
+        found[r["seed"]].append(r)
+    for s in (r["key"] for r in seeds.collect()):
+        score = {d: sum(round(w * 1024) / 1024 for t, w in weights[d].items() if t in weights[s]) for d in weights if d % 5 and weights[d]}
+        total, want = 0, []
+        for x in sorted((x for x in score.items() if x[1] > 0), key=lambda x: -x[1]):
+            if total >= fit.reach * (4096 - length[s] % 4096):
+                break
+            want.append(x[1])
+            total += length[x[0]]
+        got = sorted((r["score"] for r in found[s]), reverse=True)
+        assert got[: len(want) - 3] == pytest.approx(want[: len(want) - 3], rel=1e-3)  # of equal scores, shorter ones make more
+        for r in found[s]:
+            assert r["score"] == pytest.approx(score[r["doc"]], rel=1e-3)
+
+
+def test_no_open_window_shares_a_term_with_a_document_left(spark, docs):
+    """No bound leaves a neighbour out: what nobody took shares no term with a window that has room."""
+    fit = PackFit(window=2048, rounds=1)
+    known, weights, length, mean = as_packed(docs, fit)
+    taken = fill(known.localCheckpoint(), 1 << 16, mean, fit).collect()
+    room = {s: 2048 - length[s] % 2048 for s in {r["seed"] for r in taken}}
+    for s in room:
+        at = 0
+        for r in sorted((r for r in taken if r["seed"] == s), key=lambda r: r["offset"]):
+            assert r["offset"] == at < room[s] and weights[s].keys() & weights[r["doc"]].keys()
+            at += length[r["doc"]]
+        room[s] -= at
+    assert len({r["doc"] for r in taken}) == len(taken) and not {r["doc"] for r in taken} & {*room}
+    share = mean / 2048
+    picked = {r["key"] for r in known.where(f"length >= 2048 or pmod(xxhash64(key, 0), 1000003) < {share} * 1000003").collect()}
+    left = {*weights} - {*room} - {r["doc"] for r in taken} - picked  # a seed picked may have found nobody unused
+    for d in left:
+        assert not any(weights[s].keys() & weights[d].keys() for s in room if room[s] > 0)
