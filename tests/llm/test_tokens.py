@@ -257,3 +257,30 @@ def test_no_open_window_shares_a_term_with_a_document_left(spark, docs):
     left = {*weights} - {*room} - {r["doc"] for r in taken} - picked  # a seed picked may have found nobody unused
     for d in left:
         assert not any(weights[s].keys() & weights[d].keys() for s in room if room[s] > 0)
+
+
+def test_a_full_cache_keeps_what_most_batches_held():
+    """More words of many batches than a small cache takes do not empty it; ids stay those of the library."""
+    enc = PieceEncoder(WORD_BPE, False, limit=40)
+    common, words, fresh = ([f"{a}{b}{c}" for b in "aeiou" for c in "lmnrst"] for a in "bcd")
+    common, words, fresh = common[:8], words[:28], fresh[:10]
+    for words_of in (common, common, common, common + words, common + words, fresh):
+        text = " ".join(words_of)
+        assert enc.encode(pa.array([text]))[0].tolist() == ids_of(WORD_BPE, text)
+    assert len(enc.known) <= 40
+    assert {w.encode() + b" " for w in common[:-1]} <= enc.known.keys()
+
+
+def test_large_rows_go_to_python_a_few_at_a_time(spark):
+    """Batches hold as many rows as told, the session's setting stays, and texts reach the encoder in such batches."""
+    from docweave.llm.common import stored
+
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    got = [r["n"] for r in stored(spark.range(5000, numPartitions=1).mapInArrow(sizes, "n bigint"), "sizes", arrow_rows=700).collect()]
+    assert sum(got) == 5000 and max(got) <= 700 and spark.conf.get(setting) == before
