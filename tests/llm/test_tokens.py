@@ -284,3 +284,14 @@ def test_large_rows_go_to_python_a_few_at_a_time(spark):
 
     got = [r["n"] for r in stored(spark.range(5000, numPartitions=1).mapInArrow(sizes, "n bigint"), "sizes", arrow_rows=700).collect()]
     assert sum(got) == 5000 and max(got) <= 700 and spark.conf.get(setting) == before
+
+
+def test_a_seed_is_named_by_few_tasks(spark):
+    """Blocks of documents in many files meet a block of seeds in as few tasks as keep all cores busy."""
+    from docweave.llm.packing import meetings
+
+    cores = spark.sparkContext.defaultParallelism
+    asked, listed_ = (spark.range(0, n, 1, 16).selectExpr("id as block", "cast(cast(id as string) as binary) as payload") for n in (2 * cores, 40))
+    met = meetings(asked, listed_)
+    assert met.distinct().count() == met.count() == 2 * cores * 40
+    assert met.rdd.getNumPartitions() <= 2 * cores * 2
