@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -42,9 +43,10 @@ def _lists(values: pa.Array, edges: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), values)
 
 
-def node_blocks(nodes: DataFrame, key: str, fields: dict[str, Column], version: int = 1) -> DataFrame:
+def node_blocks(nodes: DataFrame, key: str, fields: dict[str, Column], version: int = 1, buckets: int | None = None) -> DataFrame:
     """The blocks of nodes whose fields hold lists of words.  A node's length counts the words of all fields (dls_all), or
-    those of the first that are no stop words and longer than two characters (dls)."""
+    those of the first that are no stop words and longer than two characters (dls).  With ``buckets``, a row (bucket,
+    payload) has all blocks of a batch that fall into a bucket."""
     kind = nodes.schema[key].dataType.simpleString()
     names, listed = [c.split()[0] for c in BLOCKS.split(", ")], list(fields)
 
@@ -107,9 +109,97 @@ def node_blocks(nodes: DataFrame, key: str, fields: dict[str, Column], version:
             number += ranges
 
     rows = nodes.select(F.col(key).alias("key"), *[c.alias(name) for name, c in fields.items()])
+    if buckets is not None:
+        return rows.mapInArrow(lambda b: _dealt(work(b), buckets), "bucket int, payload binary")
     return rows.mapInArrow(work, BLOCKS.replace("docs array<bigint>", f"docs array<{kind}>"))
 
 
+def _dealt(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows of bucket and payload, of batches of blocks, whose lists as rows of their own are many times as large in a shuffle."""
+    for batch in batches:
+        terms = batch.column("term").dictionary_encode()
+        of = np.array([-1, *[bucket_of(t, buckets) for t in terms.dictionary.to_pylist()]], np.int32)
+        bucket = of[pc.fill_null(terms.indices, -1).to_numpy().astype(np.int64) + 1]
+        order = np.argsort(bucket, kind="stable")
+        bucket, batch = bucket[order], batch.take(pa.array(order))
+        first = np.flatnonzero(np.diff(bucket, prepend=-2))
+        parts = [batch.slice(start, end - start) for start, end in zip(first, [*first[1:], len(bucket)])]
+        payloads = [_squeezed(part if number < 0 else _packed(part)) for number, part in zip(bucket[first], parts)]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(payloads, pa.binary())], names=["bucket", "payload"])
+
+
+def _squeezed(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _packed(blocks: pa.RecordBatch) -> pa.RecordBatch:
+    """One row with what the blocks can be made from: nodes and their lengths, words and fields once, numbers in few bytes."""
+    small = lambda x: pa.array(x.astype(np.min_scalar_type(int(x.max(initial=0)))))
+    docs, fields, terms = (c.dictionary_encode() for c in (blocks.column("docs").flatten(), blocks.column("field"), blocks.column("term")))
+    codes = pc.fill_null(docs.indices, len(docs.dictionary)).to_numpy().astype(np.int64)
+    keys = pa.concat_arrays([docs.dictionary, pa.nulls(1, docs.dictionary.type)])  # a node's key may be null
+    at = np.zeros(len(keys), np.int64)
+    at[codes] = np.arange(len(codes))  # a posting of each node
+    ranges, tfs = blocks.column("range_id").to_numpy(), blocks.column("tfs").flatten().to_numpy()
+    places = blocks.column("positions").flatten().flatten().to_numpy().astype(np.int64)
+    first = np.cumsum(tfs) - tfs
+    steps = np.diff(places, prepend=0)
+    steps[first] = places[first]
+    columns = {"keys": keys, "fields": fields.dictionary, "terms": terms.dictionary, "least": pa.array([ranges.min()])}
+    columns |= {"field": small(fields.indices.to_numpy()), "term": small(terms.indices.to_numpy()), "range": small(ranges - ranges.min()), "n": small(blocks.column("n").to_numpy())}
+    columns |= {"doc": small(codes), "tf": small(tfs), "step": small(steps)}
+    columns |= {c: small(blocks.column(c).flatten().to_numpy()[at]) for c in ("dls", "dls_all")}
+    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns.values()], names=list(columns))
+
+
+def _unpacked(row: pa.RecordBatch) -> list[pa.Array]:
+    """The blocks, column by column, that such a row was made from."""
+    of = {name: row.column(name).flatten() for name in row.schema.names}
+    number = lambda name, kind=np.int64: of[name].to_numpy().astype(kind)
+    n, doc, tf, steps = number("n"), number("doc"), number("tf"), number("step")
+    edges, ends = np.append(0, np.cumsum(n)), np.append(0, np.cumsum(tf))
+    dls, dls_all = number("dls", np.int32)[doc], number("dls_all", np.int32)[doc]
+    total = np.cumsum(steps)
+    places = (total - np.repeat(total[ends[:-1]] - steps[ends[:-1]], tf)).astype(np.int32)
+    tfs, at = tf.astype(np.int32), edges[:-1]
+    return [
+        of["fields"].take(of["field"]),
+        of["terms"].take(of["term"]),
+        pa.array(number("least")[0] + number("range")),
+        pa.array(n.astype(np.int32)),
+        *(pa.array(f.reduceat(x, at)) for f, x in ((np.maximum, tfs), (np.minimum, dls), (np.minimum, dls_all))),
+        _lists(of["keys"].take(pa.array(doc)), edges),
+        *(_lists(pa.array(x), edges) for x in (tfs, dls, dls_all)),
+        _lists(_lists(pa.array(places), ends), edges),
+    ]
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of such rows, with their bucket."""
+    names = [c.split()[0] for c in BLOCKS.split(", ")]
+    for batch in batches:
+        for bucket, payload in zip(batch.column("bucket").to_pylist(), batch.column("payload")):
+            for part in pa.ipc.open_stream(payload.as_buffer()):
+                columns = part.columns if bucket < 0 else _unpacked(part)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(columns[0]), bucket, np.int32))], names=[*names, "bucket"])
+
+
+@contextmanager
+def _small_partitions(spark: SparkSession, size: int = 8 << 20) -> Iterator[None]:
+    """Shuffles are dealt into partitions of ``size`` bytes at most: opened, payloads take some ten times as much to sort."""
+    setting = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(setting)
+    asked = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before)
+    try:
+        spark.conf.set(setting, str(min(size, asked)))
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def bucket_of(term: str, buckets: int) -> int:
     return zlib.crc32(term.encode()) % buckets
 
@@ -144,13 +234,15 @@ class KeywordIndex:
     def add(tx: Transaction, nodes: DataFrame, key: str, fields: dict[str, Column], text_bytes: int, name: str = "keyword") -> None:
         """Nodes as a further segment.  ``nodes`` should be read from files, so that a task that runs again makes the same ranges."""
         buckets = bucket_count(text_bytes)
-        blocks = node_blocks(nodes, key, fields, tx.version)
-        rows = blocks.withColumn("bucket", F.coalesce(F.crc32(F.col("term").cast("binary")) % buckets, F.lit(-1)).cast("int"))
-        dealt = rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "field", "range_id")
+        kind = nodes.schema[key].dataType.simpleString()
+        packed = node_blocks(nodes, key, fields, tx.version, buckets).hint("rebalance", "bucket")
+        rows = packed.mapInArrow(_opened, BLOCKS.replace("docs array<bigint>", f"docs array<{kind}>") + ", bucket int")
+        dealt = rows.sortWithinPartitions("bucket", "term", "field", "range_id")
         whole = F.col("term").isNull()
         add_up = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda s, x: s + x)
         facts = [F.sum(F.when(whole, F.col("n"))).alias("nodes"), F.sum(F.when(whole, add_up("dls"))).alias("kept"), F.sum(F.when(whole, add_up("dls_all"))).alias("words")]
-        segment = tx.append(f"{name}_postings", dealt, None, facts, by="bucket", buckets=buckets, fields=list(fields))
+        with _small_partitions(tx.base.store.spark):
+            segment = tx.append(f"{name}_postings", dealt, None, facts, by="bucket", buckets=buckets, fields=list(fields))
         written = tx.base.store.spark.read.schema(dealt.schema).parquet(f"{tx.base.store.path}/{segment['path']}")
         words = written.where("term is not null").select("term").distinct()
         if known := tx.base.segments(f"{name}_lexicon"):
