@@ -248,6 +248,8 @@ def ingest_into(tx: Transaction, docs: DataFrame, steps: Steps, out: DataFrame |
         states = _counts(Snapshot(store, tx.version, tx.tables).read("registry", [rows]), "state")
     report = {"version": tx.version, "documents": strategies, "without_id": rejected, "states": states, "chunks": _counts(nodes, "action"), "seconds": times}
     tx.append("runs", store.spark.createDataFrame([(tx.version, json.dumps(report, sort_keys=True))], RUNS))
+    store.files.delete(f"{store.path}/{plan_folder}")  # the tables hold all that came of it
+    tx.written.remove(plan_folder)
 
 
 def remove(store: TableStore, gone: DataFrame) -> Library:
